@@ -78,13 +78,13 @@ def fit(docs: DataFrame, per_lang: int = 600, langs: int = 200, centroids: int =
     times the lowest cosine to its centroids that was seen among its sampled texts.
     """
     rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit("langid")).alias("h"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.where(F.col("lang").isNotNull())
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
     if not counts:
         return Model(np.ones(dim, np.float32), np.zeros((0, dim), np.float32), [], {})
     # a hash below this limit holds about twice as many rows as asked for; the window then sorts only these
     limit = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, 2 * per_lang / n)))])
-    near = rows.where(F.col("h") < (limit[F.col("lang")] * (2.0**64) - 2.0**63))
+    near = rows.where(F.col("text").isNotNull()).where(F.col("h") < (limit[F.col("lang")] * (2.0**64) - 2.0**63))
     order = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
     sample = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("lang", "text")
 
