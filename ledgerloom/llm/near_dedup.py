@@ -233,4 +233,5 @@ def deduplicate(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: s
     """docs with one document of each group of near_duplicates, that with the smallest key. Rows with a null key stay;
     rows that repeat a key stay or go together."""
     gone = materialize(near_duplicates(docs, percent, key, text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(f"`{key}`") == F.col("__gone"), "left_anti")
+    # the keys to drop grow with the corpus, so they are never broadcast
+    return docs.join(gone.hint("merge"), F.col(f"`{key}`") == F.col("__gone"), "left_anti")
