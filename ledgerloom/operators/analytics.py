@@ -25,11 +25,12 @@ def _total(df: DataFrame, keys: list[str], sign: Column | None = None, value: st
     return df.groupBy(*keys).agg(*words.sum_limbs(F.substring(value, 1, 32), sign))
 
 
-def balances(logs: DataFrame) -> DataFrame:
-    """Limb sums per (token, holder topic): what came in less what went out, from one pass over the transfers."""
+def balances(logs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Limb sums per (token, holder topic) and the columns in `extra`: what came in less what went out, from one pass
+    over the transfers."""
     sides = F.array(F.struct(F.col("topic2").alias("holder"), F.lit(1).alias("sign")), F.struct(F.col("topic1").alias("holder"), F.lit(-1).alias("sign")))
-    moves = of_event(logs, TRANSFER).select("address", "data", F.explode(sides).alias("m")).select("address", "data", "m.*")
-    return _total(moves, ["address", "holder"], F.col("sign"))
+    moves = of_event(logs, TRANSFER).select("address", "data", *extra, F.explode(sides).alias("m")).select("address", "data", *extra, "m.*")
+    return _total(moves, ["address", "holder", *extra], F.col("sign"))
 
 
 def token_holders(logs: DataFrame) -> DataFrame:

@@ -619,6 +619,27 @@ def view_backfill(spark, sf):
     return total.select(F.lit(n).cast("long").alias("rows"), "total")
 
 
+def _bucketed_balances(size: int) -> views.View:
+    """Balances with a partial per stretch of blocks, so that blocks can be taken back."""
+    sums = [F.sum(c).alias(c) for c in words.limb_columns()]
+    return views.View(
+        "bucketed", lambda df: analytics.balances(df.withColumn("bucket", F.floor(F.col("block_num") / size)), ("bucket",)), ["address", "holder", "bucket"],
+        finish=lambda df: BALANCES.finish(df.groupBy("address", "holder").agg(*sums)), definition="token_holders by stretch of blocks",
+    )
+
+
+@query(f"""SELECT token, holder, CAST(CAST(sum(v) AS BIGINT) AS VARCHAR) AS balance FROM (SELECT {a(TOKEN6)} AS token, {a('100000 + l_partkey')} AS holder, {PRICE} AS v FROM lineitem WHERE l_orderkey < 777
+        UNION ALL SELECT {a(TOKEN6)}, {a('l_suppkey')}, -{PRICE} FROM lineitem WHERE l_orderkey < 777) GROUP BY 1, 2 HAVING sum(v) > 0""")
+def view_rollback(spark, sf):
+    """All transfers in two batches, then the blocks from 777 on are taken back."""
+    view, (old, new) = _bucketed_balances(500), _halves(spark, sf)
+    store = views.ViewStore(spark, scratch_path(spark, "views"))
+    store.create(view, old)
+    store.update(view, new, "1")
+    store.rollback(view, fixtures.transfers(spark, sf), 777, 500)
+    return tables.hex_view(store.read(view))
+
+
 def _type_state(df: DataFrame) -> DataFrame:
     return df.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("long")).alias("total"))
 

@@ -110,6 +110,16 @@ class ViewStore:
         last = self._last(view.name)
         return self._commit(view, 0 if last is None else last.seq + 1, batch, view.query(source))
 
+    def rollback(self, view: View, source: DataFrame, n: int, size: int, block: str = "block_num", batch: str | None = None) -> int:
+        """Takes back all blocks from n on, in a view whose state has one partial per `bucket`, a stretch of `size`
+        blocks: later buckets go, that of n is computed again from the source, the others stay as they are."""
+        last = self._last(view.name)
+        if last is None or last.dropped:
+            raise KeyError(view.name)
+        state, low = self._state(view.name, last.seq), n // size
+        again = view.query(source.where((F.col(block) >= low * size) & (F.col(block) < n)))
+        return self._commit(view, last.seq + 1, batch or f"rollback-{last.seq + 1}", state.where(F.col("bucket") < low).unionByName(again))
+
     def read(self, view: View) -> DataFrame:
         last = self._last(view.name)
         if last is None or last.dropped:
