@@ -122,15 +122,22 @@ class Finder:
         return sorted(found)
 
 
+#: Characters of items in a block, unless a single item has more.
+BLOCK_CHARS = 16 << 20
+
+
 def query_blocks(benchmark: DataFrame, key: str, text: str, block: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most `block`, in order of the key; null keys and texts are no items."""
+    """The items in blocks of at most `block` and BLOCK_CHARS characters, in order of the key; null keys and texts are
+    no items."""
     rows = benchmark.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")).dropna().orderBy(key)
     found: list[tuple[int, str]] = []
+    size = 0
     for r in rows.toLocalIterator():
-        found.append((r[0], r[1]))
-        if len(found) == block:
+        if found and (len(found) == block or size + len(r[1]) > BLOCK_CHARS):
             yield found
-            found = []
+            found, size = [], 0
+        found.append((r[0], r[1]))
+        size += len(r[1])
     if found:
         yield found
 
@@ -141,7 +148,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, b
 
     A document holds an item if some stretch of its words is within floor((1 - similarity) * n) word edits of the
     item's n words; case of ASCII letters and ASCII punctuation don't count. The items are the stated query set: they
-    reach the executors in blocks of at most `block`, and each block is one pass over docs. Null, empty or
+    reach the executors in blocks of at most `block` items and BLOCK_CHARS characters, each one pass over docs. Null, empty or
     punctuation-only texts and items hold or are nothing. A null key comes back as null. Repeated rows give their own
     results, repeated items (one key each) too. Empty tables: no row. Other columns of docs don't matter.
     """
