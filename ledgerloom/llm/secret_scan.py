@@ -17,6 +17,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Candidates of the method beyond these: long runs of key material that hold letters and digits.
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
+#: The same runs, but none is tried from inside a run, which would take the square of a word's length.
+HEX_RUN, TOKEN_RUN = r"(?<![0-9a-f])[0-9a-f]{24,}+", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 KINDS = ("assign", "access", "hex", "owned")
 
 
@@ -52,8 +54,8 @@ def find_candidates(docs: DataFrame, key: str, owner: str, text: str, carry: lis
     """One row per document: __row (unique), __repo, __owner, base (spans of the three kinds), cand (the method's)."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     assign = F.filter(spans(t, ASSIGN, 2), lambda x: F.length(x["v"]) >= 6)
-    token = F.filter(spans(t, TOKEN), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))
-    base = F.concat(_tagged(0, assign), _tagged(1, spans(t, ACCESS)), _tagged(2, spans(t, HEX)))
+    token = F.filter(spans(t, TOKEN_RUN), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))
+    base = F.concat(_tagged(0, assign), _tagged(1, spans(t, ACCESS)), _tagged(2, spans(t, HEX_RUN)))
     return docs.select(
         F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("__repo"),
         F.coalesce(F.col(f"`{owner}`").cast("string"), F.lit("")).alias("__owner"), base.alias("base"), _tagged(3, token).alias("cand"), *[F.col(f"`{c}`") for c in carry],
