@@ -180,7 +180,8 @@ def verify(docs: DataFrame, classes: DataFrame, parts: DataFrame, percent: int,
     sizes = materialize(members.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(SET_BLOCK)).alias("blocks")), "sizes")
     members = materialize(members.join(sizes, "component"), "members")
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    found = texts.join(members, F.col("doc_id") == F.col("rep")).select("node", "component", "blocks", "digest", "text")
+    # members grow with the corpus, so they are never broadcast, however few there are: the texts are always shuffled
+    found = texts.join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("node", "component", "blocks", "digest", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
