@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import arrow_map
+from ledgerloom.llm.common import arrow_map, partitions
 
 
 def block_pairs(df: DataFrame, blocks: Column, ident: Column, inner: bool) -> DataFrame:
@@ -52,4 +52,6 @@ def per_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Record
                 held.append(b.slice(start))
         yield from done()
 
-    return arrow_map(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
+    # a stated number of partitions, as the work grows with the pairs in a group and not with the few bytes shuffled
+    dealt = df.repartition(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    return arrow_map(dealt, run, schema)
