@@ -615,7 +615,7 @@ def view_incremental(spark, sf):
 def view_backfill(spark, sf):
     store, (old, _) = views.ViewStore(spark, scratch_path(spark, "views")), _halves(spark, sf)
     n = store.create(BALANCES, old)
-    total = store._state("holders", 0).agg(F.sum(F.col("l0") + F.col("l1") * (1 << 32)).alias("total"))
+    total = spark.read.parquet(f"{store.root}/holders/0").agg(F.sum(F.col("l0") + F.col("l1") * (1 << 32)).alias("total"))
     return total.select(F.lit(n).cast("long").alias("rows"), "total")
 
 
@@ -647,7 +647,7 @@ def _type_state(df: DataFrame) -> DataFrame:
 @query(f"SELECT {TYPE} AS type, count(*) AS n, CAST(sum({VALUE}) AS BIGINT) AS total FROM events GROUP BY 1")
 def merge_summing(spark, sf):
     t = fixtures.txs(spark, sf)
-    return views.merge_summing(_type_state(t.where("block_num < 3")), _type_state(t.where("block_num >= 3")), ["type"])
+    return views.merge_summing([_type_state(t.where("block_num < 3")), _type_state(t.where("block_num >= 3"))], ["type"])
 
 
 @query(f"SELECT {TYPE} AS type, count(*) AS n, min({VALUE}) AS least, max({VALUE}) AS most, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) >= 0 AS near FROM events GROUP BY 1")
@@ -659,7 +659,7 @@ def merge_aggregating(spark, sf):
         v = F.col("value").cast("long")
         return df.groupBy("type").agg(F.count("*").alias("n"), F.min(v).alias("least"), F.max(v).alias("most"), F.hll_sketch_agg("from").alias("senders"))
 
-    merged = views.merge_aggregating(part(t.where("block_num < 3")), part(t.where("block_num >= 3")), ["type"], {"n": "sum", "least": "min", "most": "max", "senders": "sketch"})
+    merged = views.merge_aggregating({"n": "sum", "least": "min", "most": "max", "senders": "sketch"})([part(t.where("block_num < 3")), part(t.where("block_num >= 3"))], ["type"])
     exact = t.groupBy(F.col("type").alias("__t")).agg(F.count_distinct("from").alias("e"))
     both = merged.join(exact, F.col("type") == F.col("__t"))
     return both.select("type", "n", "least", "most", (F.abs(F.hll_sketch_estimate("senders") - F.col("e")) <= F.col("e") / 10).alias("near"))
@@ -669,14 +669,14 @@ def merge_aggregating(spark, sf):
 def merge_replacing(spark, sf):
     e = fixtures.read(spark, sf, "events")
     last = lambda df: df.groupBy("user_id").agg(F.max("event_id").alias("last_event"))
-    return views.merge_replacing(last(e.where("event_id < 500")), last(e.where("event_id >= 500")), ["user_id"])
+    return views.merge_replacing([last(e.where("event_id < 500")), last(e.where("event_id >= 500"))], ["user_id"])
 
 
 @query(f"SELECT {BLOCK} AS block_num, count(*) AS n FROM events GROUP BY 1")
 def merge_append(spark, sf):
     t = fixtures.txs(spark, sf)
     per = lambda df: df.groupBy("block_num").agg(F.count("*").alias("n"))
-    return views.merge_append(per(t.where("block_num < 3")), per(t.where("block_num >= 3")), ["block_num"])
+    return views.merge_append([per(t.where("block_num < 3")), per(t.where("block_num >= 3"))], ["block_num"])
 
 
 @query(f"SELECT {TYPE} AS type, count(*) AS n FROM events GROUP BY 1")

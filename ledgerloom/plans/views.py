@@ -5,38 +5,50 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-_COMMITS = "name string, seq long, batch string, rows long, definition string, columns string, keys string, dropped boolean"
+_COMMITS = "name string, seq long, batch string, parts array<long>, rows long, definition string, columns string, keys string, dropped boolean"
 
 
-def merge_summing(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+Parts = list[DataFrame]
+
+
+def _together(parts: Parts) -> DataFrame:
+    """All rows of the parts, with the place of their part in the list as __part."""
+    return reduce(DataFrame.unionByName, [p.withColumn("__part", F.lit(i)) for i, p in enumerate(parts)])
+
+
+def merge_summing(parts: Parts, keys: list[str]) -> DataFrame:
     """Numeric columns outside the keys add up; of others one value stays."""
-    both = state.unionByName(new)
-    cols = [f for f in both.schema.fields if f.name not in keys]
-    return both.groupBy(*keys).agg(*[(F.sum(f.name).cast(f.dataType) if isinstance(f.dataType, NumericType) else F.any_value(f.name, True)).alias(f.name) for f in cols]).select(*state.columns)
+    cols = [f for f in parts[0].schema.fields if f.name not in keys]
+    sums = [(F.sum(f.name).cast(f.dataType) if isinstance(f.dataType, NumericType) else F.any_value(f.name, True)).alias(f.name) for f in cols]
+    return _together(parts).groupBy(*keys).agg(*sums).select(*parts[0].columns)
+
+
+def merge_aggregating(how: dict[str, str]) -> Callable[[Parts, list[str]], DataFrame]:
+    """A merge of partial states: each column by sum, min, max, or sketch (a HyperLogLog sketch of distinct values)."""
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max, "sketch": F.hll_union_agg}
 
+    def merge(parts: Parts, keys: list[str]) -> DataFrame:
+        types = parts[0].schema
+        return _together(parts).groupBy(*keys).agg(*[kinds[kind](c).cast(types[c].dataType).alias(c) for c, kind in how.items()]).select(*parts[0].columns)
 
-def merge_aggregating(state: DataFrame, new: DataFrame, keys: list[str], parts: dict[str, str]) -> DataFrame:
-    """Each column merges as `parts` says: sum, min, max, or sketch (a HyperLogLog sketch of distinct values)."""
-    how = {"sum": F.sum, "min": F.min, "max": F.max, "sketch": F.hll_union_agg}
-    both = state.unionByName(new)
-    return both.groupBy(*keys).agg(*[how[kind](c).cast(state.schema[c].dataType).alias(c) for c, kind in parts.items()]).select(*state.columns)
+    return merge
 
 
-def merge_replacing(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The last row of a key stays: new rows win; within a batch, the greatest row does."""
-    row = F.struct(*[F.col(f"`{c}`") for c in state.columns])
-    both = state.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    return both.groupBy(*keys).agg(F.max_by(row, F.struct("__new", row)).alias("__r")).select("__r.*")
+def merge_replacing(parts: Parts, keys: list[str]) -> DataFrame:
+    """The last row of a key stays: that of the later part; within a part, the greatest."""
+    row = F.struct(*[F.col(f"`{c}`") for c in parts[0].columns])
+    return _together(parts).groupBy(*keys).agg(F.max_by(row, F.struct("__part", row)).alias("__r")).select("__r.*")
 
 
-def merge_append(state: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    return state.unionByName(new)
+def merge_append(parts: Parts, keys: list[str]) -> DataFrame:
+    return _together(parts).drop("__part")
 
 
 @dataclass
@@ -46,17 +58,19 @@ class View:
     name: str
     query: Callable[[DataFrame], DataFrame]
     keys: list[str]
-    merge: Callable[[DataFrame, DataFrame, list[str]], DataFrame] = merge_summing
+    merge: Callable[[Parts, list[str]], DataFrame] = merge_summing
     finish: Callable[[DataFrame], DataFrame] = field(default=lambda df: df)
     definition: str = ""
 
 
 class ViewStore:
-    """Views under a folder. A batch makes a new version of the state; its commit row, written last, makes that the
-    current one, so a batch that broke off or comes again under its id changes nothing."""
+    """Views under a folder. A batch adds its own partial aggregate as one more part of the state, so its cost goes with
+    the batch and not with the state; reading merges the parts, and every `most_parts` batches they are merged for good.
+    The commit row, written last, lists the parts that count, so a batch that broke off or comes again under its id
+    changes nothing."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, most_parts: int = 8):
+        self.spark, self.root, self.most_parts = spark, root, most_parts
 
     def commits(self) -> DataFrame:
         try:
@@ -69,16 +83,25 @@ class ViewStore:
     def _last(self, name: str):
         return self.commits().where(F.col("name") == name).orderBy(F.desc("seq")).first()
 
-    def _state(self, name: str, seq: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/{seq}")
-
-    def _commit(self, view: View, seq: int, batch: str, state: DataFrame | None) -> int:
-        rows, columns = 0, "[]"
-        if state is not None:
-            state.write.mode("overwrite").parquet(f"{self.root}/{view.name}/{seq}")
-            done = self._state(view.name, seq)
-            rows, columns = done.count(), json.dumps(done.dtypes)
-        row = self.spark.createDataFrame([(view.name, seq, batch, rows, view.definition, columns, json.dumps(view.keys), state is None)], _COMMITS)
+    def _live(self, view: View):
+        last = self._last(view.name)
+        if last is None or last.dropped:
+            raise KeyError(view.name)
+        return last
+
+    def _state(self, view: View, commit) -> DataFrame:
+        """The state that a commit stands for, its parts merged."""
+        parts = [self.spark.read.parquet(f"{self.root}/{view.name}/{i}") for i in commit.parts]
+        return parts[0] if len(parts) == 1 else view.merge(parts, view.keys)
+
+    def _commit(self, view: View, seq: int, batch: str, part: DataFrame | None, before: tuple = (), rows: int = 0) -> int:
+        """Writes a part and the commit row; returns the rows that are stored then."""
+        columns, parts = "[]", []
+        if part is not None:
+            part.write.mode("overwrite").parquet(f"{self.root}/{view.name}/{seq}")
+            done = self.spark.read.parquet(f"{self.root}/{view.name}/{seq}")
+            rows, columns, parts = rows + done.count(), json.dumps(done.dtypes), [*before, seq]
+        row = self.spark.createDataFrame([(view.name, seq, batch, parts, rows, view.definition, columns, json.dumps(view.keys), part is None)], _COMMITS)
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
         return rows
 
@@ -91,13 +114,16 @@ class ViewStore:
         return self._commit(view, 0 if last is None else last.seq + 1, batch, view.query(source))
 
     def update(self, view: View, rows: DataFrame, batch: str) -> bool:
-        """Merges the aggregate of new rows; False if the batch was merged before."""
-        last = self._last(view.name)
-        if last is None or last.dropped:
-            raise KeyError(view.name)
-        if not self.commits().where((F.col("name") == view.name) & (F.col("batch") == batch) & (F.col("seq") >= self._first(view.name))).isEmpty():
+        """Adds the aggregate of new rows; False if the batch was added before."""
+        last = self._live(view)
+        done = self.commits().where((F.col("name") == view.name) & (F.col("batch") == batch) & (F.col("seq") >= self._first(view.name)))
+        if not done.isEmpty():
             return False
-        self._commit(view, last.seq + 1, batch, view.merge(self._state(view.name, last.seq), view.query(rows), view.keys))
+        new = view.query(rows)
+        if len(last.parts) < self.most_parts:
+            self._commit(view, last.seq + 1, batch, new, tuple(last.parts), last.rows)
+        else:
+            self._commit(view, last.seq + 1, batch, view.merge([self._state(view, last), new], view.keys))
         return True
 
     def _first(self, name: str) -> int:
@@ -113,26 +139,21 @@ class ViewStore:
     def rollback(self, view: View, source: DataFrame, n: int, size: int, block: str = "block_num", batch: str | None = None) -> int:
         """Takes back all blocks from n on, in a view whose state has one partial per `bucket`, a stretch of `size`
         blocks: later buckets go, that of n is computed again from the source, the others stay as they are."""
-        last = self._last(view.name)
-        if last is None or last.dropped:
-            raise KeyError(view.name)
-        state, low = self._state(view.name, last.seq), n // size
+        last, low = self._live(view), n // size
         again = view.query(source.where((F.col(block) >= low * size) & (F.col(block) < n)))
-        return self._commit(view, last.seq + 1, batch or f"rollback-{last.seq + 1}", state.where(F.col("bucket") < low).unionByName(again))
+        kept = self._state(view, last).where(F.col("bucket") < low)
+        return self._commit(view, last.seq + 1, batch or f"rollback-{last.seq + 1}", kept.unionByName(again))
 
     def read(self, view: View) -> DataFrame:
-        last = self._last(view.name)
-        if last is None or last.dropped:
-            raise KeyError(view.name)
-        return view.finish(self._state(view.name, last.seq))
+        return view.finish(self._state(view, self._live(view)))
 
     def follow(self, view: View, stream: DataFrame, checkpoint: str) -> None:
-        """Merges all that a stream has to offer now, micro-batch by micro-batch, exactly once."""
+        """Adds all that a stream has to offer now, micro-batch by micro-batch, exactly once."""
         q = stream.writeStream.foreachBatch(lambda rows, i: self.update(view, rows, f"stream-{i}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         q.awaitTermination()
 
     def list_views(self) -> DataFrame:
-        """(name, definition, columns, keys, rows) of the views there are."""
+        """(name, definition, columns, keys, rows) of the views there are; rows are those stored, in all parts."""
         c = self.commits()
         last = c.groupBy("name").agg(F.max_by(F.struct("definition", "columns", "keys", "rows", "dropped"), "seq").alias("r"))
         return last.where("not r.dropped").select("name", "r.definition", "r.columns", "r.keys", "r.rows")
@@ -142,7 +163,4 @@ class ViewStore:
 
     def drop(self, view: View) -> None:
         """The name is free again; old versions stay on disk, unread."""
-        last = self._last(view.name)
-        if last is None or last.dropped:
-            raise KeyError(view.name)
-        self._commit(view, last.seq + 1, "drop", None)
+        self._commit(view, self._live(view).seq + 1, "drop", None)

@@ -93,7 +93,7 @@ def test_views_are_idempotent_and_keep_negative_deltas(spark, tmp_path):
     assert rows(store.read(view)) == [("a", 5)]
     assert store.update(view, batch(("b", 7), ("a", -5)), "1") and not store.update(view, batch(("b", 7)), "1")
     assert rows(store.read(view)) == [("b", 4)]
-    assert store.describe("net").first().rows == 2
+    assert store.describe("net").first().rows == 4
     store.drop(view)
     assert store.list_views().isEmpty()
     with pytest.raises(KeyError):
@@ -102,9 +102,19 @@ def test_views_are_idempotent_and_keep_negative_deltas(spark, tmp_path):
     assert rows(store.read(view)) == [("c", 2)]
 
 
+def test_parts_are_merged_for_good(spark, tmp_path):
+    store = views.ViewStore(spark, str(tmp_path), most_parts=2)
+    view = views.View("net", lambda df: df.groupBy("k").agg(F.sum("v").alias("v")), ["k"])
+    store.create(view, spark.createDataFrame([("a", 1)], "k string, v long"))
+    for i in range(4):
+        store.update(view, spark.createDataFrame([("a", 10**i), ("b", 1)], "k string, v long"), str(i))
+    assert rows(store.read(view)) == [("a", 1112), ("b", 4)]
+    assert [len(r.parts) for r in store.commits().orderBy("seq").collect()] == [1, 2, 1, 2, 1]
+
+
 def test_replacing_takes_the_new_row(spark):
     old = spark.createDataFrame([("a", 9), ("b", 1)], "k string, v int")
-    assert rows(views.merge_replacing(old, spark.createDataFrame([("a", 2)], old.schema), ["k"])) == [("a", 2), ("b", 1)]
+    assert rows(views.merge_replacing([old, spark.createDataFrame([("a", 2)], old.schema)], ["k"])) == [("a", 2), ("b", 1)]
 
 
 def test_live_query_goes_on_from_its_checkpoint(spark, tmp_path):
