@@ -353,3 +353,33 @@ def test_stages_take_edge_rows(spark, sf):
         assert stage(spark, odd.limit(0), sf).collect() == [], name
         assert set(stage(spark, odd, sf).columns) >= set(odd.columns), name
         stage(spark, odd, sf).collect()
+
+
+def test_url_query_equals_brute_force(spark, sf):
+    good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    pages = [(r.page_id, *plain_parts(r.url)) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    shapes = {}
+    for i, host, path in pages:
+        segs = [s for s in path.split("/") if s]
+        key = host, tuple(segs[:4] + ["**"] if len(segs) > 4 else segs)
+        c = shapes.setdefault(key, [0, 0, 0, []])
+        c[0] += 1
+        c[3].append((i, host, path))
+        if good.get(i) is not None:
+            c[1 + (not good[i])] += 1
+    flat = [(h, list(s), *c[:3]) for (h, s), c in shapes.items()]
+    nodes, templates = {}, brute_tree(flat, 4, 8, 0.02, 1.64)
+    for (h, _, _, g, b), t in zip(flat, templates, strict=True):
+        n = nodes.setdefault((h, t), [0, 0])
+        n[0] += g
+        n[1] += b
+    prior = sum(n[0] for n in nodes.values()) / sum(sum(n) for n in nodes.values())
+    want = set()
+    for ((h, _), c), t in zip(shapes.items(), templates, strict=True):
+        g, b = nodes[h, t]
+        purity = (g + 4 * prior) / (g + b + 4)
+        for i, host, path in c[3]:
+            rule, verdict = plain_rule(host, path)
+            want.add((i, host, path, rule, verdict or ("block" if purity < 0.3 else "allow"), t, round(purity, 9)))
+    got = {(r.page_id, r.host, r.path, r.rule, r.verdict, r.template, round(r.purity, 9)) for r in queries.op4_url_filter(spark, sf).collect()}
+    assert got == want
