@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import arrow_map, materialize
+from ledgerloom.llm.common import arrow_map, materialize, partitions
 from ledgerloom.sources.scratch import scratch_path
 
 INDEX = "file string, offset long, length long, url string, digest string, payload_bytes long, record_type string, page_id long, refers_to long"
@@ -127,7 +127,7 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
     Records are dealt by file and stretch of SPAN bytes and sorted by offset; each task reads runs of near records in
     one byte range. A payload that doesn't fit its digest raises.
     """
-    dealt = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN).alias("stretch")).repartition("file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    dealt = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN).alias("stretch")).repartition(partitions(index.sparkSession), "file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
 
     def run(batches):
         store, folder = fs.FileSystem.from_uri(path)
