@@ -58,7 +58,11 @@ class Model:
         self.idf, self.centroids, self.langs, self.floor = idf, centroids, langs, floor
 
     def vector(self, counts: np.ndarray) -> np.ndarray:
-        return unit(np.log1p(counts) * self.idf)
+        """Unit TF-IDF vectors of rows of counts, which are overwritten."""
+        x = np.log1p(counts, out=counts)
+        x *= self.idf
+        x /= np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+        return x
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if text is None or not LETTER.search(text) or not self.langs:
@@ -91,22 +95,29 @@ def fit(docs: DataFrame, per_lang: int = 600, langs: int = 200, centroids: int =
     def features(batches):
         for b in batches:
             keep = [(name, ngram_counts(t, dim)) for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if LETTER.search(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.string()), pa.array([v.tobytes() for _, v in keep], pa.binary())], names=["lang", "v"])
-
-    got = arrow_map(sample, features, "lang string, v binary").collect()
-    if not got:
-        return Model(np.ones(dim, np.float32), np.zeros((0, dim), np.float32), [], {})
-    x = np.vstack([np.frombuffer(bytes(r.v), np.float32) for r in got])
-    names = np.array([r.lang for r in got])
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-    model = Model(idf, np.zeros((0, dim), np.float32), [], {})
-    x = model.vector(x)
-    for name in sorted(set(names)):
-        own = x[names == name]
+            at = [np.flatnonzero(v).astype(np.int32) for _, v in keep]
+            cols = [pa.array([k for k, _ in keep], pa.string()), pa.array([x.tobytes() for x in at], pa.binary()), pa.array([v[x].tobytes() for (_, v), x in zip(keep, at, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "at", "v"])
+
+    # sparse vectors, and one language's at a time in full, so that the driver holds little more than the model
+    by_lang: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in arrow_map(sample, features, "lang string, at binary, v binary").collect():
+        by_lang.setdefault(r.lang, []).append((np.frombuffer(bytes(r.at), np.int32), np.frombuffer(bytes(r.v), np.float32)))
+    seen = np.zeros(dim, np.int64)
+    for rows_of in by_lang.values():
+        for at, _ in rows_of:
+            seen[at] += 1
+    n = sum(map(len, by_lang.values()))
+    model = Model((np.log((1 + n) / (1 + seen)) + 1).astype(np.float32), np.zeros((0, dim), np.float32), [], {})
+    for name in sorted(by_lang):
+        own = np.zeros((len(by_lang[name]), dim), np.float32)
+        for row, (at, v) in zip(own, by_lang.pop(name), strict=True):
+            row[at] = v
+        own = model.vector(own)
         c = spherical_kmeans(own, centroids, 0).astype(np.float32)
         model.centroids = np.vstack([model.centroids, c])
-        model.langs += [str(name)] * len(c)
-        model.floor[str(name)] = slack * float((own @ c.T).max(axis=1).min())
+        model.langs += [name] * len(c)
+        model.floor[name] = slack * float((own @ c.T).max(axis=1).min())
     return model
 
 
