@@ -36,24 +36,24 @@ def segments(path: Column, depth: int) -> Column:
     return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
 
 
-def build_tree(urls: DataFrame, depth: int = 4, support: int = 8, share: float = 0.02, z: float = 1.64) -> DataFrame:
+def build_tree(urls: DataFrame, depth: int = 4, support: int = 8, z: float = 1.64) -> DataFrame:
     """The templates of labelled urls: __host, __segs, template for every distinct path shape in `urls`.
 
     urls: __host, __segs, n, good, bad, one row per distinct shape. Level by level, below each template of a host, a
-    segment stays literal only if it has `support` rows and the share `share` of its siblings' rows and its labelled
-    purity differs from that of all siblings together by more than `z` standard errors; else it is variable, or a
-    branch that is statistically like the others, and becomes the wildcard `*`. Counts only are joined.
+    segment stays literal only if it has `support` rows and its labelled purity differs from that of all siblings
+    together by more than `z` standard errors, however many siblings there are; else it is variable, or a branch that
+    is statistically like the others, and becomes the wildcard `*`. Counts only are joined.
     """
     tree = urls.withColumn("__t", F.lit(""))
     for level in range(1, depth + 2):
         seg = F.get("__segs", F.lit(level - 1))
         here = tree.where(seg.isNotNull()).groupBy("__host", "__t", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
-        total = here.groupBy("__host", "__t").agg(*[F.sum(c).alias("all_" + c) for c in ("n", "good", "bad")])
-        both = here.join(total, ["__host", "__t"])
+        total = here.groupBy("__host", "__t").agg(*[F.sum(c).alias("all_" + c) for c in ("good", "bad")])
+        both = here.where(F.col("n") >= support).join(total, ["__host", "__t"])
         p = (F.col("all_good") + 1) / (F.col("all_good") + F.col("all_bad") + 2)
         k = F.col("good") + F.col("bad")
         apart = F.when(k > 0, F.abs(F.col("good") / k - p) / F.sqrt(p * (1 - p) / k)).otherwise(0.0)
-        kept = both.where((F.col("n") >= support) & (F.col("n") >= share * F.col("all_n")) & (apart > z)).select(F.col("__host").alias("h"), F.col("__t").alias("t"), F.col("seg").alias("literal"))
+        kept = both.where(apart > z).select(F.col("__host").alias("h"), F.col("__t").alias("t"), F.col("seg").alias("literal"))
         tree = tree.join(kept, (F.col("__host") == F.col("h")) & (F.col("__t") == F.col("t")) & (seg == F.col("literal")), "left")
         step = F.when(seg.isNull(), F.col("__t")).otherwise(F.concat(F.col("__t"), F.lit("/"), F.coalesce(F.col("literal"), F.lit("*"))))
         tree = materialize(tree.withColumn("__t", step).drop("h", "t", "literal"), "tree")

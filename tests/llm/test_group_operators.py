@@ -176,6 +176,15 @@ def test_tree_equals_brute_force(spark):
     assert any(t.startswith("/spam") for t in want.values()) and any(t.startswith("/*") for t in want.values())
 
 
+@pytest.mark.parametrize("sections", [10, 120])
+def test_a_branch_stays_literal_however_many_siblings_it_has(spark, sections):
+    pages = spark.createDataFrame([(s * 20 + i, f"http://hot/s{s}/{i}") for s in range(sections) for i in range(20)], "page_id long, url string")
+    labels = pages.select("page_id", (F.col("page_id") >= 20).cast("int").alias("good"))
+    got = {(r.path.split("/")[1] == "s0", r.template, r.verdict) for r in url_filter.judge_urls(pages, labels).collect()}
+    assert {x[1:] for x in got if x[0]} == {("/s0/*", "block")}
+    assert {x[2] for x in got if not x[0]} == {"allow"}
+
+
 # ---- components
 
 
