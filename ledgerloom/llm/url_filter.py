@@ -11,6 +11,8 @@ from ledgerloom.llm.common import materialize
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+#: Parts that the paths below one template are dealt into.
+SALTS = 32
 REST = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -30,37 +32,52 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*fits)
 
 
-def segments(path: Column, depth: int) -> Column:
-    """The first `depth` segments; what stands deeper is one last segment `**`."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
+def segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
-def build_tree(urls: DataFrame, depth: int = 4, support: int = 8, z: float = 1.64) -> DataFrame:
+def build_tree(urls: DataFrame, depth: int | None = None, support: int = 8, z: float = 1.64) -> DataFrame:
     """The templates of labelled urls: __host, __segs, template for every distinct path shape in `urls`.
 
     urls: __host, __segs, n, good, bad, one row per distinct shape. Level by level, below each template of a host, a
     segment stays literal only if it has `support` rows and its labelled purity differs from that of all siblings
     together by more than `z` standard errors, however many siblings there are; else it is variable, or a branch that
     is statistically like the others, and becomes the wildcard `*`. Counts only are joined.
+
+    All levels are walked, unless `depth` asks for the first ones only (the rest is then `*`). Below a template with
+    fewer rows than `support`, or with labels of one kind only (no segment is then more than one standard error from
+    its siblings), no segment can stay literal, so its paths end in wildcards at once and aren't carried on.
     """
-    tree = urls.withColumn("__t", F.lit(""))
-    for level in range(1, depth + 2):
-        seg = F.get("__segs", F.lit(level - 1))
-        here = tree.where(seg.isNotNull()).groupBy("__host", "__t", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")])
-        total = here.groupBy("__host", "__t").agg(*[F.sum(c).alias("all_" + c) for c in ("good", "bad")])
-        both = here.where(F.col("n") >= support).join(total, ["__host", "__t"])
+    tree, done, level = urls.withColumn("__t", F.lit("")), None, 0
+    while True:
+        rest = F.size("__segs") - level
+        sums = tree.where(rest > 0).groupBy("__host", "__t").agg(*[F.sum(c).alias("all_" + c) for c in ("n", "good", "bad")])
+        total = sums.where((F.col("all_n") >= support) & ((F.least("all_good", "all_bad") > 0) | F.lit(z < 1))).withColumnsRenamed({"__host": "oh", "__t": "ot"})
+        # the template of a hot host has many paths: they are dealt out by a part of their hash too
+        total = total.withColumn("os", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.hash("__segs"), F.lit(SALTS))
+        tree = tree.join(total, (rest > 0) & (F.col("__host") == F.col("oh")) & (F.col("__t") == F.col("ot")) & (salt == F.col("os")), "left")
+        tree = materialize(tree.drop("oh", "ot", "os"), "tree")
+        wild = F.concat("__t", F.repeat(F.lit("/*"), F.greatest(rest, F.lit(0))))
+        last = depth is not None and level >= depth
+        ended = tree.where(F.lit(True) if last else F.col("all_n").isNull()).select("__host", "__segs", "n", "good", "bad", wild.alias("template"))
+        done = ended if done is None else done.unionByName(ended)
+        tree = tree.where("all_n is not null")
+        if last or tree.isEmpty():
+            return done
+        seg = F.get("__segs", F.lit(level))
+        here = tree.groupBy("__host", "__t", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")], *[F.first(c).alias(c) for c in ("all_good", "all_bad")])
         p = (F.col("all_good") + 1) / (F.col("all_good") + F.col("all_bad") + 2)
         k = F.col("good") + F.col("bad")
         apart = F.when(k > 0, F.abs(F.col("good") / k - p) / F.sqrt(p * (1 - p) / k)).otherwise(0.0)
-        kept = both.where(apart > z).select(F.col("__host").alias("h"), F.col("__t").alias("t"), F.col("seg").alias("literal"))
+        kept = here.where((F.col("n") >= support) & (apart > z)).select(F.col("__host").alias("h"), F.col("__t").alias("t"), F.col("seg").alias("literal"))
         tree = tree.join(kept, (F.col("__host") == F.col("h")) & (F.col("__t") == F.col("t")) & (seg == F.col("literal")), "left")
-        step = F.when(seg.isNull(), F.col("__t")).otherwise(F.concat(F.col("__t"), F.lit("/"), F.coalesce(F.col("literal"), F.lit("*"))))
-        tree = materialize(tree.withColumn("__t", step).drop("h", "t", "literal"), "tree")
-    return tree.withColumnRenamed("__t", "template")
+        tree = tree.withColumn("__t", F.concat("__t", F.lit("/"), F.coalesce(F.col("literal"), F.lit("*"))))
+        tree = materialize(tree.drop("h", "t", "literal", "all_n", "all_good", "all_bad"), "tree")
+        level += 1
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, threshold: float = 0.3, weight: float = 4.0, depth: int = 4, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, threshold: float = 0.3, weight: float = 4.0, depth: int | None = None, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """pages with host, path, rule, template, purity and verdict (allow or block).
 
     labels: (key, good) with good 1 or 0; rows with a null in either are left out, rows that repeat a key all count.
@@ -72,7 +89,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, threshold: float = 0.3, weig
     """
     new = ("host", "path", "rule", "template", "purity", "verdict")
     rows = pages.drop(*new).withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
-    rows = rows.withColumn("__segs", segments(F.col("path"), depth))
+    rows = rows.withColumn("__segs", segments(F.col("path")))
     known = labels.select(F.col(labels.columns[0]).alias("__key"), F.col(labels.columns[1]).cast("int").alias("__good")).where("__key is not null and __good is not null")
     known = known.groupBy("__key").agg(F.sum("__good").alias("good"), F.sum(1 - F.col("__good")).alias("bad"))
     narrow = rows.select(F.col("host").alias("__host"), "__segs", F.col(f"`{key}`").alias("__key"))

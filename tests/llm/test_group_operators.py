@@ -185,6 +185,24 @@ def test_a_branch_stays_literal_however_many_siblings_it_has(spark, sections):
     assert {x[2] for x in got if not x[0]} == {"allow"}
 
 
+def test_branches_of_any_depth_equal_brute_force(spark):
+    rng = random.Random(10)
+    rows = {}
+    for i in range(1500):
+        kind = rng.choice(["spam", "news", f"x{rng.randrange(3)}"])
+        segs = tuple(f"{kind if level in (2, 5) else level}" for level in range(rng.randrange(9))) + ((str(i),) if i % 3 else ())
+        r = rows.setdefault((rng.choice("hk"), segs), [0, 0, 0])
+        r[0] += 1
+        r[1 + (rng.random() < (0.9 if kind == "spam" else 0.1))] += rng.random() < 0.6
+    flat = [(h, list(s), *c) for (h, s), c in rows.items()]
+    df = spark.createDataFrame(flat, "__host string, __segs array<string>, n long, good long, bad long")
+    got = {(r["__host"], tuple(r["__segs"])): r.template for r in url_filter.build_tree(df).collect()}
+    assert got == dict(zip(rows, brute_tree(flat, 9, 8, 0, 1.64), strict=True))
+    deep = spark.createDataFrame([(i, f"http://h/2024/05/12/topic/{'spam' if i % 2 else 'good'}/{i}") for i in range(80)], "page_id long, url string")
+    judged = url_filter.judge_urls(deep, deep.select("page_id", (F.col("page_id") % 2 == 0).cast("int").alias("good"))).collect()
+    assert {(r.page_id % 2, r.template, r.verdict) for r in judged} == {(0, "/*/*/*/*/good/*", "allow"), (1, "/*/*/*/*/spam/*", "block")}
+
+
 # ---- components
 
 
