@@ -100,13 +100,19 @@ def watermarks(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def sync_gaps(state: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(chain_id, gap_start, gap_end), a row for each gap between blocks up to the highest tip, for each chain of the
+    state."""
+    tip = state.agg(F.max("tip_num")).first()[0] or 0
+    return state.select("chain_id").crossJoin(detect_gaps(blocks, tip))
+
+
 def sync_status(state: DataFrame, blocks: DataFrame, now: Column) -> DataFrame:
     """One row per chain of the state: lag, gap_blocks (negative if synced leads), backfill_remaining (not begun:
-    synced - 1), rate, eta_secs, coverage_pct (whole, 100 at most) and gaps (newest first) between blocks up to the
-    highest tip."""
+    synced - 1), rate, eta_secs, coverage_pct (whole, 100 at most), and how many gaps there are between blocks up to
+    the highest tip (n_gaps) and blocks in them (missing). The gaps themselves are the rows of `sync_gaps`."""
     tip = state.agg(F.max("tip_num")).first()[0] or 0
-    gaps = detect_gaps(blocks, tip).agg(F.sort_array(F.collect_list(F.struct("gap_end", "gap_start")), asc=False).alias("g"))
-    gaps = gaps.select(F.transform("g", lambda x: F.concat_ws("-", x["gap_start"].cast("string"), x["gap_end"].cast("string"))).alias("gaps"))
+    gaps = detect_gaps(blocks, tip).agg(F.count("*").alias("n_gaps"), F.coalesce(F.sum(F.col("gap_end") - F.col("gap_start") + 1), F.lit(0)).alias("missing"))
     rows = blocks.agg(F.count_distinct("num").alias("n_blocks"))
     c = F.col
     left = F.when(c("backfill_num").isNull(), c("synced_num") - 1).otherwise(c("backfill_num"))
@@ -116,5 +122,5 @@ def sync_status(state: DataFrame, blocks: DataFrame, now: Column) -> DataFrame:
     out = s.join(F.broadcast(gaps)).join(F.broadcast(rows))  # one row each
     return out.select(
         "chain_id", (c("head_num") - c("tip_num")).alias("lag"), (c("tip_num") - c("synced_num")).alias("gap_blocks"), "backfill_remaining", "rate", F.when(c("rate") > 0, c("backfill_remaining") / c("rate")).alias("eta_secs"),
-        F.when(c("head_num") > 0, F.least(F.lit(100), F.floor(F.lit(100) * c("n_blocks") / c("head_num")))).otherwise(F.lit(0)).cast("long").alias("coverage_pct"), "gaps",
+        F.when(c("head_num") > 0, F.least(F.lit(100), F.floor(F.lit(100) * c("n_blocks") / c("head_num")))).otherwise(F.lit(0)).cast("long").alias("coverage_pct"), "n_gaps", "missing",
     )

@@ -299,8 +299,13 @@ def watermarks(spark, sf):
 def sync_status(spark, sf):
     at = "2024-01-01 00:00:00"
     state = _state(spark, [(1, 1300, 1190, 1200, 10, None, at, at, 0, 1), (2, 1_300_000, 1300, 1100, None, None, at, at, 0, 1), (3, 1200, 1200, 1200, 0, None, at, at, 0, 1)])
-    s = integrity.sync_status(state, fixtures.gapped_blocks(spark, sf), F.to_timestamp(F.lit("2024-01-01 01:00:00")))
-    return s.withColumn("gaps", F.array_join("gaps", ","))
+    blocks = fixtures.gapped_blocks(spark, sf)
+    s = integrity.sync_status(state, blocks, F.to_timestamp(F.lit("2024-01-01 01:00:00")))
+    # the SQL shows the gaps of this state's tips (1200 at most) as one text
+    listed = F.sort_array(F.collect_list(F.struct("gap_end", "gap_start")), asc=False)
+    text = F.array_join(F.transform(listed, lambda x: F.concat_ws("-", x["gap_start"].cast("string"), x["gap_end"].cast("string"))), ",")
+    shown = integrity.sync_gaps(state, blocks).groupBy("chain_id").agg(text.alias("gaps"))
+    return s.drop("n_gaps", "missing").join(shown, "chain_id", "left").withColumn("gaps", F.coalesce("gaps", F.lit("")))
 
 
 # ---- decoding on read

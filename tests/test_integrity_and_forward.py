@@ -43,6 +43,17 @@ def test_batches_from_the_top(spark):
     assert [tuple(r) for r in integrity.plan_batches(g, 10).collect()] == [(40, 42), (16, 25), (6, 15), (1, 5)]
 
 
+def test_sync_gaps_are_rows_and_the_status_counts_them(spark):
+    names = "chain_id long, head_num long, synced_num long, tip_num long, backfill_num long, started_at timestamp"
+    state = spark.createDataFrame([(1, 10**7, 5, 9 * 10**6, None, None), (2, 20, 5, 8, 3, None)], names)
+    blocks = nums(spark, [1, 2, 5, 3_000_000, 3_000_001, 9_000_000, 9_500_000])
+    want = [(3, 4), (6, 2_999_999), (3_000_002, 8_999_999)]
+    assert sorted(map(tuple, integrity.sync_gaps(state, blocks).collect())) == [(c, *g) for c in (1, 2) for g in want]
+    status = integrity.sync_status(state, blocks, F.current_timestamp())
+    assert {(r.chain_id, r.n_gaps, r.missing) for r in status.collect()} == {(c, 3, sum(b - a + 1 for a, b in want)) for c in (1, 2)}
+    assert "collect_list" not in status._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fork_point_takes_what_is_not_stored(spark):
     h = lambda rows: spark.createDataFrame([(n, bytearray([x]), t) for n, x, t in rows], "num long, hash binary, timestamp int")
     canonical = h([(n, n, 0) for n in range(1, 10)])
