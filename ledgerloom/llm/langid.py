@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import arrow_map
 
 LETTER = re.compile(r"[^\W\d_]")
+#: The same for Spark's `rlike`.
+HAS_LETTER = r"[\p{L}\p{Nl}\p{No}]"
 #: What separates letters, in UTF-8: ASCII other than letters becomes a space, upper case lower case.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _RUNS = re.compile(rb" {2,}")
@@ -75,21 +77,22 @@ class Model:
 
 def fit(docs: DataFrame, per_lang: int = 600, langs: int = 200, centroids: int = 4, dim: int = 8192, slack: float = 0.25, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Learns from a bounded sample: of each of the `langs` most frequent languages the `per_lang` labelled rows with
-    the smallest hash of the key, so at most langs * per_lang vectors reach the driver, whatever the size of docs.
+    the smallest hash of key and text, so at most langs * per_lang vectors reach the driver, whatever the size of docs.
+    Only rows with a letter count, and rows of the same key and text as one.
 
     Labels and keys may be null (null labels aren't used); texts that are null or without a letter neither. With no
     row to learn from, the model knows no language and rejects every text. A language's rejection floor is `slack`
     times the lowest cosine to its centroids that was seen among its sampled texts.
     """
-    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.xxhash64(F.col(f"`{key}`").cast("string"), F.lit("langid")).alias("h"))
-    rows = rows.where(F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
+    rows = docs.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{key}`").cast("string").alias("key"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(HAS_LETTER)).select("text", "lang", F.xxhash64("key", "text", F.lit("langid")).alias("h"))
+    counts = {r.lang: r.d for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "lang").limit(langs).collect()}
     if not counts:
         return Model(np.ones(dim, np.float32), np.zeros((0, dim), np.float32), [], {})
     # a hash below this limit holds about twice as many rows as asked for; the window then sorts only these
-    limit = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, 2 * per_lang / n)))])
-    near = rows.where(F.col("text").isNotNull()).where(F.col("h") < (limit[F.col("lang")] * (2.0**64) - 2.0**63))
-    order = Window.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    limit = F.create_map(*[x for name, d in counts.items() for x in (F.lit(name), F.lit(min(1.0, 2 * per_lang / max(d, 1))))])
+    near = rows.where(F.col("h") < (limit[F.col("lang")] * (2.0**64) - 2.0**63)).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
     sample = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("lang", "text")
 
     def features(batches):

@@ -61,6 +61,13 @@ def test_held_out_accuracy(spark, sf):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_sample_holds_languages_of_few_texts_or_of_one_key(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "few").otherwise("keyless").alias("lang"), "id")
+    few = F.when(F.col("id") < 40, "alpha beta gamma")
+    rows = rows.withColumn("text", F.when(F.col("lang") == "few", few).otherwise(F.concat(F.lit("omega psi chi "), F.col("id").cast("string"))))
+    assert set(langid.fit(rows, per_lang=20).langs) == {"few", "keyless"}
+
+
 def test_language_edges(spark):
     learn = docs(spark, *[(i, "the quick brown fox and the lazy dog of the house", "en") for i in range(20)], *[(100 + i, "der schnelle braune fuchs und der faule hund im haus", "de") for i in range(20)], (500, None, "en"), (501, "no label", None), (None, "the thing", "en"), (502, "...", "xx"))
     model = langid.fit(learn)
