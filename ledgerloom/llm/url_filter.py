@@ -1,4 +1,5 @@
-"""URL filters: rules first, then a tree of path templates per host, judged by labelled purity."""
+"""URL filters: rules first, then a tree of path templates per host, whose like branches are merged, judged by smoothed
+labelled purity."""
 
 from __future__ import annotations
 
@@ -36,28 +37,67 @@ def segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: s != "")
 
 
+def with_sums(rows: DataFrame, sums: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """rows with the sums of their group, where there are any. The rows of a hot group are dealt out by a part of the
+    hash of `by` too, and its sums are copied to each part."""
+    there = sums.withColumnsRenamed({k: f"__of{i}" for i, k in enumerate(keys)}).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = F.pmod(F.hash(by), F.lit(SALTS)) == F.col("__part")
+    for i, k in enumerate(keys):
+        same &= F.col(k) == F.col(f"__of{i}")
+    return rows.join(there, same, "left").drop("__part", *[f"__of{i}" for i in range(len(keys))])
+
+
+def apart(good: str, bad: str, all_good: str, all_bad: str) -> Column:
+    """How many standard errors the purity of a branch is above (or below) that of all; 0 without labels."""
+    p = (F.col(all_good) + 1) / (F.col(all_good) + F.col(all_bad) + 2)
+    k = F.col(good) + F.col(bad)
+    return F.when(k > 0, (F.col(good) / k - p) / F.sqrt(p * (1 - p) / k)).otherwise(0.0)
+
+
+def like_branches(odd: DataFrame, z: float) -> DataFrame:
+    """__host, __t, seg, branch: the odd siblings of each template (with side, + or -, of their pool) in branches.
+
+    Siblings of one side stay together, but for those that differ from what is pooled there by more than `z` standard
+    errors: these are split again by side, until none differs. A sibling that ends alone keeps its segment as the
+    branch; those that end together share a wildcard, `*` with the sides that led to it."""
+    keys, named = ["__host", "__t", "side"], None
+    while named is None or not odd.isEmpty():
+        pooled = odd.groupBy(*keys).agg(F.sum("good").alias("side_good"), F.sum("bad").alias("side_bad"))
+        tested = with_sums(odd, pooled, keys, "seg").withColumn("apart", apart("good", "bad", "side_good", "side_bad"))
+        tested = materialize(tested.drop("side_good", "side_bad"), "tested")
+        stay = tested.where(F.abs("apart") <= z).drop("apart")
+        named = stay if named is None else named.unionByName(stay)
+        moved = tested.where(F.abs("apart") > z).withColumn("side", F.concat("side", F.when(F.col("apart") > 0, "+").otherwise("-")))
+        odd = materialize(moved.drop("apart"), "odd")
+    together = with_sums(named, named.groupBy(*keys).agg(F.count("*").alias("members")), keys, "seg")
+    # a literal that looks like a wildcard is written as its percent code
+    literal = F.regexp_replace("seg", r"^\*", "%2A")
+    return together.select("__host", "__t", "seg", F.when(F.col("members") == 1, literal).otherwise(F.concat(F.lit("*"), "side")).alias("branch"))
+
+
 def build_tree(urls: DataFrame, depth: int | None = None, support: int = 8, z: float = 1.64) -> DataFrame:
     """The templates of labelled urls: __host, __segs, template for every distinct path shape in `urls`.
 
     urls: __host, __segs, n, good, bad, one row per distinct shape. Level by level, below each template of a host, a
-    segment stays literal only if it has `support` rows and its labelled purity differs from that of all siblings
-    together by more than `z` standard errors, however many siblings there are; else it is variable, or a branch that
-    is statistically like the others, and becomes the wildcard `*`. Counts only are joined.
+    segment is variable and becomes the wildcard `*` unless it has `support` rows and its labelled purity differs from
+    that of all siblings together by more than `z` standard errors, however many siblings there are (so one without a
+    label, like no other branch as much as unlike, is variable too). Those that differ are merged with one another
+    where they are alike (see like_branches); one that is like no other stays literal. Counts only are joined.
 
     All levels are walked, unless `depth` asks for the first ones only (the rest is then `*`). Below a template with
     fewer rows than `support`, or with labels of one kind only (no segment is then more than one standard error from
-    its siblings), no segment can stay literal, so its paths end in wildcards at once and aren't carried on.
+    its siblings, and z is at least 1), no segment can stay literal, so its paths end in wildcards at once and aren't
+    carried on.
     """
-    tree, done, level = urls.withColumn("__t", F.lit("")), None, 0
+    if z < 1:
+        raise ValueError("z must be at least 1")
+    tree, done, level, node = urls.withColumn("__t", F.lit("")), None, 0, ["__host", "__t"]
     while True:
         rest = F.size("__segs") - level
-        sums = tree.where(rest > 0).groupBy("__host", "__t").agg(*[F.sum(c).alias("all_" + c) for c in ("n", "good", "bad")])
-        total = sums.where((F.col("all_n") >= support) & ((F.least("all_good", "all_bad") > 0) | F.lit(z < 1))).withColumnsRenamed({"__host": "oh", "__t": "ot"})
-        # the template of a hot host has many paths: they are dealt out by a part of their hash too
-        total = total.withColumn("os", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salt = F.pmod(F.hash("__segs"), F.lit(SALTS))
-        tree = tree.join(total, (rest > 0) & (F.col("__host") == F.col("oh")) & (F.col("__t") == F.col("ot")) & (salt == F.col("os")), "left")
-        tree = materialize(tree.drop("oh", "ot", "os"), "tree")
+        total = tree.where(rest > 0).groupBy(*node).agg(*[F.sum(c).alias("all_" + c) for c in ("n", "good", "bad")])
+        total = total.where((F.col("all_n") >= support) & (F.least("all_good", "all_bad") > 0))
+        ends = tree.where(rest <= 0).withColumns({c: F.lit(None).cast("long") for c in ("all_n", "all_good", "all_bad")})
+        tree = materialize(with_sums(tree.where(rest > 0), total, node, "__segs").unionByName(ends), "tree")
         wild = F.concat("__t", F.repeat(F.lit("/*"), F.greatest(rest, F.lit(0))))
         last = depth is not None and level >= depth
         ended = tree.where(F.lit(True) if last else F.col("all_n").isNull()).select("__host", "__segs", "n", "good", "bad", wild.alias("template"))
@@ -66,15 +106,19 @@ def build_tree(urls: DataFrame, depth: int | None = None, support: int = 8, z: f
         if last or tree.isEmpty():
             return done
         seg = F.get("__segs", F.lit(level))
-        here = tree.groupBy("__host", "__t", seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")], *[F.first(c).alias(c) for c in ("all_good", "all_bad")])
-        p = (F.col("all_good") + 1) / (F.col("all_good") + F.col("all_bad") + 2)
-        k = F.col("good") + F.col("bad")
-        apart = F.when(k > 0, F.abs(F.col("good") / k - p) / F.sqrt(p * (1 - p) / k)).otherwise(0.0)
-        kept = here.where((F.col("n") >= support) & (apart > z)).select(F.col("__host").alias("h"), F.col("__t").alias("t"), F.col("seg").alias("literal"))
-        tree = tree.join(kept, (F.col("__host") == F.col("h")) & (F.col("__t") == F.col("t")) & (seg == F.col("literal")), "left")
-        tree = tree.withColumn("__t", F.concat("__t", F.lit("/"), F.coalesce(F.col("literal"), F.lit("*"))))
-        tree = materialize(tree.drop("h", "t", "literal", "all_n", "all_good", "all_bad"), "tree")
+        here = tree.groupBy(*node, seg.alias("seg")).agg(*[F.sum(c).alias(c) for c in ("n", "good", "bad")], *[F.first(c).alias(c) for c in ("all_good", "all_bad")])
+        here = here.where(F.col("n") >= support).withColumn("apart", apart("good", "bad", "all_good", "all_bad")).where(F.abs("apart") > z)
+        side = F.when(F.col("apart") > 0, "+").otherwise("-")
+        odd = materialize(here.select(*node, "seg", "good", "bad", side.alias("side")), "odd")
         level += 1
+        tree = tree.drop("all_n", "all_good", "all_bad")
+        if odd.isEmpty():  # all are alike: nothing to join
+            tree = tree.withColumn("__t", F.concat("__t", F.lit("/*")))
+            continue
+        found = materialize(like_branches(odd, z), "branches").withColumnsRenamed({"__host": "h", "__t": "t", "seg": "s"})
+        tree = tree.join(found, (F.col("__host") == F.col("h")) & (F.col("__t") == F.col("t")) & (seg == F.col("s")), "left")
+        tree = tree.withColumn("__t", F.concat("__t", F.lit("/"), F.coalesce(F.col("branch"), F.lit("*"))))
+        tree = materialize(tree.drop("h", "t", "s", "branch"), "tree")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, threshold: float = 0.3, weight: float = 4.0, depth: int | None = None, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -91,7 +135,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, threshold: float = 0.3, weig
     rows = pages.drop(*new).withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
     rows = rows.withColumn("__segs", segments(F.col("path")))
     known = labels.select(F.col(labels.columns[0]).alias("__key"), F.col(labels.columns[1]).cast("int").alias("__good")).where("__key is not null and __good is not null")
-    known = known.groupBy("__key").agg(F.sum("__good").alias("good"), F.sum(1 - F.col("__good")).alias("bad"))
+    # written first, so that the join has plain shuffles on both sides and Spark can split a hot (or null) key
+    known = materialize(known.groupBy("__key").agg(F.sum("__good").alias("good"), F.sum(1 - F.col("__good")).alias("bad")), "known")
     narrow = rows.select(F.col("host").alias("__host"), "__segs", F.col(f"`{key}`").alias("__key"))
     shapes = narrow.join(known, "__key", "left").groupBy("__host", "__segs").agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     tree = build_tree(materialize(shapes, "shapes"), depth)
@@ -99,7 +144,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, threshold: float = 0.3, weig
     prior = F.lit(0.5 if prior is None else float(prior))
     nodes = tree.groupBy("__host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     nodes = nodes.select("__host", "template", ((F.col("g") + weight * prior) / (F.col("g") + F.col("b") + weight)).alias("purity"))
-    judged = materialize(tree.select("__host", "__segs", "template").join(nodes, ["__host", "template"]), "judged").withColumnsRenamed({"__host": "__h", "__segs": "__s"})
+    judged = materialize(with_sums(tree.select("__host", "__segs", "template"), nodes, ["__host", "template"], "__segs"), "judged").withColumnsRenamed({"__host": "__h", "__segs": "__s"})
     out = rows.join(judged, (F.col("host") == F.col("__h")) & (F.col("__segs") == F.col("__s")), "left")
     rule = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("purity") < threshold, "block").otherwise("allow")

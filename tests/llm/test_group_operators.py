@@ -138,10 +138,24 @@ def test_hosts_paths_and_rules(spark):
     assert {r.purity for r in url_filter.judge_urls(pages, labels.limit(0)).collect()} == {0.5}
 
 
-def brute_tree(rows, depth, support, share, z):
-    """rows: (host, segments, n, good, bad) -> template of each, level by level."""
+def brute_branches(odd, z):
+    """odd: segment -> (good, bad), siblings on one side of their pool -> lists of siblings that belong together, with the
+    sides that led to them."""
+    if not odd:
+        return []
+    good, bad = np.sum(list(odd.values()), axis=0)
+    p = (good + 1) / (good + bad + 2)
+    off = {s: (g / (g + b) - p) / np.sqrt(p * (1 - p) / (g + b)) for s, (g, b) in odd.items()}
+    out = [("", [s for s in odd if abs(off[s]) <= z])]
+    for side, sign in (("+", 1), ("-", -1)):
+        out += [(side + path, members) for path, members in brute_branches({s: odd[s] for s in odd if sign * off[s] > z}, z)]
+    return out
+
+
+def brute_tree(rows, support, z):
+    """rows: (host, segments, n, good, bad) -> template of each, level by level, to the last segment."""
     t = [""] * len(rows)
-    for level in range(depth + 1):
+    for level in range(max(len(r[1]) for r in rows)):
         at = {}
         for i, (host, segs, *c) in enumerate(rows):
             if level < len(segs):
@@ -149,13 +163,20 @@ def brute_tree(rows, depth, support, share, z):
         for children in at.values():
             total = np.sum([c for x in children.values() for _, c in x], axis=0)
             p = (total[1] + 1) / (total[1] + total[2] + 2)
+            sides = {"+": {}, "-": {}}
             for seg, x in children.items():
                 n, good, bad = np.sum([c for _, c in x], axis=0)
                 k = good + bad
-                apart = abs(good / k - p) / np.sqrt(p * (1 - p) / k) if k else 0
-                literal = n >= support and n >= share * total[0] and apart > z
+                apart = (good / k - p) / np.sqrt(p * (1 - p) / k) if k else 0
+                if n >= support and abs(apart) > z:
+                    sides["+" if apart > 0 else "-"][seg] = (good, bad)
+            branch = {}
+            for side, odd in sides.items():
+                for path, members in brute_branches(odd, z):
+                    branch |= {s: s if len(members) == 1 else f"*{side}{path}" for s in members}
+            for seg, x in children.items():
                 for i, _ in x:
-                    t[i] += "/" + (seg if literal else "*")
+                    t[i] += "/" + branch.get(seg, "*")
     return t
 
 
@@ -170,8 +191,8 @@ def test_tree_equals_brute_force(spark):
         r[1 + (not good)] += rng.random() < 0.6
     flat = [(h, list(s), *c) for (h, s), c in rows.items()]
     df = spark.createDataFrame(flat, "__host string, __segs array<string>, n long, good long, bad long")
-    got = {(r["__host"], tuple(r["__segs"])): r.template for r in url_filter.build_tree(df, depth=4).collect()}
-    want = dict(zip(rows, brute_tree(flat, 4, 8, 0.02, 1.64), strict=True))
+    got = {(r["__host"], tuple(r["__segs"])): r.template for r in url_filter.build_tree(df).collect()}
+    want = dict(zip(rows, brute_tree(flat, 8, 1.64), strict=True))
     assert got == want
     assert any(t.startswith("/spam") for t in want.values()) and any(t.startswith("/*") for t in want.values())
 
@@ -197,12 +218,31 @@ def test_branches_of_any_depth_equal_brute_force(spark):
     flat = [(h, list(s), *c) for (h, s), c in rows.items()]
     df = spark.createDataFrame(flat, "__host string, __segs array<string>, n long, good long, bad long")
     got = {(r["__host"], tuple(r["__segs"])): r.template for r in url_filter.build_tree(df).collect()}
-    assert got == dict(zip(rows, brute_tree(flat, 9, 8, 0, 1.64), strict=True))
+    assert got == dict(zip(rows, brute_tree(flat, 8, 1.64), strict=True))
     deep = spark.createDataFrame([(i, f"http://h/2024/05/12/topic/{'spam' if i % 2 else 'good'}/{i}") for i in range(80)], "page_id long, url string")
     judged = url_filter.judge_urls(deep, deep.select("page_id", (F.col("page_id") % 2 == 0).cast("int").alias("good"))).collect()
     assert {(r.page_id % 2, r.template, r.verdict) for r in judged} == {(0, "/*/*/*/*/good/*", "allow"), (1, "/*/*/*/*/spam/*", "block")}
 
 
+def test_like_siblings_are_merged_and_unlike_ones_are_not(spark):
+    """Twelve bad sections of one kind and twelve half bad ones, among good ones."""
+    bad = F.when(F.col("s") < 12, F.lit(1.0)).when(F.col("s") < 24, F.lit(0.5)).otherwise(F.lit(0.0))
+    pages = spark.range(60 * 40).select(F.col("id").alias("page_id"), F.floor(F.col("id") / 40).alias("s"), (F.col("id") % 40).alias("i"))
+    labels = pages.select("page_id", (F.col("i") >= 40 * bad).cast("int").alias("good"))
+    pages = pages.select("page_id", F.format_string("http://hot/s%d/%d", "s", "i").alias("url"))
+    got = {(r.template, r.verdict) for r in url_filter.judge_urls(pages, labels).select("template", "verdict").distinct().collect()}
+    assert {t for t, v in got if v == "block"} == {"/*-/*"} or all(t.startswith("/*-") for t, v in got if v == "block")
+    assert len(got) <= 6  # 60 sections in a handful of branches
+
+
+def test_very_deep_and_long_paths(spark):
+    deep, wide = "/".join(str(i % 3) for i in range(16)), "x" * 100_000
+    pages = spark.createDataFrame([(i, f"http://h/{deep}/{'bad' if i % 2 else 'good'}/{i}") for i in range(40)] + [(100, f"http://h/{wide}"), (101, "http://h/*-/x"), (102, "http://h" + "/" * 5000)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, pages.select("page_id", (F.col("page_id") % 2 == 0).cast("int").alias("good"))).collect()}
+    assert {got[i].verdict for i in range(0, 40, 2)} == {"allow"} and {got[i].verdict for i in range(1, 40, 2)} == {"block"}
+    assert got[102].template == "" and got[100].template == "/*"
+
+
 # ---- components
 
 
@@ -388,14 +428,14 @@ def test_url_query_equals_brute_force(spark, sf):
     shapes = {}
     for i, host, path in pages:
         segs = [s for s in path.split("/") if s]
-        key = host, tuple(segs[:4] + ["**"] if len(segs) > 4 else segs)
+        key = host, tuple(segs)
         c = shapes.setdefault(key, [0, 0, 0, []])
         c[0] += 1
         c[3].append((i, host, path))
         if good.get(i) is not None:
             c[1 + (not good[i])] += 1
     flat = [(h, list(s), *c[:3]) for (h, s), c in shapes.items()]
-    nodes, templates = {}, brute_tree(flat, 4, 8, 0.02, 1.64)
+    nodes, templates = {}, brute_tree(flat, 8, 1.64)
     for (h, _, _, g, b), t in zip(flat, templates, strict=True):
         n = nodes.setdefault((h, t), [0, 0])
         n[0] += g
