@@ -81,6 +81,60 @@ def test_language_edges(spark):
     assert langid.identify(docs(spark), model).collect() == []
 
 
+@pytest.mark.parametrize("text", ["½", "²", "Ⅷ", "①", "12 ½ _ ٣", "🙂", "\u0301"])
+def test_numbers_and_marks_are_no_letters(spark, text):
+    learn = docs(spark, *[(i, f"plain words {i}", "en") for i in range(5)], (9, text, "numbers"))
+    model = langid.fit(learn)
+    assert model.langs == ["en"]
+    r = langid.identify(docs(spark, (1, text), (2, text + "ª")), model).orderBy("doc_id").collect()
+    assert (r[0].lang_pred, r[0].score, r[0].rejected) == ("und", 0.0, True) and r[1].lang_pred == "en"
+
+
+def test_every_language_is_learned_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANG_BLOCK", 100)
+    learn = spark.range(250 * 3).select(F.col("id").alias("doc_id"), F.format_string("l%03d", F.col("id") % 250).alias("lang"), F.concat_ws(" ", *[F.substring(F.md5(((F.col("id") % 250) * 40 + k).cast("string")), 1, 9) for k in range(12)]).alias("text"))
+    model = langid.fit(learn, per_lang=5, centroids=1, dim=1024)
+    assert len(model.langs) == 250
+    got = langid.identify(learn, model).where("doc_id < 250").select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 248
+
+
+def plain_vector(text, dim, idf):
+    """TF-IDF in plain Python and double precision."""
+    folded = "".join(c if not c.isascii() or c.isalpha() else " " for c in text.lower())
+    data = b" " + b" ".join(folded.encode().split(b" ")) + b" "
+    while b"  " in data:
+        data = data.replace(b"  ", b" ")
+    shift = 32 - dim.bit_length() + 1
+    counts = {}
+    for i in range(len(data) - 1):
+        two = data[i] << 8 | data[i + 1]
+        grams = [(1 << 24) + two] + ([two << 8 | data[i + 2]] if i + 2 < len(data) else [])
+        for g in grams:
+            f = (g * 2654435761 & 0xFFFFFFFF) >> shift
+            counts[f] = counts.get(f, 0) + 1
+    v = {f: np.log1p(n) * float(idf[f]) for f, n in counts.items()}
+    size = sum(x * x for x in v.values()) ** 0.5
+    return {f: x / size for f, x in v.items()}
+
+
+def test_language_query_equals_brute_force(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(df.where(~queries.held_out()))
+    centroids = {r.lang: (np.frombuffer(bytes(r.centroids), np.float32).reshape(-1, len(model.idf)).astype(float), r.floor) for r in model.table.collect()}
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in queries.op5_language_id(spark, sf).collect():
+        t = texts[r.doc_id]
+        if t is None or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        v = plain_vector(t, len(model.idf), model.idf)
+        cos = {name: max(sum(x * row[f] for f, x in v.items()) for row in c) for name, (c, _) in centroids.items()}
+        best = max(cos.values())
+        assert abs(r.score - best) < 1e-4 and cos[r.lang_pred] > best - 1e-4
+        assert r.rejected == (r.score < centroids[r.lang_pred][1])
+
+
 # ---- mixing
 
 
