@@ -1,12 +1,13 @@
 """Secret scans with corpus-wide ownership, in DataFrame functions only.
 
 Spans come from two expressions per pattern: `regexp_extract_all` gives the matches and `split` the pieces between
-them, so running sums of their lengths give each match's place in code points.
+them, so running sums of their lengths give each match's place in code points. The sums run in windows over the
+matches, so a text of very many costs no more for each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialize
@@ -22,26 +23,19 @@ HEX_RUN, TOKEN_RUN = r"(?<![0-9a-f])[0-9a-f]{24,}+", r"(?<![A-Za-z0-9+/_-])[A-Za
 KINDS = ("assign", "access", "hex", "owned")
 
 
-def spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<s, e, v>> of the matches: start and end in code points, and the text of the group."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), 0)
-    value = F.regexp_extract_all(text, F.lit(pattern), group) if group else whole
-    gaps = F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("got"))
+#: Code points of the pieces that a text is cut into for redaction.
+CHUNK = 1024
 
-    def step(acc, x):
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["all"])
-        return F.struct(e.alias("at"), F.concat(acc["got"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v")))).alias("got"))
 
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("all"), value.alias("v"))
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+def matches(text: Column, kind: int, pattern: str, group: int = 0) -> Column:
+    """array<struct<k, g, n, v>> of the matches in order: kind, length of the gap before, length of the match (both in
+    code points), and the text of the group."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), 0)
+    value = F.regexp_extract_all(text, F.lit(pattern), group) if group else whole
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
+    found = F.transform(F.arrays_zip(gaps.alias("g"), whole.alias("n"), value.alias("v")), lambda x: F.struct(F.lit(kind).alias("k"), F.length(x["g"]).alias("g"), F.length(x["n"]).alias("n"), x["v"].alias("v")))
     # most texts hold no match: one search decides, before anything is split
-    return F.when(text.rlike(pattern), F.aggregate(zipped, empty, step, lambda acc: acc["got"])).otherwise(none)
-
-
-def _tagged(kind: int, found: Column) -> Column:
-    return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<k:int,g:int,n:int,v:string>>"))
 
 
 def joined(found: Column) -> Column:
@@ -50,26 +44,35 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def find_candidates(docs: DataFrame, key: str, owner: str, text: str, carry: list[str]) -> DataFrame:
-    """One row per document: __row (unique), __repo, __owner, base (spans of the three kinds), cand (the method's)."""
+def find_matches(docs: DataFrame, key: str, owner: str, text: str, carry: list[str]) -> DataFrame:
+    """One row per document: __row (unique), __repo, __owner, found (the matches of all four patterns)."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    assign = F.filter(spans(t, ASSIGN, 2), lambda x: F.length(x["v"]) >= 6)
-    token = F.filter(spans(t, TOKEN_RUN), lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[A-Za-z]"))
-    base = F.concat(_tagged(0, assign), _tagged(1, spans(t, ACCESS)), _tagged(2, spans(t, HEX_RUN)))
+    found = F.concat(matches(t, 0, ASSIGN, 2), matches(t, 1, ACCESS), matches(t, 2, HEX_RUN), matches(t, 3, TOKEN_RUN))
     return docs.select(
-        F.monotonically_increasing_id().alias("__row"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("__repo"),
-        F.coalesce(F.col(f"`{owner}`").cast("string"), F.lit("")).alias("__owner"), base.alias("base"), _tagged(3, token).alias("cand"), *[F.col(f"`{c}`") for c in carry],
+        *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carry)], F.monotonically_increasing_id().alias("__row"),
+        F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")).alias("__repo"), F.coalesce(F.col(f"`{owner}`").cast("string"), F.lit("")).alias("__owner"), found.alias("__found"),
     )
 
 
-def ownership(scanned: DataFrame) -> DataFrame:
+def place(scanned: DataFrame) -> DataFrame:
+    """One row per span: __row, __repo, __owner, h (hash of the value), x (struct<s, k, e, v>). A span's place is the
+    running sum of the lengths before it; too short assignments and tokens without a letter or digit go after that."""
+    each = scanned.where(F.size("__found") > 0).select("__row", "__repo", "__owner", F.posexplode("__found").alias("i", "m")).select("__row", "__repo", "__owner", "i", "m.*")
+    end = F.sum(F.col("g") + F.col("n")).over(Window.partitionBy("__row", "k").orderBy("i")).cast("int")
+    each = each.withColumn("e", end)
+    short = (F.col("k") == 0) & (F.length("v") < 6)
+    plain = (F.col("k") == 3) & ~(F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]"))
+    x = F.struct((F.col("e") - F.col("n")).alias("s"), "k", "e", "v")
+    return each.where(~short & ~plain).select("__row", "__repo", "__owner", F.xxhash64("v").alias("h"), x.alias("x"))
+
+
+def ownership(placed: DataFrame) -> DataFrame:
     """Per candidate hash (of a base span's value or of a token): repos and owners it occurs in, each counted once.
 
     Counting goes by hash, then by hash and owner with a partial sum before each shuffle, so an example copied into a
     third of all documents is a handful of rows when its key meets in one task.
     """
-    every = scanned.select("__repo", "__owner", F.explode(F.concat("base", "cand")).alias("x"))
-    once = every.select(F.xxhash64("x.v").alias("h"), "__owner", "__repo").groupBy("h", "__owner", "__repo").agg(F.lit(1).alias("one"))
+    once = placed.groupBy("h", "__owner", "__repo").agg(F.lit(1).alias("one"))
     per_owner = once.groupBy("h", "__owner").agg(F.count("*").alias("repos"))
     return per_owner.groupBy("h").agg(F.sum("repos").alias("repos"), F.count("*").alias("owners"))
 
@@ -82,35 +85,73 @@ def scan(docs: DataFrame, max_owners: int = 1, max_repos: int = 20, key: str = "
     `max_repos` repositories hold it; one that is copied more widely is an example. The base spans are all kept,
     whoever owns them; the method adds an `owned` span for every candidate token that is live and that no base span
     covers. Null text: no span. Null key or owner: one repository or owner of its own. Repeated rows: one result each.
-    Empty table: empty result. Columns of docs outside `carry` are not returned.
+    Empty table: empty result. Columns of docs outside `carry` are not returned, and carried ones may not bear the names
+    of the new ones. Work grows in proportion to text and spans, however many spans a text has.
     """
-    found = materialize(find_candidates(docs, key, owner, text, list(carry)), "secrets")
-    owners = materialize(ownership(found).where((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)), "owners")
-    each = found.select("__row", F.explode(F.concat("base", "cand")).alias("x")).withColumn("h", F.xxhash64("x.v"))
-    live = each.join(owners, "h").groupBy("__row").agg(F.collect_list("x").alias("lives"))
+    clash = {"base", "spans", "live"} & set(carry)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} can't be carried: the result has its own")
+    found = materialize(find_matches(docs, key, owner, text, list(carry)), "secrets")
+    placed = materialize(place(found), "placed")
+    owners = materialize(ownership(placed).where((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).select("h", F.lit(True).alias("live")), "owners")
+    each = placed.select("__row", "h", "x").join(owners, "h", "left").select("__row", "x", F.coalesce("live", F.lit(False)).alias("live"))
+    # whether a base span begins before a token's end and ends after its start: the furthest end so far, or the next start
+    own, by_start = F.col("x.k") == 3, Window.partitionBy("__row").orderBy("x.s", "x.k")
+    reached = F.max(F.when(~own, F.col("x.e"))).over(by_start)
+    backward = Window.partitionBy("__row").orderBy(F.desc("x.s"), F.desc("x.k"))  # a frame up to the end would be walked anew for each row
+    following = F.min(F.when(~own, F.col("x.s"))).over(backward.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumns({"reached": reached, "following": following})
+    clear = (F.coalesce("reached", F.lit(0)) <= F.col("x.s")) & (F.col("following").isNull() | (F.col("following") >= F.col("x.e")))
+    base, added = F.when(~own, F.col("x")), F.when(~own | (F.col("live") & clear), F.col("x"))
+    of_row = each.groupBy("__row").agg(F.collect_list(base).alias("base"), F.collect_list(added).alias("spans"), F.array_distinct(F.collect_list(F.when(F.col("live"), F.col("x.v")))).alias("live"))
+    both = found.drop("__found", "__repo", "__owner").join(of_row.withColumnRenamed("__row", "r"), F.col("__row") == F.col("r"), "left")
     none = F.array().cast("array<struct<s:int,k:int,e:int,v:string>>")
-    both = found.join(live, "__row", "left").withColumn("lives", F.coalesce("lives", none))
-    added = F.filter("lives", lambda x: (x["k"] == 3) & ~F.exists("base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])))
-    return both.select(*[F.col(f"`{c}`") for c in carry], "base", F.concat("base", added).alias("spans"), F.array_distinct(F.transform("lives", lambda x: x["v"])).alias("live"))
+    return both.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(carry)], F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"), F.coalesce("live", F.array().cast("array<string>")).alias("live"))
+
+
+def holes(found: DataFrame, ident: str, spans: str) -> DataFrame:
+    """ident and cuts, array<array<struct<s, e, mark>>>: for each chunk of CHUNK code points up to the last span, what is
+    cut out of it, counted from its start, and whether the mark goes there. Spans that touch or overlap are one."""
+    each = found.select(ident, F.explode(spans).alias("x")).select(ident, F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+    by_start = Window.partitionBy(ident).orderBy("s", "e")
+    before = F.max("e").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    # what is left of a span beyond those before it; it bears the mark unless it begins inside or at the end of one
+    each = each.withColumn("before", before).withColumns({"mark": F.col("before").isNull() | (F.col("s") > F.col("before")), "s": F.greatest("s", F.coalesce("before", F.lit(0)))}).where("s < e")
+    chunk = lambda c: F.floor(c / F.lit(CHUNK)).cast("int")
+    each = each.withColumn("j", F.explode(F.sequence(chunk(F.col("s")), chunk(F.col("e") - 1))))
+    start = F.col("j") * CHUNK
+    local = F.struct((F.greatest(F.col("s"), start) - start).alias("s"), (F.least(F.col("e"), start + CHUNK) - start).alias("e"), (F.col("mark") & (F.col("s") >= start)).alias("mark"))
+    cuts = each.select(ident, "j", local.alias("cut"))
+    every = cuts.groupBy(ident).agg(F.max("j").alias("top")).select(ident, F.explode(F.sequence(F.lit(0), F.col("top"))).alias("j"), F.lit(None).cast("struct<s:int,e:int,mark:boolean>").alias("cut"))
+    per_chunk = cuts.unionByName(every).groupBy(ident, "j").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    return per_chunk.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("j", "cuts"))).alias("c")).select(ident, F.transform("c", lambda x: x["cuts"]).alias("cuts"))
+
 
+def redact(text: Column, cuts: Column, mark: str = "[secret]") -> Column:
+    """The text without what `holes` says, and with the mark where it says so. The text is cut into chunks once; each is
+    then worked on by itself."""
 
-def redact(text: Column, found: Column, mark: str = "[secret]") -> Column:
-    """The text with every span replaced by the mark; spans that touch or overlap become one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    def clean(chunk: Column, own: Column) -> Column:
+        def step(acc, x):
+            piece = F.concat(F.substring(chunk, acc["at"] + 1, x["s"] - acc["at"]), F.when(x["mark"], F.lit(mark)).otherwise(F.lit("")))
+            return F.struct(x["e"].alias("at"), F.concat(acc["out"], piece).alias("out"))
 
-    def step(acc, x):
-        inside = x["s"] < acc["at"]
-        piece = F.when(inside, F.lit("")).otherwise(F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        done = F.aggregate(own, start, step, lambda acc: F.concat(acc["out"], F.substring(chunk, acc["at"] + 1, F.lit(CHUNK))))
+        return F.when(own.isNull() | (F.size(own) == 0), chunk).otherwise(done)
 
-    return F.aggregate(F.array_sort(found), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
+    return F.array_join(F.zip_with(chunks, cuts, clean), "")
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", **options) -> DataFrame:
     """docs with every secret span of `scan` replaced in the text. Rows and columns stay; texts without a span are
-    unchanged, null texts stay null. Rows are matched by an id given before the scan, not by their key."""
+    unchanged, null texts stay null. Rows are matched by an id given before the scan, not by their key; a column named
+    __id is refused."""
+    if "__id" in docs.columns:
+        raise ValueError("docs has a column __id")
     rows = materialize(docs.withColumn("__id", F.monotonically_increasing_id()), "rows")
     spans_of = scan(rows, key=key, owner=owner, text=text, carry=("__id",), **options)
-    hit = spans_of.where(F.size("spans") > 0).select("__id", "spans")
-    done = rows.join(hit.hint("merge"), "__id", "left")  # hits grow with the corpus
-    return done.withColumn(text, F.when(F.col("spans").isNull(), F.col(f"`{text}`")).otherwise(redact(F.col(f"`{text}`"), F.col("spans")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cuts = holes(spans_of.where(F.size("spans") > 0), "__id", "spans")
+    done = rows.join(cuts.hint("merge"), "__id", "left")  # hits grow with the corpus
+    return done.withColumn(text, F.when(F.col("cuts").isNull(), F.col(f"`{text}`")).otherwise(redact(F.col(f"`{text}`"), F.col("cuts")))).select(*[F.col(f"`{c}`") for c in docs.columns])

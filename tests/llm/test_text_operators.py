@@ -216,6 +216,54 @@ def test_redaction(spark):
     assert sorted(str(r.text) for r in got.collect()) == sorted(["é [secret] tail", "None", "plain", "[secret]"])
 
 
+def plain_redaction(text, spans):
+    out, at = "", 0
+    for s, e in sorted(spans):
+        if s > at or not out and s == at == 0:
+            out += text[at:s] + "[secret]"
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_overlaps_and_redaction_equal_brute_force(spark, monkeypatch):
+    """Random texts of secrets side by side, cut into small chunks; spans that touch or overlap get one mark."""
+    monkeypatch.setattr(secret_scan, "CHUNK", 16)
+    rng = np.random.default_rng(8)
+    bits = ["password=", "token: ", "AKIA" + "Z9" * 8, "0a" * 13, "é🙂 ", " ", "Zq7x" * 5, "secret='", "plain words ", "\n", "-_" * 9, "x1" * 9]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(150)]
+    df = docs(spark, *[(i, t, None, f"s{i}") for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    values = {}
+    for i, t in enumerate(texts):
+        found = [(t[a:b] if k else ASSIGN.match(t, a)[2]) for a, k, b in base_spans(t)]
+        found += [m[0] for m in re.finditer("[A-Za-z0-9+/_-]{16,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        for v in found:
+            values.setdefault(v, set()).add(i)
+    redacted = {r.doc_id: r.text for r in secret_scan.redact_secrets(df).collect()}
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        tokens = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_-]{16,}", t) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(values[m[0]]) == 1]
+        want = sorted(base + [x for x in tokens if not any(a < x[2] and x[0] < b for a, _, b in base)])
+        assert sorted((x.s, x.k, x.e) for x in got[i].spans) == want, t
+        assert redacted[i] == plain_redaction(t, [(a, b) for a, _, b in want]), t
+
+
+def test_long_text_of_very_many_secrets(spark):
+    import time
+
+    unit = "user %05d has password=hunter%05d é and more words of no interest "
+    text = "".join(unit % (i, i) for i in range(80_000))  # above 5 MB
+    start = time.perf_counter()
+    got = secret_scan.redact_secrets(docs(spark, (1, text, None, "a"), (2, "plain", None, "a"))).collect()
+    assert time.perf_counter() - start < 120
+    assert {r.doc_id: r.text for r in got} == {1: re.sub("password=hunter[0-9]+", "[secret]", text), 2: "plain"}
+
+
+def test_carried_names_that_clash_are_refused(spark):
+    with pytest.raises(ValueError):
+        secret_scan.scan(docs(spark).withColumn("live", F.lit(1)), carry=("live",))
+
+
 def test_scan_is_native(spark, sf):
     plan = secret_scan.scan(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
