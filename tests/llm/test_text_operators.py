@@ -327,6 +327,49 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.find_leaks(docs(spark), bench).collect() == [] and decontaminate.find_leaks(df, bench.limit(0)).collect() == []
 
 
+def test_a_phrase_of_many_items_costs_little():
+    import time
+
+    phrase = "which of the following is the best answer".split()
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(phrase + [f"q{x}" for x in rng.integers(0, 10**6, 30)])) for i in range(5000)]
+    finder = decontaminate.Finder(decontaminate.Items(items, 0.8, 3))
+    body = [f"q{x}" for x in rng.integers(0, 10**6, 2000)]
+    for at in range(0, 1800, 200):
+        body[at : at + 8] = phrase
+    text = " ".join(body).encode()
+    finder.find(text)
+    start = time.perf_counter()
+    assert finder.find(text) == []
+    assert time.perf_counter() - start < 0.1
+    held = " ".join(body[:700]) + " " + items[77][1] + " " + " ".join(body[700:])
+    assert [x[0] for x in finder.find(held.encode())] == [77]
+
+
+def test_shared_pieces_equal_brute_force(spark):
+    """Many items that share their beginnings, texts that hold them with edits."""
+    rng = np.random.default_rng(10)
+    heads = [[f"h{j}x{i}" for i in range(6)] for j in range(3)]
+    items = [(i, heads[i % 3] + [f"w{x}" for x in rng.integers(0, 40, rng.integers(4, 20))]) for i in range(60)]
+    texts = []
+    for d in range(60):
+        w = list(items[rng.integers(60)][1])
+        for _ in range(rng.integers(0, 4)):
+            w[rng.integers(len(w))] = f"w{rng.integers(0, 40)}"
+        texts.append((d, [f"w{x}" for x in rng.integers(0, 40, 15)] + w + heads[d % 3]))
+    want = {(d, i) for d, t in texts for i, w in items if edits_anywhere(w, t) <= int(len(w) * 0.2 + 1e-9)}
+    df, bench = docs(spark, *[(d, " ".join(t)) for d, t in texts]), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()} == want and len(want) > 30
+
+
+def test_short_items_are_reported_not_searched(spark):
+    bench = spark.createDataFrame([(1, "the"), (2, "The, end."), (3, None), (4, "three plain words"), (5, "...")], "item_id long, text string")
+    df = docs(spark, (1, "the end of the text"), (2, "these are three plain words"))
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()] == [(2, 4)]
+    assert {r.item_id for r in decontaminate.short_items(bench).collect()} == {1, 2, 3, 5}
+    assert {r.doc_id for r in decontaminate.find_leaks(df, bench, least_words=1).where("item_id = 1").collect()} == {1}
+
+
 def test_sha_of_no_span(spark, sf):
     got = queries.op8_secret_scan(spark, sf).where("spans = ''").first()
     assert got.base_sha256 == hashlib.sha256(b"").hexdigest()
