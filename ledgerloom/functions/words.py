@@ -1,7 +1,8 @@
 """256-bit integers as 32-byte big-endian words, in built-in functions.
 
 A word is binary, and Spark orders binary as unsigned bytes, so unsigned words compare as they are. Sums go by eight
-32-bit limbs: one `sum` for each (exact to 2^31 rows a group), and one carry pass over the summed row.
+32-bit limbs: one `sum` for each (exact to 2^31 rows a group), and one carry pass over the summed row. Decimal text comes
+from limbs without any long division: each group of eight digits is a sum of limbs times constants, plus a carry.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 LIMBS = 8
 _BASE = 1 << 32
-_NANO = 1_000_000_000
+#: A group of eight digits: nine limbs times such a group stay below 2^63.
+_GROUP = 100_000_000
 SIGN = bytes([0x80]) + bytes(31)
 
 
@@ -61,40 +63,38 @@ def to_long(word: Column) -> Column:
 
 def _carry(low_first: Column) -> Column:
     """struct<c: carry out of the top limb, out: limbs in 0 .. 2^32 - 1, low first>."""
-    start = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(acc, x):
-        return let(x + acc["c"], lambda t: F.struct(F.shiftright(t, 32).alias("c"), F.concat(acc["out"], F.array(t.bitwiseAND(F.lit(_BASE - 1)))).alias("out")))
+    def step(k: int, carry: Column | None, out: list[Column]) -> Column:
+        if k == LIMBS:
+            return F.struct(carry.alias("c"), F.array(*out).alias("out"))
+        limb = F.get(low_first, F.lit(k))
+        return let(limb if carry is None else limb + carry, lambda t: step(k + 1, F.shiftright(t, 32), [*out, t.bitwiseAND(F.lit(_BASE - 1))]))
 
-    return F.aggregate(low_first, start, step)
+    return step(0, None, [])
 
 
-def _digits(high_first: Column, rounds: int) -> Column:
-    """Decimal text of non-negative limbs, high limb first: long division by 10^9, `rounds` times."""
-    start = F.struct(high_first.alias("rest"), F.lit("").alias("text"))
+def _decimal(low_first: list[Column]) -> Column:
+    """Decimal text of non-negative limbs below 2^32."""
+    groups = -(-len(str(1 << 32 * len(low_first))) // 8)
 
-    def step(acc, _):
-        inner = F.struct(F.lit(0).cast("long").alias("r"), F.array().cast("array<bigint>").alias("q"))
+    def step(j: int, carry: Column | None, high_first: list[Column]) -> Column:
+        if j == groups:
+            return F.ltrim(F.concat(*high_first), F.lit("0"))
+        total = carry
+        for i, limb in enumerate(low_first):
+            factor = (1 << 32 * i) // _GROUP**j % _GROUP
+            if factor:
+                total = limb * F.lit(factor) if total is None else total + limb * F.lit(factor)
+        return let(total, lambda t: step(j + 1, F.call_function("div", t, F.lit(_GROUP)), [F.lpad((t % F.lit(_GROUP)).cast("string"), 8, "0"), *high_first]))
 
-        def divide(a, x):
-            return let(a["r"] * F.lit(_BASE) + x, lambda t: F.struct((t % F.lit(_NANO)).alias("r"), F.concat(a["q"], F.array(_div(t))).alias("q")))
-
-        return let(F.aggregate(acc["rest"], inner, divide), lambda d: F.struct(d["q"].alias("rest"), F.concat(F.lpad(d["r"].cast("string"), 9, "0"), acc["text"]).alias("text")))
-
-    text = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda acc: acc["text"])
-    return let(F.ltrim(text, F.lit("0")), lambda t: F.when(t == "", F.lit("0")).otherwise(t))
-
-
-def _div(t: Column) -> Column:
-    """Exact integer division by 10^9 (the plain operator divides in double precision)."""
-    return ((t - t % F.lit(_NANO)).cast("decimal(20,0)") / F.lit(_NANO).cast("decimal(10,0)")).cast("long")
+    return let(step(0, None, []), lambda t: F.when(t == "", F.lit("0")).otherwise(t))
 
 
 def limbs_to_text(low_first: Column) -> Column:
     """Decimal text of summed limbs, which may be negative and unnormalised; null for null."""
 
     def text(c: Column) -> Column:
-        return _digits(F.concat(F.array(c["c"]), F.reverse(c["out"])), 10)
+        return _decimal([*(F.get(c["out"], F.lit(k)) for k in range(LIMBS)), c["c"]])
 
     def show(low: Column, c: Column) -> Column:
         # a total that fits 63 bits, as most do, needs no long division
@@ -109,7 +109,7 @@ def limbs_to_text(low_first: Column) -> Column:
 
 def uint_to_text(word: Column) -> Column:
     """Decimal text of an unsigned word."""
-    return F.when(fits_long(word), F.conv(F.hex(F.substring(word, 25, 8)), 16, 10)).otherwise(F.when(word.isNotNull(), let(F.reverse(limbs(word)), lambda x: _digits(x, 9))))
+    return F.when(fits_long(word), F.conv(F.hex(F.substring(word, 25, 8)), 16, 10)).otherwise(F.when(word.isNotNull(), let(limbs(word), lambda x: _decimal([F.get(x, F.lit(k)) for k in range(LIMBS)]))))
 
 
 def int_to_text(word: Column) -> Column:

@@ -147,6 +147,15 @@ def decode_many(logs: DataFrame, signatures: list[str | Signature]) -> dict[str,
     return {as_signature(s).name: decode_events(logs, s) for s in signatures}
 
 
+def register_events(logs: DataFrame, signatures: list[str | Signature]) -> list[str]:
+    """Makes each event a temporary view under its name, so that SQL can select from and join events like tables; the
+    logs themselves are the view `logs`. Returns the names."""
+    found = {"logs": logs, **decode_many(logs, signatures)}
+    for name, df in found.items():
+        df.createOrReplaceTempView(name)
+    return list(found)
+
+
 def decode_union(logs: DataFrame, signatures: list[str | Signature]) -> DataFrame:
     """All events of the signatures with an `event` column; parameters that an event lacks are null."""
     parts = [df.withColumn("event", F.lit(name)) for name, df in decode_many(logs, signatures).items()]

@@ -18,19 +18,24 @@ def _bucket(num: Column) -> Column:
     return F.floor(num / F.lit(BUCKET))
 
 
-def with_previous(nums: DataFrame) -> DataFrame:
-    """Distinct num with prev, the next smaller one (null for the first)."""
-    n = nums.select(F.col(nums.columns[0]).alias("num")).where("num is not null").distinct().withColumn("b", _bucket(F.col("num")))
-    inside = n.withColumn("prev", F.lag("num").over(Window.partitionBy("b").orderBy("num")))
-    ends = n.groupBy("b").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
-    ends = ends.withColumn("before", F.lag("hi").over(Window.orderBy("b"))).select(F.col("b").alias("eb"), "lo", "before")
-    return inside.join(ends, (F.col("b") == F.col("eb")) & (F.col("num") == F.col("lo")), "left").select("num", F.coalesce("prev", "before").alias("prev"))
-
-
-def detect_gaps(blocks: DataFrame, below: int | None = None) -> DataFrame:
-    """(gap_start, gap_end) between existing blocks up to `below`."""
-    b = blocks.select("num") if below is None else blocks.select("num").where(F.col("num") <= below)
-    return with_previous(b).where("num > prev + 1").select((F.col("prev") + 1).alias("gap_start"), (F.col("num") - 1).alias("gap_end"))
+def with_previous(nums: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct num (for each value of the columns `by`) with prev, the next smaller one (null for the first)."""
+    num = next(c for c in nums.columns if c not in by)
+    n = nums.select(*by, F.col(num).alias("num")).where("num is not null").distinct().withColumn("b", _bucket(F.col("num")))
+    inside = n.withColumn("prev", F.lag("num").over(Window.partitionBy(*by, "b").orderBy("num")))
+    ends = n.groupBy(*by, "b").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
+    ends = ends.withColumn("before", F.lag("hi").over((Window.partitionBy(*by) if by else Window).orderBy("b")))
+    ends = ends.select(*[F.col(c).alias(f"e_{c}") for c in by], F.col("b").alias("eb"), "lo", "before")
+    same = (F.col("b") == F.col("eb")) & (F.col("num") == F.col("lo"))
+    for c in by:
+        same &= F.col(c) == F.col(f"e_{c}")
+    return inside.join(ends, same, "left").select(*by, "num", F.coalesce("prev", "before").alias("prev"))
+
+
+def detect_gaps(blocks: DataFrame, below: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(gap_start, gap_end) between existing blocks up to `below`, for each value of the columns `by`."""
+    b = blocks.select(*by, "num") if below is None else blocks.select(*by, "num").where(F.col("num") <= below)
+    return with_previous(b, by).where("num > prev + 1").select(*by, (F.col("prev") + 1).alias("gap_start"), (F.col("num") - 1).alias("gap_end"))
 
 
 def detect_all_gaps(blocks: DataFrame, tip: int) -> DataFrame:
@@ -100,27 +105,32 @@ def watermarks(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _up_to_tip(state: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(chain_id, num) of the blocks of each chain of the state, up to that chain's tip."""
+    tips = state.select(F.col("chain_id").alias("__c"), F.col("tip_num").alias("__tip"))
+    return blocks.select("chain_id", "num").join(tips, (F.col("chain_id") == F.col("__c")) & (F.col("num") <= F.col("__tip"))).select("chain_id", "num")
+
+
 def sync_gaps(state: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(chain_id, gap_start, gap_end), a row for each gap between blocks up to the highest tip, for each chain of the
-    state."""
-    tip = state.agg(F.max("tip_num")).first()[0] or 0
-    return state.select("chain_id").crossJoin(detect_gaps(blocks, tip))
+    """(chain_id, gap_start, gap_end), a row for each gap between blocks (chain_id, num) of one chain, up to its tip."""
+    return detect_gaps(_up_to_tip(state, blocks), by=("chain_id",))
 
 
 def sync_status(state: DataFrame, blocks: DataFrame, now: Column) -> DataFrame:
     """One row per chain of the state: lag, gap_blocks (negative if synced leads), backfill_remaining (not begun:
-    synced - 1), rate, eta_secs, coverage_pct (whole, 100 at most), and how many gaps there are between blocks up to
-    the highest tip (n_gaps) and blocks in them (missing). The gaps themselves are the rows of `sync_gaps`."""
-    tip = state.agg(F.max("tip_num")).first()[0] or 0
-    gaps = detect_gaps(blocks, tip).agg(F.count("*").alias("n_gaps"), F.coalesce(F.sum(F.col("gap_end") - F.col("gap_start") + 1), F.lit(0)).alias("missing"))
-    rows = blocks.agg(F.count_distinct("num").alias("n_blocks"))
+    synced - 1), rate, eta_secs, coverage_pct (of the chain's own blocks, whole, 100 at most), and how many gaps there are
+    between its blocks up to its tip (n_gaps) and blocks in them (missing). The gaps themselves are the rows of
+    `sync_gaps`. blocks: (chain_id, num)."""
+    gaps = sync_gaps(state, blocks).groupBy(F.col("chain_id").alias("__g")).agg(F.count("*").alias("n_gaps"), F.sum(F.col("gap_end") - F.col("gap_start") + 1).alias("missing"))
+    rows = blocks.groupBy(F.col("chain_id").alias("__b")).agg(F.count_distinct("num").alias("n_blocks"))
     c = F.col
     left = F.when(c("backfill_num").isNull(), c("synced_num") - 1).otherwise(c("backfill_num"))
     done = F.when(c("backfill_num").isNull(), F.lit(1)).otherwise(c("synced_num") - c("backfill_num") + 1)
     elapsed = F.unix_timestamp(now) - F.unix_timestamp("started_at")
     s = state.withColumns({"backfill_remaining": left, "rate": F.when(elapsed > 0, done / elapsed)})
-    out = s.join(F.broadcast(gaps)).join(F.broadcast(rows))  # one row each
+    none = F.lit(0).cast("long")
+    out = s.join(gaps, c("chain_id") == c("__g"), "left").join(rows, c("chain_id") == c("__b"), "left")
     return out.select(
         "chain_id", (c("head_num") - c("tip_num")).alias("lag"), (c("tip_num") - c("synced_num")).alias("gap_blocks"), "backfill_remaining", "rate", F.when(c("rate") > 0, c("backfill_remaining") / c("rate")).alias("eta_secs"),
-        F.when(c("head_num") > 0, F.least(F.lit(100), F.floor(F.lit(100) * c("n_blocks") / c("head_num")))).otherwise(F.lit(0)).cast("long").alias("coverage_pct"), "n_gaps", "missing",
+        F.when(c("head_num") > 0, F.least(F.lit(100), F.floor(F.lit(100) * F.coalesce("n_blocks", none) / c("head_num")))).otherwise(F.lit(0)).cast("long").alias("coverage_pct"), F.coalesce("n_gaps", none).alias("n_gaps"), F.coalesce("missing", none).alias("missing"),
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ledgerloom.schema import BLOCK_COLUMN, TABLES, extended
+from ledgerloom.sources.tables import repair_txs
 
 #: Blocks in one bucket of a stored table.
 BUCKET = 10_000
@@ -30,7 +31,8 @@ def replace_blocks(target: DataFrame, batch: DataFrame, delivered: DataFrame | N
 
 
 def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
-    """The first write of a key wins: target, plus the batch's rows with new keys, one a key (by `order`, if given)."""
+    """The first write of a key wins: target, plus the batch's rows with new keys, one a key (by `order`, if given). With
+    an order, a task's rows are sorted by key and reduced to one a key before the shuffle."""
     once = batch.dropDuplicates(keys) if order is None else batch.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in batch.columns]), order).alias("__r")).select("__r.*")
     had = target.select(*[F.col(f"`{k}`").alias(f"__{k}") for k in keys]).distinct()
     cond = [F.col(f"`{k}`").eqNullSafe(F.col(f"__{k}")) for k in keys]
@@ -38,12 +40,13 @@ def insert_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: C
 
 
 def dedup_latest(df: DataFrame, keys: list[str], version: Column) -> DataFrame:
-    """One row per key, that of the highest version: a group aggregate, no sort of the rows."""
+    """One row per key, that of the highest version. Rows are sorted by key within tasks and reduced to one a key before
+    the shuffle, so what is shuffled and sorted again are the tasks' best rows only."""
     return df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), version).alias("__r")).select("__r.*")
 
 
-def bucket(block: str) -> Column:
-    return F.floor(F.col(block) / F.lit(BUCKET)).cast("long")
+def bucket(block: str, size: int | None = None) -> Column:
+    return F.floor(F.col(block) / F.lit(size or BUCKET)).cast("long")
 
 
 def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -56,27 +59,61 @@ def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         return spark.createDataFrame([], extended(schema, "bucket long"))
 
 
-def save_buckets(df: DataFrame, path: str, block: str) -> None:
+def save_buckets(df: DataFrame, path: str, block: str, size: int | None = None) -> None:
     """Overwrites the buckets that df has rows in, and no others."""
-    dealt = df.withColumn("bucket", bucket(block)).repartition("bucket", F.pmod(F.xxhash64(block), F.lit(8)))
+    dealt = df.withColumn("bucket", bucket(block, size)).repartition("bucket", F.pmod(F.xxhash64(block), F.lit(8)))
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def store_replace(spark: SparkSession, path: str, batch: DataFrame, block: str, work: str) -> None:
-    """replace_blocks on disk: reads the buckets that the batch touches, writes the new rows to a copy under `work`,
-    and from there over these buckets."""
-    old = stored(spark, path, batch.schema)
-    touched = batch.select(bucket(block).alias("bucket")).distinct()
-    new = replace_blocks(old.join(touched, "bucket", "left_semi").drop("bucket"), batch, block=block)
-    copy = f"{work}/{uuid.uuid4().hex}"
+def drop_buckets(spark: SparkSession, path: str, buckets: list[int]) -> None:
+    """Deletes the files of whole buckets, which an overwrite without rows would leave as they are."""
+    for b in buckets:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def rewrite(old: DataFrame, new: DataFrame, path: str, block: str, size: int | None, work: str) -> None:
+    """Puts `new` in place of `old`, the rows of some whole buckets of a stored table: first to a copy under `work`, from
+    there over the buckets; buckets that have no row any more go. Whoever runs it again gets the same table."""
+    spark, copy = old.sparkSession, f"{work}/{uuid.uuid4().hex}"
+    had = [r.bucket for r in old.select("bucket").distinct().collect()]  # one number for each bucket touched
     new.write.parquet(copy)
-    save_buckets(spark.read.schema(batch.schema).parquet(copy), path, block)
+    kept = spark.read.schema(new.schema).parquet(copy)
+    left = {r.bucket for r in kept.select(bucket(block, size).alias("bucket")).distinct().collect()}
+    if left:
+        save_buckets(kept, path, block, size)
+    drop_buckets(spark, path, [b for b in had if b not in left])
+
+
+def store_replace(spark: SparkSession, path: str, batch: DataFrame, block: str, work: str, delivered: DataFrame | None = None, size: int | None = None) -> None:
+    """replace_blocks on disk, within the buckets that the batch and the delivered blocks (which may be empty now) touch."""
+    old = stored(spark, path, batch.schema)
+    numbers = batch.select(F.col(block).alias("__n"))
+    if delivered is not None:
+        numbers = numbers.unionByName(delivered.select(F.col(delivered.columns[0]).alias("__n")))
+    touched = old.join(numbers.select(bucket("__n", size).alias("bucket")).distinct(), "bucket", "left_semi")
+    rewrite(touched, replace_blocks(touched.drop("bucket"), batch, delivered, block).select(*batch.columns), path, block, size, work)
+
+
+def store_rollback(spark: SparkSession, path: str, schema: StructType, block: str, n: int, work: str, size: int | None = None) -> int:
+    """Takes back all blocks from n on: the bucket that holds n is written again, later ones go. Returns how many block
+    numbers were removed."""
+    above = stored(spark, path, schema).where(F.col("bucket") >= n // (size or BUCKET))
+    removed = above.where(F.col(block) >= n).agg(F.count_distinct(block)).first()[0]
+    rewrite(above, above.where(F.col(block) < n).drop("bucket"), path, block, size, work)
+    return removed
+
+
+def store_repair(spark: SparkSession, path: str, receipts: DataFrame, lo: int, hi: int, work: str, size: int | None = None) -> None:
+    """repair_txs on disk: the buckets of blocks lo to hi are written again."""
+    old = stored(spark, path, TABLES["txs"]).where(F.col("bucket").between(lo // (size or BUCKET), hi // (size or BUCKET)))
+    rewrite(old, repair_txs(old.drop("bucket"), receipts, lo, hi).select(*TABLES["txs"].names), path, "block_num", size, work)
 
 
 def rollback_from(tables: Mapping[str, DataFrame], n: int) -> tuple[dict[str, DataFrame], DataFrame]:
     """The tables without blocks from n on, and one row with the number of blocks removed."""
     kept = {name: df.where(F.col(BLOCK_COLUMN[name]) < n) for name, df in tables.items()}
-    removed = tables["blocks"].where(F.col("num") >= n).agg(F.count("*").alias("removed"))
+    removed = tables["blocks"].where(F.col("num") >= n).agg(F.count_distinct("num").alias("removed"))
     return kept, removed
 
 
@@ -100,14 +137,35 @@ def read_committed(spark: SparkSession, root: str, name: str, schema: StructType
     return rows.join(last, ["batch", "attempt"], "left_semi").drop("batch", "attempt")
 
 
-def copy_range(spark: SparkSession, source: Mapping[str, DataFrame], root: str, cursor: int, step: int = 5000) -> int:
-    """Copies all tables from cursor + 1 to the highest block, `step` blocks a batch; the cursor moves on when all four
-    of a step are committed, so a run that breaks off goes on from there. Returns the new cursor."""
+def copy_cursor(spark: SparkSession, root: str):
+    """(first_num, copied_num) of a copy: the first block that it was asked for and the last one that is there; nulls
+    before the first step."""
+    try:
+        rows = spark.read.schema("first_num long, copied_num long").parquet(f"{root}/_cursor")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], "first_num long, copied_num long")
+    return rows.agg(F.min("first_num").alias("first_num"), F.max("copied_num").alias("copied_num")).first()
+
+
+def copy_range(spark: SparkSession, source: Mapping[str, DataFrame], root: str, cursor: int | None = None, step: int = 5000) -> int | None:
+    """Copies all tables from cursor + 1 (from where the last run ended, if none is given) to the highest block.
+
+    Steps are whole multiples of `step` blocks, whatever cursor a run begins at, and are committed under their number,
+    so a step that is run again, then perhaps up to a higher block, takes the place of what it wrote before. The cursor
+    is kept with the data and moves on when all four tables of a step are committed. Returns it."""
+    had = copy_cursor(spark, root)
+    if cursor is None:
+        cursor = -1 if had.copied_num is None else had.copied_num
+    first = cursor + 1 if had.first_num is None else min(had.first_num, cursor + 1)
     top = source["blocks"].agg(F.max("num")).first()[0]
     while top is not None and cursor < top:
-        end = min(cursor + step, top)
-        part = {name: df.where(F.col(BLOCK_COLUMN[name]).between(cursor + 1, end)) for name, df in source.items()}
-        write_batch(root, f"{cursor + 1}-{end}", part)
+        number = (cursor + 1) // step
+        end = min((number + 1) * step - 1, top)
+        part = {name: df.where(F.col(BLOCK_COLUMN[name]).between(max(first, number * step), end)) for name, df in source.items()}
+        write_batch(root, str(number), part)
+        spark.createDataFrame([(first, end)], "first_num long, copied_num long").coalesce(1).write.mode("append").parquet(f"{root}/_cursor")
         cursor = end
     return cursor
 

@@ -148,9 +148,15 @@ class ViewStore:
         return view.finish(self._state(view, self._live(view)))
 
     def follow(self, view: View, stream: DataFrame, checkpoint: str) -> None:
-        """Adds all that a stream has to offer now, micro-batch by micro-batch, exactly once."""
-        q = stream.writeStream.foreachBatch(lambda rows, i: self.update(view, rows, f"stream-{i}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        q.awaitTermination()
+        """Adds all that a stream has to offer now, micro-batch by micro-batch, exactly once. Batches go by the id that
+        Spark keeps in the checkpoint and their number, so several streams, or a new checkpoint, don't stand in each
+        other's way."""
+
+        def add(rows: DataFrame, i: int) -> None:
+            kept = self.spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id").alias("id")).first()
+            self.update(view, rows, f"{kept.id}-{i}")
+
+        stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
     def list_views(self) -> DataFrame:
         """(name, definition, columns, keys, rows) of the views there are; rows are those stored, in all parts."""

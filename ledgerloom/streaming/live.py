@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def live_query(stream: DataFrame, query: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, block: str = "block_num", newest: int | None = None) -> None:
+def live_query(stream: DataFrame, query: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, block: str = "block_num", newest: int | None = None, table: DataFrame | None = None) -> None:
     """Runs `query`, which groups by the block column or selects rows with it, over each micro-batch: the results of
     all its new blocks in one job. They are written under out/results/batch=<id>, so a batch that runs again replaces
-    its own. With `newest`, a batch that holds more blocks than that is served from its newest ones only, and a row
+    its own. With `table`, the blocks that there are before the stream, the first call answers these in full, as batch
+    -1. With `newest`, a batch that holds more blocks than that is served from its newest ones only, and a row
     (skipped) under out/lagged/batch=<id> says how many were left out. Ends when the stream has no more for now; a
     later call with the same checkpoint goes on.
     """
@@ -27,14 +28,11 @@ def live_query(stream: DataFrame, query: Callable[[DataFrame], DataFrame], out:
                 rows.sparkSession.createDataFrame([(skipped,)], "skipped long").write.mode("overwrite").parquet(f"{out}/lagged/batch={batch}")
         query(rows).write.mode("overwrite").parquet(f"{out}/results/batch={batch}")
 
+    if table is not None:
+        query(table).write.mode("ignore").parquet(f"{out}/results/batch=-1")
     stream.writeStream.foreachBatch(serve).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def first_result(table: DataFrame, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a live query answers before any new block: the query over the whole table."""
-    return query(table)
-
-
 def results(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/results").drop("batch")
 

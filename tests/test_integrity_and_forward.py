@@ -43,14 +43,16 @@ def test_batches_from_the_top(spark):
     assert [tuple(r) for r in integrity.plan_batches(g, 10).collect()] == [(40, 42), (16, 25), (6, 15), (1, 5)]
 
 
-def test_sync_gaps_are_rows_and_the_status_counts_them(spark):
+def test_sync_status_and_gaps_are_per_chain(spark):
     names = "chain_id long, head_num long, synced_num long, tip_num long, backfill_num long, started_at timestamp"
-    state = spark.createDataFrame([(1, 10**7, 5, 9 * 10**6, None, None), (2, 20, 5, 8, 3, None)], names)
-    blocks = nums(spark, [1, 2, 5, 3_000_000, 3_000_001, 9_000_000, 9_500_000])
-    want = [(3, 4), (6, 2_999_999), (3_000_002, 8_999_999)]
-    assert sorted(map(tuple, integrity.sync_gaps(state, blocks).collect())) == [(c, *g) for c in (1, 2) for g in want]
+    state = spark.createDataFrame([(1, 10**7, 5, 9 * 10**6, None, None), (2, 20, 5, 8, 3, None), (3, 10, 1, 9, None, None)], names)
+    first, second = [1, 2, 5, 3_000_000, 3_000_001, 9_000_000, 9_500_000], [1, 4, 8, 12]
+    blocks = spark.createDataFrame([(1, n) for n in first] + [(2, n) for n in second] + [(2, 4), (9, 1), (9, 7)], "chain_id long, num long")
+    want = {1: [(3, 4), (6, 2_999_999), (3_000_002, 8_999_999)], 2: [(2, 3), (5, 7)]}
+    assert sorted(map(tuple, integrity.sync_gaps(state, blocks).collect())) == sorted((c, *g) for c, gaps in want.items() for g in gaps)
     status = integrity.sync_status(state, blocks, F.current_timestamp())
-    assert {(r.chain_id, r.n_gaps, r.missing) for r in status.collect()} == {(c, 3, sum(b - a + 1 for a, b in want)) for c in (1, 2)}
+    got = {r.chain_id: (r.n_gaps, r.missing, r.coverage_pct) for r in status.collect()}
+    assert got == {1: (3, sum(b - a + 1 for a, b in want[1]), 0), 2: (2, 5, 20), 3: (0, 0, 0)}
     assert "collect_list" not in status._jdf.queryExecution().executedPlan().toString()
 
 

@@ -35,6 +35,13 @@ def test_sums_with_signs_are_exact(spark):
         assert (r.t, r.p) == (str(total), total > 0)
 
 
+def test_sums_far_beyond_256_bits(spark):
+    df = spark.range(5000).select(F.lit(b"\xff" * 32).alias("w"), F.when(F.col("id") < 0, 1).otherwise(-1).alias("s"))
+    for sign, want in ((None, 5000 * (2**256 - 1)), ("s", -5000 * (2**256 - 1))):
+        t = df.agg(*words.sum_limbs(F.col("w"), F.col(sign) if sign else None)).select(words.limbs_to_text(words.summed()).alias("t"))
+        assert t.first().t == str(want)
+
+
 def test_null_words_stay_null(spark):
     df = spark.createDataFrame([(None,)], "w binary")
     assert df.select(words.uint_to_text(F.col("w")), words.int_to_text(F.col("w")), words.to_long(F.col("w"))).first() == (None, None, None)
