@@ -1,15 +1,16 @@
 """Embedding near-dedup by spherical-cap filters from structured random product codes.
 
-A code turns a vector by a random rotation and cuts it in two halves, each with its own list of random unit directions;
-a filter is a pair of them. The scores of all pairs are sums of two lists, so the highest are decoded from the tops of
-the two lists without walking the product. Every vector belongs to the caps of the `tops` highest-scoring filters of
-each of `codes` codes: it sets its own threshold, and is in all filters whose direction exceeds that. Vectors that
-share a filter are compared in full.
+A code turns a vector by a random rotation and cuts it in parts, each with its own list of random unit directions; a
+filter is one direction of each part. The score of a filter is the sum of its parts' scores, so all filters whose
+direction exceeds a threshold are decoded part by part, without walking the product. Vectors that share a filter are
+compared in full. Before that the mean of all vectors is taken away, as it would send all of them to the same filters.
 """
 
 from __future__ import annotations
 
 import functools
+from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,45 +19,126 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import arrow_map, materialize
 from ledgerloom.llm.components import components
-from ledgerloom.llm.grouping import block_pairs, per_group
+from ledgerloom.llm.grouping import SMALL, block_pairs, least_of_part, pairs_within, per_stretch
 from ledgerloom.llm.near_dedup import stars
 
-#: Codes, directions of each half, filters of a vector in each code.
-CODES, DIRECTIONS, TOPS = 6, 256, 8
+#: Codes, and the filters that a vector is in at least.
+CODES, FLOOR = 8, 8
+#: Vectors that meet in a filter by chance, on average; filters that a pair at the threshold shares, on average.
+LOAD, SHARED = 0.25, 10.0
+#: Directions of a part, and filters of a vector, at most: codes of more parts or fewer directions are taken beyond.
+MOST_DIRECTIONS, MOST_FILTERS = 1024, 2048
 #: Vectors of a filter that one task compares with one another; more are cut into block pairs.
 BLOCK = 1024
 
 
+class Code(NamedTuple):
+    """What determines the filters: dimension, parts, directions of each, and the score that they must exceed."""
+
+    dim: int
+    parts: int
+    directions: int
+    level: float
+
+
 @functools.lru_cache(maxsize=64)
-def product_code(code: int, dim: int, directions: int) -> tuple[np.ndarray, np.ndarray]:
-    """Directions of the two halves in the space before the rotation: (dim, directions) each."""
-    rng = np.random.default_rng([code, dim])
+def directions_of(number: int, dim: int, parts: int, directions: int) -> list[np.ndarray]:
+    """Directions of each part of a code in the space before the rotation: (dim, directions) each. A filter's direction,
+    the sum of its parts', has unit length."""
+    rng = np.random.default_rng([number, dim, parts, directions])
     turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    half = (dim + 1) // 2
-    parts = []
-    for rows in (turn[:, :half], turn[:, half:]):
+    out = []
+    for rows in np.array_split(turn, parts, axis=1):
         d = rng.standard_normal((rows.shape[1], directions))
-        parts.append(rows @ (d / np.maximum(np.linalg.norm(d, axis=0), 1e-12)))
-    return parts[0], parts[1]
+        out.append(rows @ (d / np.maximum(np.linalg.norm(d, axis=0), 1e-12)) / np.sqrt(parts))
+    return out
 
 
-def decode(x: np.ndarray, codes: int, directions: int, tops: int) -> np.ndarray:
-    """The filters of unit vectors x: (rows, codes * tops), each code's rising. The k highest sums of two lists lie
-    among the k highest of each, so only k * k sums are formed."""
-    out = []
-    for code in range(codes):
-        tops_of = []
-        for part in product_code(code, x.shape[1], directions):
-            score = x @ part
-            k = min(tops, score.shape[1])
-            at = np.argpartition(score, -k, axis=1)[:, -k:]
-            tops_of.append((at, np.take_along_axis(score, at, axis=1)))
-        (i, a), (j, b) = tops_of
-        sums = (a[:, :, None] + b[:, None, :]).reshape(len(x), -1)
-        best = np.argpartition(sums, -tops, axis=1)[:, -tops:] if sums.shape[1] > tops else np.tile(np.arange(sums.shape[1]), (len(x), 1))
-        pairs = np.take_along_axis(i, best // b.shape[1], axis=1) * directions + np.take_along_axis(j, best % b.shape[1], axis=1)
-        out.append(np.sort(pairs + code * directions * directions, axis=1))
-    return np.concatenate(out, axis=1).astype(np.int32)
+def exceeding(x: np.ndarray, number: int, code: Code, level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, filters and scores of all filters of a code whose score with unit vectors x exceeds the row's level.
+
+    Partial choices are carried on as long as the best of the remaining parts could still lift them above the level."""
+    n = len(x)
+    scores = [x @ part for part in directions_of(number, code.dim, code.parts, code.directions)]
+    best = [s.max(axis=1) for s in scores]
+    row, at, total = np.arange(n), np.zeros(n, np.int64), np.zeros(n)
+    for k, s in enumerate(scores):
+        # directions of this part that can reach the level at all, by row and falling score
+        r, j = np.nonzero(s > (level - sum(best) + best[k])[:, None])
+        # the scores of one row after another as one rising list: a search finds how many of a row's exceed a bound
+        rising = r * 4.0 - s[r, j]
+        by = np.argsort(rising, kind="stable")
+        rising, j = rising[by], j[by]
+        start = np.searchsorted(r, np.arange(n))
+        rest = sum(best[k + 1 :], np.zeros(n))
+        count = np.searchsorted(rising, row * 4.0 - (level[row] - rest[row] - total), side="left") - start[row]
+        count = np.clip(count, 0, np.bincount(r, minlength=n)[row])
+        pick = np.repeat(np.arange(len(row)), count)
+        place = start[row[pick]] + np.arange(len(pick)) - np.repeat(np.cumsum(count) - count, count)
+        row, at, total = row[pick], at[pick] * code.directions + j[place], total[pick] + s[row[pick], j[place]]
+    return row, at, total
+
+
+def decode(x: np.ndarray, code: Code, codes: int = CODES, floor: int = FLOOR) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, filters), by row and then filter: all filters whose score with unit vectors x exceeds the code's level.
+    A vector that has fewer than `floor` takes the highest level, in steps of a tenth, that gives it as many."""
+    level, todo, found = np.full(len(x), code.level), np.arange(len(x)), []
+    while len(todo):
+        got = [exceeding(x[todo], c, code, level[todo]) for c in range(codes)]
+        row = np.concatenate([g[0] for g in got])
+        at = np.concatenate([g[1] + c * code.directions**code.parts for c, g in enumerate(got)])
+        few = (np.bincount(row, minlength=len(todo)) < floor) & (level[todo] > -1)
+        ok = ~few[row]
+        found.append((todo[row[ok]], at[ok]))
+        todo = todo[few]
+        level[todo] = np.where(level[todo] > 0.05, level[todo] * 0.9, -1.1)
+    row, at = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(2))
+    by = np.lexsort((at, row))
+    return row[by], at[by]
+
+
+def pairs_at(cosine: float, dim: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors with a given cosine."""
+    rng = np.random.default_rng([seed, dim])
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, n, dim)))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + np.sqrt(1 - cosine**2) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+
+
+@functools.lru_cache(maxsize=64)
+def plan_code(n: int, dim: int, cosine: float, codes: int = CODES, trials: int = 1000) -> Code:
+    """A code for n vectors that are to meet at a cosine.
+
+    From the normal law: a filter should be exceeded by LOAD / n of random vectors, so that few meet by chance whatever
+    n is, and there should be so many that a pair shares SHARED. The level is then set on random pairs at that cosine, of
+    which one in a thousand may share none. In few dimensions such small caps would need very many filters; the code is
+    made coarser until a vector is in no more than MOST_FILTERS."""
+    law, cosine = NormalDist(), min(cosine, 0.9999)
+    q = min(LOAD / max(n, 1), 0.01)
+    t = law.inv_cdf(1 - q)
+    meet = 1 - law.cdf(t * np.sqrt((1 - cosine) / (1 + cosine)))
+    each = max(4.0, SHARED / meet / q / codes)
+    parts = 1
+    while each ** (1 / parts) > MOST_DIRECTIONS and parts < dim:
+        parts += 1
+    directions = min(MOST_DIRECTIONS, int(np.ceil(each ** (1 / parts))))
+    x, y = pairs_at(cosine, dim, trials, 0)
+    while True:
+        level, size = t / np.sqrt(dim), directions**parts
+        low, best, held = Code(dim, parts, directions, level), np.full(trials, -1.0), 0
+        for c in range(codes):
+            (r, f, s), (r2, f2, s2) = (exceeding(v, c, low, np.full(trials, level)) for v in (x, y))
+            _, i, j = np.intersect1d(r * size + f, r2 * size + f2, assume_unique=True, return_indices=True)
+            np.maximum.at(best, r[i], np.minimum(s[i], s2[j]))
+            held += len(r) / trials
+        found = float(np.sort(best)[trials // 1000])
+        if directions <= 4 or (found > level and held <= MOST_FILTERS):
+            return Code(dim, parts, directions, max(found, -1.0))
+        if held > MOST_FILTERS:
+            directions = max(4, int(directions * 0.7))
+            t = law.inv_cdf(1 - min(0.4, MOST_FILTERS / 2 / codes / directions**parts))
+        else:
+            t *= 0.95
 
 
 def usable(values: list | None) -> np.ndarray | None:
@@ -73,7 +155,69 @@ def usable(values: list | None) -> np.ndarray | None:
     return x / np.linalg.norm(x)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, codes: int = CODES, directions: int = DIRECTIONS, tops: int = TOPS, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def residual(x: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the mean leaves of unit vectors x, as unit vectors, and its length; a vector at the mean keeps its own
+    direction."""
+    r = x - mean
+    size = np.linalg.norm(r, axis=1)
+    return np.where(size[:, None] > 1e-9, r / np.maximum(size, 1e-12)[:, None], x), size
+
+
+def matrix(data: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+
+
+def by_dim(data: list[bytes]):
+    """(dimension, positions, vectors) for each dimension among the vectors."""
+    sizes = np.array([len(x) for x in data])
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        yield size // 8, at, matrix([data[i] for i in at])
+
+
+def means_of(classes: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of the distinct vectors of each dimension: partial sums of each task, added up in Spark."""
+
+    def sums(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for dim, at, x in by_dim(b.column(0).to_pylist()):
+                total[dim] = total.get(dim, np.zeros(dim + 1)) + np.append(x.sum(axis=0), len(at))
+        for dim, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([dim] * len(v), pa.int32()), pa.array(range(len(v)), pa.int32()), pa.array(v)], names=["dim", "i", "v"])
+
+    found: dict[int, np.ndarray] = {}
+    for r in arrow_map(classes.select("unit"), sums, "dim int, i int, v double").groupBy("dim", "i").agg(F.sum("v").alias("v")).collect():
+        found.setdefault(r.dim, np.zeros(r.dim + 1))[r.i] = r.v
+    return {dim: v[:-1] / v[-1] for dim, v in found.items()}
+
+
+def plan(classes: DataFrame, threshold: float) -> tuple[dict[int, np.ndarray], dict[int, Code]]:
+    """Mean and code for each dimension. The code is for as many vectors as the largest label has, and for the cosine,
+    after the mean is taken away, of a pair at the threshold: the shorter a vector is then, the lower that cosine. The
+    length taken is one that 99 in 100 vectors exceed; a cosine below 0.5 isn't planned for."""
+    means = means_of(classes)
+
+    def lengths(batches):
+        for b in batches:
+            out = np.zeros(b.num_rows)
+            for dim, at, x in by_dim(b.column(0).to_pylist()):
+                out[at] = residual(x, means[dim])[1]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out)], names=["lab", "dim", "size"])
+
+    sized = arrow_map(classes.select("unit", "lab", "dim"), lengths, "lab binary, dim int, size double")
+    per = sized.groupBy("dim", "lab").agg(F.count("*").alias("n"), F.min("size").alias("least")).groupBy("dim").agg(F.max("n").alias("n"))
+    typical = sized.groupBy("dim").agg(F.percentile_approx("size", 0.01, 1000).alias("size")).withColumnRenamed("dim", "d")
+    codes = {}
+    for r in per.join(typical, F.col("dim") == F.col("d")).collect():
+        # a partner of a vector of length a has a cosine of at least sqrt(1 - g / a^2), where g is the squared distance
+        gap = 2 * (1 - threshold)
+        cosine = float(np.sqrt(max(0.25, 1 - gap / max(r.size, 1e-9) ** 2)))
+        codes[r.dim] = plan_code(1 << max(6, int(r.n - 1).bit_length()), r.dim, round(min(cosine, threshold), 3))
+    return means, codes
+
+
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable by
     links, itself included), kept (vec_id = component_id).
 
@@ -81,8 +225,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, codes: int = CODES
     `threshold`. Null, empty and zero vectors, ones that hold null or non-finite values, and rows with a null key or
     label link with nothing; without a key, component_id is null and the row is kept. Equal vectors are one class with
     a weight, so copies are never paired. Rows that repeat a key count as vectors of their own. Empty table: empty
-    result. Other columns aren't returned. A pair at the threshold shares about half of its codes * tops filters; with
-    the defaults none of 3,000 random pairs at cosine 0.93 in 64 dimensions shared fewer than a handful.
+    result. Other columns aren't returned. Codes are planned from the size of the table (see plan_code), so about as many
+    vectors meet in a filter at every size; a pair at the threshold shares some filter in all but one case in a thousand.
     """
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
 
@@ -91,59 +235,87 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, codes: int = CODES
             got = [usable(v) if i is not None and k is not None else None for i, k, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if x is None else x.tobytes() for x in got], pa.binary())], names=["vec_id", "label", "unit"])
 
-    every = materialize(arrow_map(rows, units, "vec_id long, label string, unit binary").withColumn("class", F.when(F.col("unit").isNotNull(), F.xxhash64("label", "unit"))), "units")
-    classes = materialize(every.where("class is not null").groupBy("class").agg(F.first("label").alias("label"), F.first("unit").alias("unit"), F.min("vec_id").alias("first"), F.count("*").alias("c")), "classes")
+    # labels and vectors are told apart by 128-bit digests
+    lab = F.unhex(F.md5(F.encode("label", "utf-8")))
+    every = arrow_map(rows, units, "vec_id long, label string, unit binary").withColumn("lab", lab).select("vec_id", "lab", "unit", F.when(F.col("unit").isNotNull(), F.unhex(F.md5(F.concat("lab", "unit")))).alias("class"))
+    every = materialize(every, "units")
+    classes = every.where("class is not null").groupBy("class").agg(F.first("lab").alias("lab"), F.first("unit").alias("unit"), F.min("vec_id").alias("first"), F.count("*").alias("c"))
+    classes = materialize(classes.withColumns({"node": F.monotonically_increasing_id(), "dim": (F.octet_length("unit") / 8).cast("int")}), "classes")
+    means, codes = plan(classes, threshold)
 
     def filters(batches):
         for b in batches:
-            data = b.column("unit").to_pylist()
-            found: list = [None] * len(data)
-            for dim in {len(x) for x in data}:
-                at = [i for i, x in enumerate(data) if len(x) == dim]
-                caps = decode(np.frombuffer(b"".join(data[i] for i in at), np.float64).reshape(len(at), -1), codes, directions, tops)
-                for i, f in zip(at, caps.tolist(), strict=True):
-                    found[i] = f
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], names=[*b.schema.names, "filters"])
-
-    capped = materialize(arrow_map(classes.select("class", "label", "c", "unit"), filters, "class long, label string, c long, unit binary, filters array<int>"), "caps")
-    caps = capped.select("class", F.explode("filters").alias("f"), F.col("label"), F.octet_length("unit").alias("dim")).select("class", F.col("f"), F.xxhash64("label", "dim", "f").alias("cap"))
-    shared = materialize(caps.groupBy("cap").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    met = materialize(caps.join(shared, "cap"), "met")
-    full = met.join(capped.select("class", "c", "unit", "filters"), "class")
-    dealt = block_pairs(full, F.ceil(F.col("m") / F.lit(BLOCK)), F.col("class"), inner=True)
-
-    def compare(t: pa.Table) -> pa.RecordBatch | None:
-        node = t.column("class").to_numpy()
-        order = np.argsort(node, kind="stable")
-        t = t.take(pa.array(order))
-        node, own, weight = node[order], t.column("__own").to_numpy(), t.column("c").to_numpy()
-        x = np.frombuffer(b"".join(t.column("unit").to_pylist()), np.float64).reshape(len(node), -1)
-        linked = x @ x.T >= threshold
-        np.fill_diagonal(linked, False)
-        if t.column("__i")[0].as_py() != t.column("__j")[0].as_py():
-            linked &= own[:, None] != own[None, :]
-        if not linked.any():
-            return None
-        edges = stars(node, lambda i, others: linked[i, others])
-        # a pair counts in the first filter that it shares
-        f, caps_of = t.column("f")[0].as_py(), np.array(t.column("filters").to_pylist(), np.int32)
-        some = np.flatnonzero(linked.any(axis=1))
-        earlier = np.where(caps_of[some] < f, caps_of[some], -1)
-        names, place = np.unique(earlier, return_inverse=True)
-        has = np.zeros((len(some), len(names)), np.float32)
-        np.put_along_axis(has, place.reshape(earlier.shape), 1, axis=1)
-        has = has[:, (names >= 0) & (has.sum(axis=0) > 1)]
-        counted = linked[np.ix_(some, some)] & ((has @ has.T) == 0)
-        links = np.zeros(len(node), np.int64)
-        links[some] = counted @ weight[some]
-        root = dict(edges)
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array([root.get(int(n), int(n)) for n in node], pa.int64())], names=["a", "links", "b"])
-
-    found = materialize(per_group(dealt.select("cap", "__i", "__j", "f", "__own", "class", "c", "unit", "filters"), ["cap", "__i", "__j"], compare, "a long, links long, b long"), "found")
+            found: list = [None] * b.num_rows
+            for dim, at, x in by_dim(b.column("unit").to_pylist()):
+                row, f = decode(residual(x, means[dim])[0], codes[dim])
+                for i, own in zip(at.tolist(), np.split(f, np.searchsorted(row, np.arange(1, len(at)))), strict=True):
+                    found[i] = own
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "filters"])
+
+    capped = materialize(arrow_map(classes.select("node", "unit"), filters, "node long, filters array<long>"), "caps")
+    part = lambda i: F.conv(F.hex(F.substring("lab", 1 + 4 * i, 4)), 16, 10).cast("long")
+    of = classes.select(F.col("node").alias("n"), "dim", *[part(i).alias(f"lab{i}") for i in range(4)])
+    cap = ["lab0", "lab1", "lab2", "lab3", "dim", "f"]
+    caps = materialize(capped.join(of, F.col("node") == F.col("n")).select("node", "lab0", "lab1", "lab2", "lab3", "dim", F.explode("filters").alias("f")), "members")
+    shared = materialize(caps.groupBy(*cap).agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    met = materialize(caps.join(shared, cap), "met")
+    full = met.join(classes.select("node", "c", "unit").join(capped, "node"), "node")
+    dealt = block_pairs(full, F.ceil(F.col("m") / F.lit(BLOCK)), F.col("node"), inner=True)
+
+    def compare(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        node, own, weight, f, dims = (t.column(c).to_numpy() for c in ("node", "__own", "c", "f", "dim"))
+        across = t.column("__i").to_numpy() != t.column("__j").to_numpy()
+        data, sizes = t.column("unit").to_pylist(), np.diff(starts, append=len(node))
+        lists = t.column("filters").combine_chunks()
+        flat, edge = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        root, links = np.arange(len(node)), np.zeros(len(node), np.int64)
+
+        def count(i: np.ndarray, j: np.ndarray) -> None:
+            """Adds linked pairs of rows to both ends, if this is the first filter that the pair shares."""
+            if len(i):
+                first = [min(np.intersect1d(flat[edge[p] : edge[p + 1]], flat[edge[q] : edge[q + 1]], assume_unique=True)) for p, q in zip(i.tolist(), j.tolist(), strict=True)]
+                here = np.array(first) == f[i]
+                np.add.at(links, i[here], weight[j[here]])
+                np.add.at(links, j[here], weight[i[here]])
+
+        for dim in np.unique(dims).tolist():
+            some = (sizes <= SMALL) & (dims[starts] == dim)
+            i, j = pairs_within(starts[some], sizes[some])
+            ok = ~across[i] | (own[i] != own[j])
+            i, j = i[ok], j[ok]
+            at = np.flatnonzero(dims == dim)
+            x, place = matrix([data[k] for k in at]), np.cumsum(dims == dim) - 1
+            step = max(1, (4 << 20) // dim)
+            near = np.concatenate([np.einsum("ij,ij->i", x[place[i[k : k + step]]], x[place[j[k : k + step]]]) >= threshold for k in range(0, len(i), step)] or [np.empty(0, bool)])
+            i, j = i[near], j[near]
+            count(i, j)
+            root = np.minimum(root, least_of_part(len(node), i, j))
+        for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            x, rows_of = matrix(data[s : s + m]), slice(s, s + m)
+            linked = x @ x.T >= threshold
+            np.fill_diagonal(linked, False)
+            if across[s]:
+                linked &= own[rows_of, None] != own[None, rows_of]
+            for member, least in stars(np.arange(m), lambda k, others, linked=linked: linked[k, others]):
+                root[s + member] = s + least
+            # which of the rows' earlier filters are shared, as a product of their 0/1 matrix
+            some = np.flatnonzero(linked.any(axis=1))
+            own_lists = [flat[edge[s + k] : edge[s + k + 1]] for k in some.tolist()]
+            names, where = np.unique(np.concatenate([*(x[x < f[s]] for x in own_lists), np.empty(0, np.int64)]), return_inverse=True)
+            has = np.zeros((len(some), len(names)), np.float32)
+            has[np.repeat(np.arange(len(some)), [int((x < f[s]).sum()) for x in own_lists]), where] = 1
+            has = has[:, has.sum(axis=0) > 1]
+            counted = linked[np.ix_(some, some)] & ((has @ has.T) == 0)
+            links[s + some] += counted @ weight[s + some]
+        some = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[root[some]])], names=["a", "links", "b"])
+
+    keys = [*cap, "__i", "__j"]
+    found = materialize(per_stretch(dealt.select(*keys, "__own", "node", "c", "unit", "filters"), keys, compare, "a long, links long, b long", ["node"]), "found")
     n_links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    named = components(found.select("a", "b"))
-    known = classes.select("class", "first", "c").join(n_links, F.col("class") == F.col("a"), "left").join(named, F.col("class") == F.col("node"), "left")
-    known = materialize(known.select("class", "first", F.coalesce("component", "class").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links")), "known")
+    named = components(found.select("a", "b")).withColumnRenamed("node", "k")
+    known = classes.select("node", "class", "first", "c").join(n_links, F.col("node") == F.col("a"), "left").join(named, F.col("node") == F.col("k"), "left")
+    known = materialize(known.select("class", "first", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("c") - 1).alias("n_links")), "known")
     least = known.groupBy("component").agg(F.min("first").alias("component_id"))
     of_class = materialize(known.join(least, "component").select(F.col("class").alias("k"), "n_links", "component_id"), "of-class")
     out = every.join(of_class, F.col("class") == F.col("k"), "left")

@@ -7,6 +7,7 @@ Bands of registers propose; the joint likelihood of two sketches, given both set
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -17,14 +18,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import RollingHash, WordIds, arrow_map, materialize, mix64, texts_of
 from ledgerloom.llm.components import components
-from ledgerloom.llm.grouping import block_pairs, per_group
+from ledgerloom.llm.grouping import SMALL, block_pairs, least_of_part, link_batch, pairs_within, per_stretch, starts_of
 
 KEY = b"near"
 WIDTH = 5
 #: Registers: bands times rows; base and rate of the exponential variates.
 BANDS, ROWS, BASE, RATE = 20, 4, 1.1, 20.0
-#: Rows of a band value, and shingles of a candidate group, that one task compares; more are cut into block pairs.
-BAND_BLOCK, SET_BLOCK = 4096, 1_000_000
+#: Rows of a band value, and sets of a candidate group, that meet in one task; more are cut into block pairs.
+BAND_BLOCK, SET_BLOCK = 1024, 256
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)[:, None]
@@ -59,26 +60,44 @@ def likelihood(up: np.ndarray, down: np.ndarray, u: np.ndarray, jaccard: np.ndar
     return up * np.log(np.maximum(above, tiny)) + down * np.log(np.maximum(below, tiny)) + (BANDS * ROWS - up - down) * np.log(same)
 
 
-def may_link(n: int, regs: np.ndarray, ns: np.ndarray, all_regs: np.ndarray, least: float, slack: float = 14.0) -> np.ndarray:
-    """Whether a set can be linked with each of others: the sizes allow it (exact), and of all Jaccard values some one
-    of `least` or more is within `slack` of the likeliest, in log-likelihood (a real link falls short about once in a
-    million times)."""
-    small, big = np.minimum(n, ns), np.maximum(n, ns)
+#: Steps of the size ratio in link_table.
+RATIOS = 64
+
+
+@functools.lru_cache(maxsize=8)
+def link_table(least: float, slack: float = 14.0) -> np.ndarray:
+    """Whether two sets can be linked, by size ratio (smaller to larger, from `least` to 1 in RATIOS steps), registers of
+    the smaller above and below the larger's: of all Jaccard values some one of `least` or more must be within `slack`
+    of the likeliest, in log-likelihood (a real link falls short about once in a million times)."""
+    up, down = np.meshgrid(np.arange(BANDS * ROWS + 1.0), np.arange(BANDS * ROWS + 1.0), indexing="ij")
+    table = np.zeros((RATIOS + 1, *up.shape), bool)
+    for k, ratio in enumerate(np.linspace(least, 1, RATIOS + 1)):
+        u = ratio / (1 + ratio)
+        grid = np.max([likelihood(up, down, u, ratio * f) for f in np.linspace(0.2, 1, 17)], axis=0)
+        good = np.max([likelihood(up, down, u, least + (ratio - least) * f) for f in np.linspace(0, 1, 5)], axis=0)
+        table[k] = good >= grid - slack
+    return table
+
+
+def may_link(n: np.ndarray, regs: np.ndarray, other_n: np.ndarray, other_regs: np.ndarray, least: float) -> np.ndarray:
+    """Row by row, whether two sets can be linked: their sizes allow it (exact) and so does the joint likelihood of
+    their sketches, at one of the two ratios in the table next to theirs."""
+    small, big = np.minimum(n, other_n), np.maximum(n, other_n)
     ok = small >= least * big
     if ok.any():
-        at = np.flatnonzero(ok)
-        up, down = (regs > all_regs[at]).sum(axis=1), (regs < all_regs[at]).sum(axis=1)
-        u, top = n / (n + ns[at]), small[at] / big[at]
-        grid = [likelihood(up, down, u, top * f) for f in np.linspace(0.2, 1, 17)]
-        good = [likelihood(up, down, u, least + (top - least) * f) for f in np.linspace(0, 1, 5)]
-        ok[at] = np.max(good, axis=0) >= np.max(grid, axis=0) - slack
+        above, below = (regs > other_regs).sum(axis=1), (regs < other_regs).sum(axis=1)
+        first = n <= other_n
+        up, down = np.where(first, above, below), np.where(first, below, above)
+        table = link_table(least)
+        step = np.clip((small / big - least) / (1 - least) * RATIOS, 0, RATIOS) if least < 1 else np.zeros(len(ok))
+        ok &= table[np.floor(step).astype(int), up, down] | table[np.ceil(step).astype(int), up, down]
     return ok
 
 
-def stars(ids: np.ndarray, test) -> list[tuple[int, int]]:
+def stars(rows: np.ndarray, test) -> list[tuple[int, int]]:
     """Links (member, smallest of its part) that connect what test(i, others) connects; each i is tested once, against
-    those that nothing has reached yet. ids must rise."""
-    left, found = np.arange(len(ids)), []
+    those that nothing has reached yet."""
+    left, found = rows, []
     while len(left):
         root, left = left[0], left[1:]
         front = [root]
@@ -88,14 +107,10 @@ def stars(ids: np.ndarray, test) -> list[tuple[int, int]]:
                 new = left[hit]
                 left = left[~hit]
                 front += new.tolist()
-                found += [(int(ids[m]), int(ids[root])) for m in new]
+                found += [(int(m), int(root)) for m in new]
     return found
 
 
-def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
-
-
 class Shingles:
     """Sorted distinct 64-bit hashes of a text's word 5-grams; of all its words where there are fewer."""
 
@@ -133,7 +148,7 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def propose(classes: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that connect all classes whose sketches allow a link and which share a band value."""
+    """Links (a, b), a > b, that connect all classes whose sketches allow a link and which share a band value."""
     i = F.sequence(F.lit(0), F.lit(BANDS - 1))
     bands = classes.select("node", F.explode(F.transform(i, lambda k: F.xxhash64(k, F.substring("regs", k * ROWS + 1, ROWS)))).alias("band"))
     shared = materialize(bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "bands")
@@ -141,14 +156,21 @@ def propose(classes: DataFrame, least: float) -> DataFrame:
     full = met.join(classes.select("node", "n", "regs"), "node")
     dealt = block_pairs(full, F.ceil(F.col("c") / F.lit(BAND_BLOCK)), F.col("node"), inner=False)
 
-    def compare(t: pa.Table) -> pa.RecordBatch:
-        node = t.column("node").to_numpy()
-        order = np.argsort(node, kind="stable")
-        node, n = node[order], t.column("n").to_numpy()[order]
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(len(node), -1)[order]
-        return _links(stars(node, lambda x, others: may_link(n[x], regs[x], n[others], regs[others], least)))
+    def compare(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
+        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(len(node), -1)
+        sizes = np.diff(starts, append=len(node))
+        small = sizes <= SMALL
+        x, y = pairs_within(starts[small], sizes[small])
+        ok = may_link(n[x], regs[x], n[y], regs[y], least)
+        root = least_of_part(len(node), x[ok], y[ok])
+        for s, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+            for member, first in stars(np.arange(s, s + m), lambda k, others: may_link(np.full(len(others), n[k]), regs[k], n[others], regs[others], least)):
+                root[member] = first
+        at = np.flatnonzero(root != np.arange(len(node)))
+        return link_batch(node[at], node[root[at]])
 
-    return per_group(dealt.select("band", "__i", "__j", "node", "n", "regs"), ["band", "__i", "__j"], compare, "a long, b long")
+    return per_stretch(dealt.select("band", "__i", "__j", "node", "n", "regs"), ["band", "__i", "__j"], compare, "a long, b long", ["node"])
 
 
 class Sets:
@@ -159,48 +181,116 @@ class Sets:
         self.flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
         self.start = np.concatenate([[0], np.cumsum(self.n)])
         self.mask = np.zeros(int(self.flat.max()) + 1, bool)
-        self.live: np.ndarray | None = None
 
-    def test(self, x: int, others: np.ndarray) -> np.ndarray:
-        if self.live is None or len(others) < len(self.live) // 2:  # drop those that were reached
-            self.live = others
-            self.pick = np.concatenate([self.flat[self.start[o] : self.start[o + 1]] for o in others])
-            self.edge = np.concatenate([[0], np.cumsum(self.n[others])[:-1]])
+    def test(self, x: int) -> np.ndarray:
+        """Which of all sets fit set x."""
         own = self.flat[self.start[x] : self.start[x + 1]]
         self.mask[own] = True
-        common = np.add.reduceat(self.mask[self.pick], self.edge, dtype=np.int64)
+        common = np.add.reduceat(self.mask[self.flat], self.start[:-1], dtype=np.int64)
         self.mask[own] = False
-        common = common[np.searchsorted(self.live, others)]
-        return 100 * common >= self.percent * (self.n[x] + self.n[others] - common)
+        return 100 * common >= self.percent * (self.n[x] + self.n - common)
+
 
+def distinct_nodes(t: pa.Table, keys: int) -> tuple[pa.Table, np.ndarray]:
+    """The rows without those that repeat the node before (as rows do that repeat a key and text), and where groups by
+    the first `keys` columns begin then. The node is the column named so, and rows are in its order."""
+    t = t.take(pa.array(starts_of(t, t.column_names.index("node") + 1)))
+    return t, starts_of(t, keys)
 
-def verify(docs: DataFrame, classes: DataFrame, parts: DataFrame, percent: int, key: str, text: str) -> DataFrame:
-    """Links (a, b) that connect, within each candidate part, all classes whose full sets fit."""
-    members = parts.join(classes.select(F.col("node").alias("__n"), "rep", "n", "digest"), F.col("node") == F.col("__n")).select("node", "rep", "component", "n", "digest")
-    sizes = materialize(members.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(SET_BLOCK)).alias("blocks")), "sizes")
-    members = materialize(members.join(sizes, "component"), "members")
+
+def groups_of_sets(t: pa.Table, starts: np.ndarray, percent: int) -> Iterator[tuple[int, Sets]]:
+    """(first row, sets) of each group of two rows and more."""
+    data, ends = t.column("shingles").to_pylist(), np.append(starts[1:], t.num_rows)
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        if e - s > 1:
+            yield s, Sets([np.frombuffer(x, np.uint64) for x in data[s:e]], percent)
+
+
+def read_sets(docs: DataFrame, classes: DataFrame, parts: DataFrame, key: str, text: str) -> DataFrame:
+    """node, component, shingles: the full set of each class that is in a candidate part."""
+    members = parts.join(classes.select(F.col("node").alias("__n"), "rep", "digest"), F.col("node") == F.col("__n")).select("node", "component", "rep", "digest")
+    members = materialize(members, "members")
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # members grow with the corpus, so they are never broadcast, however few there are: the texts are always shuffled
-    found = texts.join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("node", "component", "blocks", "digest", "text")
+    found = texts.join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("node", "component", "digest", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for b in batches:
             got = [shingles.of(t) for t in texts_of(b.column("text"))]
             same = pa.array([digest(s) == d for s, d in zip(got, b.column("digest").to_pylist(), strict=True)], pa.bool_())  # else a row that only shares the key
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "component", "blocks", "shingles"]).filter(same)
-
-    dealt = block_pairs(arrow_map(found, sets, "node long, component long, blocks long, shingles binary"), F.col("blocks"), F.col("node"), inner=False)
-
-    def compare(t: pa.Table) -> pa.RecordBatch | None:
-        node, at = np.unique(t.column("node").to_numpy(), return_index=True)  # rows that repeat a key and text count once
-        if len(node) < 2:
-            return None
-        data = t.column("shingles").to_pylist()
-        exact = Sets([np.frombuffer(data[i], np.uint64) for i in at], percent)
-        return _links(stars(node, exact.test))
-
-    return per_group(dealt.select("component", "__i", "__j", "node", "shingles"), ["component", "__i", "__j"], compare, "a long, b long")
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([s.tobytes() for s in got], pa.binary())], names=["node", "component", "shingles"]).filter(same)
+
+    return materialize(arrow_map(found, sets, "node long, component long, shingles binary"), "sets")
+
+
+def confirm(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Those of the proposed links (a, b) that the full sets bear out. Each b meets its a's, dealt in parts of bounded
+    size with a copy of b each, so the work goes with the links."""
+    once = materialize(links.distinct(), "proposed")
+    roots = materialize(once.groupBy("b").agg(F.ceil(F.count("*") / F.lit(SET_BLOCK)).cast("int").alias("salts")).withColumnRenamed("b", "root"), "roots")
+    sides = once.join(roots, F.col("b") == F.col("root")).select("root", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(1).alias("side"), F.col("a").alias("of"))
+    sides = sides.unionByName(roots.select("root", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("root").alias("of")))
+    full = materialize(sides, "sides").join(sets.select("node", "shingles"), F.col("of") == F.col("node")).select("root", "salt", "side", "node", "shingles")
+
+    def compare(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        t, starts = distinct_nodes(t, 2)
+        node, a, b = t.column("node").to_numpy(), [], []
+        for s, exact in groups_of_sets(t, starts, percent):
+            fits = np.flatnonzero(exact.test(0))[1:]  # the root comes first, and fits itself
+            a += node[s + fits].tolist()
+            b += [node[s]] * len(fits)
+        return link_batch(np.array(a, np.int64), np.array(b, np.int64))
+
+    return per_stretch(full, ["root", "salt"], compare, "a long, b long", ["side", "node"])
+
+
+def search_rest(sets: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between confirmed clusters of one candidate part.
+
+    kept: (node, cluster). A part that is one cluster is done. Of others, the sets outside the largest cluster meet one
+    another and those of the largest, in pairs of blocks; the largest isn't compared with itself, and nothing within a
+    cluster is."""
+    named = sets.select("node", "component").join(kept.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("node", "component", F.coalesce("cluster", "node").alias("cluster"))
+    named = materialize(named, "clusters")
+    sizes = named.groupBy("component", "cluster").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("component").agg(F.max_by("cluster", F.struct("m", "cluster")).alias("top"), F.max("m").alias("inside"), F.sum("m").alias("every")).where("every > inside")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(SET_BLOCK)).cast("int")
+    open_parts = materialize(largest.withColumn("outside", F.col("every") - F.col("inside")).select(F.col("component").alias("c"), "top", blocks("inside").alias("ins"), blocks("outside").alias("outs")), "open")
+    rows = named.join(open_parts, F.col("component") == F.col("c"))
+    # blocks of the largest cluster are numbered from 0, the others after them
+    inside, ident = F.col("cluster") == F.col("top"), F.xxhash64("node")
+    own = F.when(inside, F.pmod(ident, "ins")).otherwise(F.col("ins") + F.pmod(ident, "outs")).cast("int")
+    others = F.sequence(F.col("ins"), F.col("ins") + F.col("outs") - 1)
+    rows = rows.withColumns({"__own": own, "__other": F.explode(F.when(inside, others).otherwise(F.sequence(F.lit(0), F.col("ins") + F.col("outs") - 1)))})
+    rows = rows.select("component", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), F.col("node").alias("of"), "cluster")
+    full = materialize(rows, "cells").join(sets.select("node", "shingles"), F.col("of") == F.col("node")).select("component", "__i", "__j", "node", "cluster", "shingles")
+
+    def compare(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        t, starts = distinct_nodes(t, 3)
+        node, cluster, a, b = t.column("node").to_numpy(), t.column("cluster").to_numpy(), [], []
+        ends = dict(zip(starts.tolist(), np.append(starts[1:], len(node)).tolist(), strict=True))
+        for s, exact in groups_of_sets(t, starts, percent):
+            part = cluster[s : ends[s]].copy()
+            names, counts = np.unique(part, return_counts=True)
+            for x in np.flatnonzero(part != names[counts.argmax()]).tolist():
+                hit = np.flatnonzero(exact.test(x) & (part != part[x]))
+                for y in hit[np.unique(part[hit], return_index=True)[1]].tolist():  # one link to each cluster that it meets
+                    a.append(node[s + x])
+                    b.append(node[s + y])
+                    part[part == part[y]] = part[x]
+        return link_batch(np.array(a, np.int64), np.array(b, np.int64))
+
+    return per_stretch(full, ["component", "__i", "__j"], compare, "a long, b long", ["node"])
+
+
+def verify(docs: DataFrame, classes: DataFrame, proposed: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+    """(node, component) by exact links: the proposed links are checked on full sets first, which settles most groups in
+    proportion to their size; what they leave apart is then searched in full."""
+    sets = read_sets(docs, classes, components(proposed), key, text)
+    sure = materialize(confirm(sets, proposed, percent), "confirmed")
+    rest = search_rest(sets, components(sure).withColumnRenamed("component", "cluster"), percent)
+    return components(sure.unionByName(rest))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,9 +308,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     rows = materialize(features(docs, key, text), "features")
     usable = rows.where("n > 0 and doc_id is not null")
     classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = materialize(classes.withColumn("node", F.xxhash64("digest")), "classes")
-    parts = components(propose(classes, percent / 100))
-    named = components(verify(docs, classes, parts, percent, key, text))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    named = verify(docs, classes, materialize(propose(classes, percent / 100), "links"), percent, key, text)
     linked = materialize(classes.select("digest", "rep", "node").join(named.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n")), "linked")
     first = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
     alone = classes.join(named, "node", "left_anti").select("digest", F.col("rep").alias("component_id"))
