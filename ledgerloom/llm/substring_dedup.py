@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import RollingHash, WordIds, partitions, texts_of
+from ledgerloom.llm.common import RollingHash, WordIds, materialize, partitions, texts_of
 
 KEY = b"substring"
 #: Bytes of text in a block, and bytes of text whose windows fall in a bucket; both bound what one task holds.
@@ -82,12 +82,14 @@ def find_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text: st
     Repeated rows repeat each other's windows. Empty table: empty result. Other columns aren't returned.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    # written first, each row with a number of its own: rows that are all alike spread over the blocks too, and a row's
+    # block is the same whenever a lost task runs again
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows, "texts")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = 2 * partitions(spark)
     blocks, buckets = max(least, -(-size // BLOCK_BYTES)), max(least, -(-size // BUCKET_BYTES))
-    # long texts and many copies of one row spread over the blocks: a row's block depends on its key and text
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64), F.length("text")), F.lit(blocks)).cast("int"))
+    dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, parts, block = Windows(width), [], None

@@ -94,6 +94,20 @@ def test_repeats_equal_brute_force(spark):
     assert substring_dedup.find_repeats(docs(spark)).collect() == []
 
 
+def test_equal_rows_spread_over_the_blocks(spark, monkeypatch):
+    """Half of all rows have a null key and one text; the blocks still hold about as many rows each."""
+    same = " ".join(f"w{i}" for i in range(60))
+    df = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("own "), F.col("id").cast("string"))).otherwise(F.lit(same)).alias("text"))
+    out = substring_dedup.find_repeats(df)
+    deal = out._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(row" in deal and "xxhash64(doc_id" not in deal
+    rows = df.withColumn("row", F.monotonically_increasing_id()).groupBy(F.pmod(F.xxhash64("row"), F.lit(8)).alias("b")).count().collect()
+    sizes = [r["count"] for r in rows]
+    assert max(sizes) < 1.3 * 4000 / 8
+    got = out.groupBy("n_removed").count().collect()
+    assert {r.n_removed: r["count"] for r in got} == {0: 2000, 60: 2000}
+
+
 def test_packing():
     x = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000, np.uint64))
     assert (substring_dedup.unpack(substring_dedup.pack(x)) == x).all()
@@ -292,7 +306,8 @@ def family(rng, n):
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates_equal_brute_force(spark, percent, monkeypatch):
     monkeypatch.setattr(near_dedup, "BAND_BLOCK", 8)
-    monkeypatch.setattr(near_dedup, "SET_BLOCK", 500)
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
     rng = random.Random(percent)
     texts = [t for _ in range(6) for t in family(rng, 14)] + ["a b c", "A B  c", "a b c d", "one", "ONE ", "", " ", None, "long " * 40_000]
     texts += texts[:5]
@@ -306,6 +321,39 @@ def test_near_duplicates_equal_brute_force(spark, percent, monkeypatch):
     assert [r.kept for r in got if r.doc_id is None] == [True]
 
 
+def test_a_large_loose_group_equals_brute_force(spark, monkeypatch):
+    """Copies of one text with changes of all extents: many proposed links fail, and some copies are linked through
+    others only."""
+    monkeypatch.setattr(near_dedup, "SET_BLOCK", 16)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            t[rng.randrange(120)] = f"r{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    sets = [shingle_set(t) for t in texts]
+    root = union_find([(i, j) for i in range(150) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])])
+    got = near_dedup.near_duplicates(docs(spark, *enumerate(texts))).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: root.get(i, i) for i in range(150)}
+
+
+def test_the_table_agrees_with_the_likelihood():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n, m = sorted(rng.integers(50, 60, 2).tolist())
+        common = int(rng.integers(0, n + 1))
+        pool = rng.integers(0, 1 << 63, n + m - common, np.uint64)
+        a, b = near_dedup.sketch(pool[:n]), near_dedup.sketch(pool[n - common :])
+        ok = near_dedup.may_link(np.array([n]), a[None], np.array([m]), b[None], 0.8)[0]
+        assert ok == near_dedup.may_link(np.array([m]), b[None], np.array([n]), a[None], 0.8)[0]
+        if common / (n + m - common) >= 0.8:
+            assert ok
+        if common / (n + m - common) < 0.3:
+            assert not ok
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs(spark)).collect() == []
     assert near_dedup.near_duplicates(docs(spark, (1, None), (2, ""))).where("kept").count() == 2
@@ -349,6 +397,7 @@ def brute_vectors(rows, threshold):
 
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "SMALL", 8)
     rng = np.random.default_rng(12)
     rows, i = [], 1000
     for c in range(12):
@@ -364,24 +413,54 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert embed_dedup.near_vectors(df.limit(0)).collect() == []
 
 
-def test_recall_at_the_threshold():
-    rng = np.random.default_rng(13)
-    x = rng.standard_normal((3000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.standard_normal(x.shape)
-    z -= (z * x).sum(axis=1, keepdims=True) * x
-    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
-    a, b = (embed_dedup.decode(v, embed_dedup.CODES, embed_dedup.DIRECTIONS, embed_dedup.TOPS) for v in (x, y))
-    assert min(len(np.intersect1d(p, q)) for p, q in zip(a, b, strict=True)) >= 3
+def shared_filters(x, y, code):
+    found = []
+    for v in (x, y):
+        row, f = embed_dedup.decode(v, code)
+        found.append(set(zip(row.tolist(), f.tolist(), strict=True)))
+    return np.bincount([r for r, _ in found[0] & found[1]], minlength=len(x)), [len(f) / len(x) for f in found]
+
+
+@pytest.mark.parametrize(("dim", "n"), [(8, 5000), (16, 5000), (64, 5000), (64, 10**6), (256, 5000)])
+def test_recall_at_the_threshold(dim, n):
+    """Random pairs at the threshold, others than those that the level was set on."""
+    code = embed_dedup.plan_code(n, dim, 0.93)
+    x, y = embed_dedup.pairs_at(0.93, dim, 1000, 77)
+    shared, held = shared_filters(x, y, code)
+    assert (shared > 0).mean() >= 0.99 and max(held) <= 512
 
 
-def test_decoding_finds_the_highest():
+def test_decoding_finds_all_that_exceed():
     x = np.random.default_rng(14).standard_normal((20, 10))
-    got = embed_dedup.decode(x, 1, 16, 4)
-    a, b = (x @ p for p in embed_dedup.product_code(0, 10, 16))
-    for i in range(20):
-        sums = (a[i][:, None] + b[i][None, :]).ravel()
-        assert set(got[i]) == set(np.argsort(sums)[-4:])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = embed_dedup.Code(10, 3, 8, 0.5)
+    row, f, s = embed_dedup.exceeding(x, 0, code, np.full(20, 0.5))
+    a, b, c = (x @ p for p in embed_dedup.directions_of(0, 10, 3, 8))
+    sums = (a[:, :, None, None] + b[:, None, :, None] + c[:, None, None, :]).reshape(20, -1)
+    assert sorted(zip(row.tolist(), f.tolist(), strict=True)) == sorted(zip(*(z.tolist() for z in np.nonzero(sums > 0.5)), strict=True)) and len(row) > 20
+    assert np.allclose(s, sums[row, f])
+    row, f = embed_dedup.decode(x, code, codes=2, floor=5)
+    assert np.bincount(row, minlength=20).min() >= 5
+
+
+@pytest.mark.parametrize("shift", [0.0, 1.0])
+def test_few_meet_by_chance_with_or_without_a_common_mean(spark, shift):
+    """A mean cosine of 0.5 costs a few times as many comparisons as none, not all pairs; links equal brute force."""
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((2000, 64))
+    x[1000:1100] = x[:100] + 0.15 * rng.standard_normal((100, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x += shift * np.eye(64)[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean = x.mean(axis=0)
+    r, size = embed_dedup.residual(x, mean)
+    code = embed_dedup.plan_code(2048, 64, round(min(0.93, float(np.sqrt(max(0.25, 1 - 0.14 / np.quantile(size, 0.01) ** 2)))), 3))
+    _, f = embed_dedup.decode(r, code)
+    times = np.unique(f, return_counts=True)[1]
+    assert (times * (times - 1) / 2).sum() < 0.1 * 2000 * 1999 / 2
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert {r.vec_id: r.n_links for r in embed_dedup.near_vectors(df).collect()} == dict(enumerate(want.tolist()))
 
 
 # ---- pipeline and SQL
