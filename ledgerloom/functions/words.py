@@ -7,6 +7,9 @@ from limbs without any long division: each group of eight digits is a sum of lim
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,31 +66,30 @@ def to_long(word: Column) -> Column:
 
 def _carry(low_first: Column) -> Column:
     """struct<c: carry out of the top limb, out: limbs in 0 .. 2^32 - 1, low first>."""
+    start = F.struct(F.lit(0).cast("long").alias("c"), F.array().cast("array<bigint>").alias("out"))
 
-    def step(k: int, carry: Column | None, out: list[Column]) -> Column:
-        if k == LIMBS:
-            return F.struct(carry.alias("c"), F.array(*out).alias("out"))
-        limb = F.get(low_first, F.lit(k))
-        return let(limb if carry is None else limb + carry, lambda t: step(k + 1, F.shiftright(t, 32), [*out, t.bitwiseAND(F.lit(_BASE - 1))]))
+    def step(acc, x):
+        t = x + acc["c"]
+        return F.struct(F.shiftright(t, 32).alias("c"), F.concat(acc["out"], F.array(t.bitwiseAND(F.lit(_BASE - 1)))).alias("out"))
 
-    return step(0, None, [])
+    return F.aggregate(low_first, start, step)
 
 
 def _decimal(low_first: list[Column]) -> Column:
-    """Decimal text of non-negative limbs below 2^32."""
-    groups = -(-len(str(1 << 32 * len(low_first))) // 8)
-
-    def step(j: int, carry: Column | None, high_first: list[Column]) -> Column:
-        if j == groups:
-            return F.ltrim(F.concat(*high_first), F.lit("0"))
-        total = carry
-        for i, limb in enumerate(low_first):
-            factor = (1 << 32 * i) // _GROUP**j % _GROUP
-            if factor:
-                total = limb * F.lit(factor) if total is None else total + limb * F.lit(factor)
-        return let(total, lambda t: step(j + 1, F.call_function("div", t, F.lit(_GROUP)), [F.lpad((t % F.lit(_GROUP)).cast("string"), 8, "0"), *high_first]))
-
-    return let(step(0, None, []), lambda t: F.when(t == "", F.lit("0")).otherwise(t))
+    """Decimal text of non-negative limbs below 2^32. Lambdas aren't nested, as the time to plan them doubles with each."""
+    groups = []
+    for j in range(-(-len(str(1 << 32 * len(low_first))) // 8)):
+        factors = [(1 << 32 * i) // _GROUP**j % _GROUP for i in range(len(low_first))]
+        groups.append(reduce(add, [limb * F.lit(f).cast("long") for limb, f in zip(low_first, factors, strict=True) if f], F.lit(0).cast("long")))
+    start = F.struct(F.lit(0).cast("long").alias("c"), F.lit("").alias("text"))
+
+    def step(acc, x):
+        t = x + acc["c"]
+        digits = F.lpad((t % F.lit(_GROUP)).cast("string"), 8, "0")
+        return F.struct(F.call_function("div", t, F.lit(_GROUP)).alias("c"), F.concat(digits, acc["text"]).alias("text"))
+
+    text = F.aggregate(F.array(*groups), start, step, lambda acc: F.ltrim(acc["text"], F.lit("0")))
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit("0"))
 
 
 def limbs_to_text(low_first: Column) -> Column:
