@@ -1,9 +1,11 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-Documents are dealt into blocks of bounded size. Each block sends the distinct window hashes that it holds, as sorted
-packed runs, one per hash bucket; each bucket, which holds a range of hashes, finds those sent by more than one block
-and answers each block with a bit per hash. The block, which has its documents again, knows which windows repeat, and
-merges them into maximal removal intervals. A window repeated in a million places costs a bucket one hash per block.
+Documents are dealt into blocks of bounded size. Each block sends the leading bits of the distinct window hashes that it
+holds, as sorted packed runs, one per hash bucket; each bucket, which holds a range of hashes, finds those sent by more
+than one block and answers each block with a bit per value. These are candidates only: for them the block sends 128
+bits per distinct window, from two independent hashes, and the bucket answers again. The block, which has its documents
+each time, then knows which windows repeat, and merges them into maximal removal intervals. A window repeated in a
+million places costs a bucket one entry per block.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import RollingHash, WordIds, materialize, partitions, texts_of
 
-KEY = b"substring"
+#: Leading bits of a hash that the first round compares; it only picks candidates, so these will do.
+LEAD_BITS = 48
 #: Bytes of text in a block, and bytes of text whose windows fall in a bucket; both bound what one task holds.
 BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 64 << 20
 
@@ -34,9 +37,15 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def bucket_edges(buckets: int) -> np.ndarray:
-    """First hash of each bucket but the first: buckets are equal ranges of hashes."""
-    return np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+def leads(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits of hashes."""
+    return hashes >> np.uint64(64 - bits)
+
+
+def cuts(leads: np.ndarray, buckets: int, bits: int) -> list[int]:
+    """Where each bucket, an equal range of leading bits, starts among sorted leading bits, and where the last one ends."""
+    edges = np.array([-(-(i << bits) // buckets) for i in range(1, buckets)], np.uint64)
+    return [0, *np.searchsorted(leads, edges).tolist(), len(leads)]
 
 
 def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -46,22 +55,60 @@ def member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
+def distinct_pairs(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, how often each is there, and the place of each given pair among them."""
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    at, place = np.flatnonzero(new), np.empty(len(h), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return h[at], g[at], np.diff(at, append=len(h)), place
+
+
 class Windows:
-    """The window hashes of a block's documents."""
+    """Window hashes: one for all, and a second one, from other word ids, for candidates."""
 
     def __init__(self, width: int):
-        self.width, self.ids, self.roll = width, WordIds(KEY), RollingHash()
+        self.width, self.roll, self.ids, self.other_ids = width, RollingHash(), WordIds(b"substring"), WordIds(b"substring, other")
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return self.roll.windows(self.ids.of(words), self.width)
+    def of(self, text: bytes) -> np.ndarray:
+        return self.roll.windows(self.ids.of(text.split()), self.width)
 
+    def other(self, text: bytes) -> np.ndarray:
+        return self.roll.windows(self.other_ids.of(text.split()), self.width)
 
-def covered(repeats: np.ndarray, width: int) -> np.ndarray:
-    """Per word, whether a repeated window covers it; repeats: per window."""
-    edge = np.zeros(len(repeats) + width, np.int32)
-    at = np.flatnonzero(repeats)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + width, -1)
+
+class Candidates:
+    """The windows of a block that the first round leaves: leading bits met in another block (`met`: a bit per value, by bucket), or twice
+    in this one. at: where they are among all windows; h, g: their distinct hashes; times: how often each is in the
+    block; place: of each window at `at`, among these; abroad: places of those met in another block."""
+
+    def __init__(self, texts: list[bytes], width: int, buckets: int, lead_bits: int, met: dict[int, bytes]):
+        w = Windows(width)
+        hashes = [w.of(t) for t in texts]
+        self.ends = np.cumsum([len(x) for x in hashes], dtype=np.int64)
+        every = np.concatenate([*hashes, np.empty(0, np.uint64)])
+        del hashes
+        mine, times = np.unique(leads(every, lead_bits), return_counts=True)
+        edge, abroad = cuts(mine, buckets, lead_bits), np.zeros(len(mine), bool)
+        for k, b in met.items():
+            abroad[edge[k] : edge[k + 1]] = np.unpackbits(np.frombuffer(b, np.uint8), count=edge[k + 1] - edge[k]).astype(bool)
+        abroad, mine = mine[abroad], mine[abroad | (times > 1)]
+        self.at = np.flatnonzero(member(leads(every, lead_bits), mine))
+        starts = np.concatenate([[0], self.ends])
+        part = np.searchsorted(self.at, starts)
+        other = [w.other(t)[self.at[a:b] - start] for t, a, b, start in zip(texts, part[:-1], part[1:], starts[:-1], strict=True) if b > a]
+        self.h, self.g, self.times, self.place = distinct_pairs(every[self.at], np.concatenate([*other, np.empty(0, np.uint64)]))
+        self.abroad = np.flatnonzero(member(leads(self.h, lead_bits), abroad))
+        self.edge = cuts(leads(self.h[self.abroad], lead_bits), buckets, lead_bits)
+
+
+def covered(starts: np.ndarray, words: int, width: int) -> np.ndarray:
+    """Per word, whether a window that starts at one of `starts` covers it."""
+    edge = np.zeros(words + 1, np.int32)
+    edge[starts] += 1
+    edge[starts + width] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -71,15 +118,19 @@ def intervals(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def find_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text: str = "text") -> DataFrame:
+def texts_in(table: pa.Table) -> list[bytes]:
+    return [t or b"" for c in table.column("text").chunks for t in texts_of(c)]
+
+
+def find_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text: str = "text", lead_bits: int = LEAD_BITS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, removed (array of {start, end} in words, maximal intervals),
     kept_sha256, kept (the words that stay, joined by one space).
 
     Words are runs of other than ASCII white space, unchanged. A word goes if a window of `width` words covers it whose
     word sequence also starts anywhere else, in this document or another; windows are judged on the input. Two window
-    sequences count as equal if their 64-bit hashes are; with N distinct windows about N * N / 2^65 pairs are taken as
-    equal wrongly. Null text: no words. Texts below `width` words lose nothing. Null keys: each such row is a document.
-    Repeated rows repeat each other's windows. Empty table: empty result. Other columns aren't returned.
+    sequences count as equal if their two independent 64-bit hashes are: among 10^13 distinct windows a wrong pair is
+    expected once in some 10^12 runs. Null text: no words. Texts below `width` words lose nothing. Null keys: each such
+    row is a document. Repeated rows repeat each other's windows. Empty table: empty result. Other columns aren't returned.
     """
     spark = docs.sparkSession
     # written first, each row with a number of its own: rows that are all alike spread over the blocks too, and a row's
@@ -95,17 +146,11 @@ def find_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text: st
         w, parts, block = Windows(width), [], None
         for b in batches:
             block = b.column("block")[0].as_py() if block is None and b.num_rows else block
-            for t in texts_of(b.column("text")):
-                if t:
-                    h = w.of(t.split())
-                    if len(h):
-                        parts.append(h)
-        if not parts:
-            return
-        mine = np.unique(np.concatenate(parts))
-        at = [0, *np.searchsorted(mine, bucket_edges(buckets)).tolist(), len(mine)]
-        full = [k for k in range(buckets) if at[k] < at[k + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int32()), pa.array([pack(mine[at[k] : at[k + 1]]) for k in full], pa.binary())], names=["bucket", "block", "data"])
+            parts += [leads(w.of(t), lead_bits) for t in texts_of(b.column("text")) if t]
+        mine = np.unique(np.concatenate([*parts, np.empty(0, np.uint64)]))
+        edge = cuts(mine, buckets, lead_bits)
+        full = [k for k in range(buckets) if edge[k] < edge[k + 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int32()), pa.array([pack(mine[edge[k] : edge[k + 1]]) for k in full], pa.binary())], names=["bucket", "block", "data"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         senders, runs = [], []
@@ -120,31 +165,49 @@ def find_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text: st
         bits = [np.packbits(member(r, often)).tobytes() for r in runs]
         yield pa.RecordBatch.from_arrays([pa.array(senders, pa.int32()), pa.array([bucket] * len(bits), pa.int32()), pa.array(bits, pa.binary())], names=["block", "bucket", "bits"])
 
+    def send_pairs(own: pa.Table, answers: pa.Table) -> pa.Table:
+        bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True))
+        rows = []
+        if bits:
+            c = Candidates(texts_in(own), width, buckets, lead_bits, bits)
+            h, g, block = c.h[c.abroad], c.g[c.abroad], answers.column("block")[0].as_py()
+            # the answer of the first round goes along and comes back, so the block needs no other message later
+            rows = [(k, block, b, pack(h[c.edge[k] : c.edge[k + 1]]), g[c.edge[k] : c.edge[k + 1]].tobytes()) for k, b in bits.items()]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)], names=["bucket", "block", "bits", "h", "g"])
+
+    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, hs, gs = [], [], []
+        for b in batches:
+            kept.append(b.select(["block", "bucket", "bits"]))
+            hs += [unpack(x) for x in b.column("h").to_pylist()]
+            gs += [np.frombuffer(x, np.uint64) for x in b.column("g").to_pylist()]
+        _, _, times, place = distinct_pairs(np.concatenate(hs), np.concatenate(gs))
+        ends = np.cumsum([len(x) for x in hs])[:-1]
+        same = [np.packbits(x).tobytes() for x in np.split(times[place] > 1, ends)]
+        for b in kept:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same[: b.num_rows], pa.binary())], names=["block", "bucket", "bits", "same"])
+            same = same[b.num_rows :]
+
     def cut(own: pa.Table, answers: pa.Table) -> pa.Table:
-        w = Windows(width)
-        words = [(t or b"").split() for c in own.column("text").chunks for t in texts_of(c)]
-        hashes = [w.of(x) for x in words]
-        every = np.concatenate([*hashes, np.empty(0, np.uint64)])
-        mine, times = np.unique(every, return_counts=True)
-        repeated = times > 1
-        edges = np.concatenate([[np.uint64(0)], bucket_edges(buckets)])
-        for k, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
-            a = np.searchsorted(mine, edges[k])
-            b = np.searchsorted(mine, edges[k + 1]) if k + 1 < buckets else len(mine)
-            repeated[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        often, out = mine[repeated], []
-        for x, h in zip(words, hashes, strict=True):
-            hit = member(h, often)
-            if hit.any():
-                mask = covered(hit, width)
-                gone = intervals(mask)
-                kept, n, last = [], 0, 0
-                for s, e in gone:
-                    kept += x[last:s]
-                    n, last = n + e - s, e
-                kept += x[last:]
-            else:
-                gone, kept, n = [], x, 0
+        texts, told = texts_in(own), answers.column("bucket").to_pylist()
+        c = Candidates(texts, width, buckets, lead_bits, dict(zip(told, answers.column("bits").to_pylist(), strict=True)))
+        repeated = c.times > 1
+        for k, bits in zip(told, answers.column("same").to_pylist(), strict=True):
+            a, b = c.edge[k], c.edge[k + 1]
+            repeated[c.abroad[a:b]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        hits = c.at[repeated[c.place]]
+        part, out = np.searchsorted(hits, np.concatenate([[0], c.ends])), []
+        for i, t in enumerate(texts):
+            x = t.split()
+            first = c.ends[i - 1] if i else 0
+            gone, kept, n, last = [], [], 0, 0
+            if part[i + 1] > part[i]:
+                gone = intervals(covered(hits[part[i] : part[i + 1]] - first, len(x), width))
+            for s, e in gone:
+                kept += x[last:s]
+                n, last = n + e - s, e
+            kept += x[last:]
             body = b" ".join(kept)
             out.append((len(x), n, [{"start": s, "end": e} for s, e in gone], hashlib.sha256(body).hexdigest(), body))
         cols = list(zip(*out, strict=True)) or [()] * 5
@@ -153,6 +216,8 @@ def find_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text: st
         arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)]
         return pa.Table.from_arrays([own.column("doc_id"), *arrays[:4], arrays[4].cast(pa.string())], names=["doc_id", "n_words", "n_removed", "removed", "kept_sha256", "kept"])
 
-    sent = dealt.groupBy("block").applyInArrow(send, "bucket int, block int, data binary")
-    answers = sent.groupBy("bucket").applyInArrow(count, "block int, bucket int, bits binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_sha256 string, kept string")
+    blocked = dealt.groupBy("block")
+    met = blocked.applyInArrow(send, "bucket int, block int, data binary").groupBy("bucket").applyInArrow(count, "block int, bucket int, bits binary")
+    pairs = blocked.cogroup(met.groupBy("block")).applyInArrow(send_pairs, "bucket int, block int, bits binary, h binary, g binary")
+    answers = pairs.groupBy("bucket").applyInArrow(count_pairs, "block int, bucket int, bits binary, same binary")
+    return blocked.cogroup(answers.groupBy("block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept_sha256 string, kept string")

@@ -94,6 +94,13 @@ def test_repeats_equal_brute_force(spark):
     assert substring_dedup.find_repeats(docs(spark)).collect() == []
 
 
+def test_candidates_that_only_look_alike_stay(spark):
+    """With 12 leading bits most windows meet another in the first round; the second one tells them apart."""
+    texts = [" ".join(f"{i}_{k}" for k in range(300)) for i in range(60)] + ["shared " * 3 + "tail of words"] * 2
+    got = substring_dedup.find_repeats(docs(spark, *enumerate(texts)), width=4, lead_bits=12).collect()
+    assert sorted((r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(brute_repeats(texts, 4))
+
+
 def test_equal_rows_spread_over_the_blocks(spark, monkeypatch):
     """Half of all rows have a null key and one text; the blocks still hold about as many rows each."""
     same = " ".join(f"w{i}" for i in range(60))
@@ -111,6 +118,8 @@ def test_equal_rows_spread_over_the_blocks(spark, monkeypatch):
 def test_packing():
     x = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000, np.uint64))
     assert (substring_dedup.unpack(substring_dedup.pack(x)) == x).all()
+    h, g, times, place = substring_dedup.distinct_pairs(np.array([7, 3, 7, 7], np.uint64), np.array([1, 2, 0, 1], np.uint64))
+    assert (h.tolist(), g.tolist(), times.tolist(), place.tolist()) == ([3, 7, 7], [2, 0, 1], [1, 1, 2], [2, 0, 1, 2])
 
 
 def test_blocks_share_one_shuffle(spark, sf):
