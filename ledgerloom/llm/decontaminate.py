@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import RollingHash, WordIds, arrow_map, texts_of
+from ledgerloom.llm.common import RollingHash, WordIds, arrow_map, numbered, texts_of
 
 #: Case of ASCII letters and ASCII punctuation don't count.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256))
@@ -223,7 +223,8 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     or very long text, a null key, or that repeat others are judged by their text alone; an empty docs or benchmark
     changes nothing."""
     at = docs.columns.index(text)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    out, _ = numbered(docs)
+    fields = out.schema
     for rows in query_blocks(benchmark, item_key, item_text, block):
         shared = docs.sparkSession.sparkContext.broadcast(Items(rows, similarity, least_words))
 
@@ -232,5 +233,5 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
             for b in batches:
                 yield b.filter(pa.array([not finder.find(t, once=True) for t in texts_of(b.column(at))], pa.bool_()))
 
-        docs = arrow_map(docs, run, fields)
-    return docs
+        out = arrow_map(out, run, fields)
+    return out.toDF(*docs.columns)

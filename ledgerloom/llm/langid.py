@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ledgerloom.llm.common import arrow_map, materialize
+from ledgerloom.llm.common import arrow_map, materialize, numbered
 
 #: A letter, for Spark's `rlike`; numbers that Unicode has as characters (½, Ⅷ) are none.
 HAS_LETTER = r"\p{L}"
@@ -116,7 +117,7 @@ def fit(docs: DataFrame, per_lang: int = 600, centroids: int = 4, dim: int = 819
     share = F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("d"))
     limits = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("d")).select(F.col("lang").alias("l"), (share * 2.0**64 - 2.0**63).alias("most"))
     limits = materialize(limits, "limits")  # one short row for each language
-    near = rows.join(F.broadcast(limits), F.col("lang") == F.col("l")).where(F.col("h") < F.col("most")).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    near = rows.join(limits, F.col("lang") == F.col("l")).where(F.col("h") < F.col("most")).groupBy("lang", "h").agg(F.first("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("h")
     sample = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("lang", "h", "text")
 
@@ -168,8 +169,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     new = ("lang_pred", "score", "rejected")
     kept = docs.drop(*new)
     at = kept.columns.index(text)
-    out = kept.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "lang_pred string, score double, rejected boolean"])
+    rows, _ = numbered(kept)
+    out = rows.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    fields = StructType([*rows.schema.fields]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     idf = model.idf
     for block in model.blocks():
         shared = kept.sparkSession.sparkContext.broadcast(block)  # LANG_BLOCK * centroids * dim floats at most
@@ -188,4 +190,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-3], *more], names=b.schema.names)
 
         out = arrow_map(out, run, fields)
-    return out
+    return out.toDF(*kept.columns, *new)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import numbered
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -48,18 +50,24 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     its hash, seeded, is below the fraction. Null source: a source of its own, last. Null text: size 0. Null key: one
     hash for all such rows. Rows that repeat a key are taken alike. Empty table: empty result. Only one row per source
     meets in one task; the documents join these by source, which Spark broadcasts if it finds them small and else
-    splits where a source is large.
+    splits where a source is large. Columns of docs with the names of the four new ones are replaced.
     """
-    sized = docs.withColumns({"__size": n_words(text), "__source": F.col(f"`{source}`")})
+    rows, own = numbered(docs)
+    sized = rows.withColumns({"__size": n_words(own[text]), "__source": F.col(own[source])})
     sizes = sized.groupBy("__source").agg(F.sum("__size").alias("source_size"))
     rates = source_rates(sizes, weights, share, cap).withColumnsRenamed({"__source": "__of", "source_size": "__source_size", "target": "__target", "rate": "__rate"})
     joined = sized.join(rates, F.col("__source").eqNullSafe(F.col("__of")), "left")
     whole = F.floor("__rate")
-    copies = whole + (unit_hash(F.col(f"`{key}`"), seed) < F.col("__rate") - whole).cast("long")
-    return joined.withColumn("__copies", copies.cast("long")).drop("__source", "__of", "__rate")
+    copies = whole + (unit_hash(F.col(own[key]), seed) < F.col("__rate") - whole).cast("long")
+    new = ["__size", "__source_size", "__target"]
+    carried = [F.col(c).alias(name) for name, c in own.items() if name not in (*new, "__copies")]
+    return joined.select(*carried, *new, copies.cast("long").alias("__copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, each document as often as `mix_plan` takes it."""
-    plan = mix_plan(docs, **options)
-    return plan.where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: the columns of docs, whatever they are called, each document as often as `mix_plan` takes it."""
+    rows, own = numbered(docs)
+    names = {"source": "source", "key": "doc_id", "text": "text"}
+    plan = mix_plan(rows, **options | {k: own[options.get(k, name)] for k, name in names.items()})
+    copies = plan.where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+    return copies.select(*own.values()).toDF(*docs.columns)

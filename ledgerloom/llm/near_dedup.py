@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import RollingHash, WordIds, arrow_map, materialize, mix64, texts_of
+from ledgerloom.llm.common import RollingHash, WordIds, arrow_map, materialize, mix64, numbered, texts_of
 from ledgerloom.llm.components import components
 from ledgerloom.llm.grouping import SMALL, block_pairs, least_of_part, link_batch, pairs_within, per_stretch, starts_of
 
@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
 
 def deduplicate(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group of near_duplicates, that with the smallest key. Rows with a null key stay;
-    rows that repeat a key stay or go together."""
+    rows that repeat a key stay or go together. Other columns are carried, whatever they are called."""
     gone = materialize(near_duplicates(docs, percent, key, text).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     # the keys to drop grow with the corpus, so they are never broadcast
-    return docs.join(gone.hint("merge"), F.col(f"`{key}`") == F.col("__gone"), "left_anti")
+    rows, own = numbered(docs)
+    return rows.join(gone.hint("merge"), F.col(own[key]) == F.col("__gone"), "left_anti").toDF(*docs.columns)

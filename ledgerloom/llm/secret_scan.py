@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize
+from ledgerloom.llm.common import materialize, numbered
 
 #: The three base patterns, in order.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -146,12 +146,12 @@ def redact(text: Column, cuts: Column, mark: str = "[secret]") -> Column:
 
 def redact_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", owner: str = "source", **options) -> DataFrame:
     """docs with every secret span of `scan` replaced in the text. Rows and columns stay; texts without a span are
-    unchanged, null texts stay null. Rows are matched by an id given before the scan, not by their key; a column named
-    __id is refused."""
-    if "__id" in docs.columns:
-        raise ValueError("docs has a column __id")
-    rows = materialize(docs.withColumn("__id", F.monotonically_increasing_id()), "rows")
-    spans_of = scan(rows, key=key, owner=owner, text=text, carry=("__id",), **options)
+    unchanged, null texts stay null. Rows are matched by an id given before the scan, not by their key. Other columns are
+    carried, whatever they are called."""
+    renamed, own = numbered(docs)
+    rows = materialize(renamed.withColumn("__id", F.monotonically_increasing_id()), "rows")
+    spans_of = scan(rows, key=own[key], owner=own[owner], text=own[text], carry=("__id",), **options)
     cuts = holes(spans_of.where(F.size("spans") > 0), "__id", "spans")
     done = rows.join(cuts.hint("merge"), "__id", "left")  # hits grow with the corpus
-    return done.withColumn(text, F.when(F.col("cuts").isNull(), F.col(f"`{text}`")).otherwise(redact(F.col(f"`{text}`"), F.col("cuts")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.col("cuts").isNull(), F.col(own[text])).otherwise(redact(F.col(own[text]), F.col("cuts")))
+    return done.withColumn(own[text], clean).select(*own.values()).toDF(*docs.columns)

@@ -14,8 +14,9 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ledgerloom.llm.common import arrow_map
+from ledgerloom.llm.common import arrow_map, numbered
 
 #: Pieces of an ASCII word, lower-cased, by the vocabulary's own pre-tokenizer pattern restricted to ASCII. Fixed value.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -79,7 +80,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
     Columns of docs with the names of the new columns are replaced by these. Whole texts are read, whatever their length.
     """
     rest = [c for c in docs.columns if c not in (text, "n_bytes", out, "over_limit")]
-    narrow = docs.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))
+    rows, own = numbered(docs)
+    narrow = rows.select(*[own[c] for c in rest], F.coalesce(F.col(own[text]), F.lit("")).alias("__text"))
 
     def run(batches):
         count = counter(path).count
@@ -89,5 +91,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
             size = pa.array([len(t.encode()) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], size, n], names=[*b.schema.names[:-1], "n_bytes", out])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]), "n_bytes long", f"`{out}` long"])
-    return arrow_map(narrow, run, fields).withColumn("over_limit", F.col(f"`{out}`") > limit)
+    fields = StructType([StructField(own[c], docs.schema[c].dataType) for c in rest])
+    fields = fields.add("n_bytes", "long").add(out, "long")
+    return arrow_map(narrow, run, fields).withColumn("over_limit", F.col(f"`{out}`") > limit).toDF(*rest, "n_bytes", out, "over_limit")

@@ -8,7 +8,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize
+from ledgerloom.llm.common import materialize, numbered
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -132,12 +132,14 @@ def judge_urls(pages: DataFrame, labels: DataFrame, threshold: float = 0.3, weig
     a purity of 0.5 for every template.
     """
     new = ("host", "path", "rule", "template", "purity", "verdict")
-    rows = pages.drop(*new).withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
+    kept = pages.drop(*[c for c in new if c not in (key, url)])
+    rows, own = numbered(kept)
+    rows = rows.withColumns({"host": host_of(F.col(own[url])), "path": path_of(F.col(own[url]))})
     rows = rows.withColumn("__segs", segments(F.col("path")))
     known = labels.select(F.col(labels.columns[0]).alias("__key"), F.col(labels.columns[1]).cast("int").alias("__good")).where("__key is not null and __good is not null")
     # written first, so that the join has plain shuffles on both sides and Spark can split a hot (or null) key
     known = materialize(known.groupBy("__key").agg(F.sum("__good").alias("good"), F.sum(1 - F.col("__good")).alias("bad")), "known")
-    narrow = rows.select(F.col("host").alias("__host"), "__segs", F.col(f"`{key}`").alias("__key"))
+    narrow = rows.select(F.col("host").alias("__host"), "__segs", F.col(own[key]).alias("__key"))
     shapes = narrow.join(known, "__key", "left").groupBy("__host", "__segs").agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     tree = build_tree(materialize(shapes, "shapes"), depth)
     prior = tree.agg(F.try_divide(F.sum("good"), F.sum("good") + F.sum("bad"))).first()[0]
@@ -148,4 +150,6 @@ def judge_urls(pages: DataFrame, labels: DataFrame, threshold: float = 0.3, weig
     out = rows.join(judged, (F.col("host") == F.col("__h")) & (F.col("__segs") == F.col("__s")), "left")
     rule = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("purity") < threshold, "block").otherwise("allow")
-    return out.withColumn("__rule", rule).withColumns({"rule": F.col("__rule.rule"), "verdict": F.coalesce(F.col("__rule.verdict"), method)}).drop("__rule", "__h", "__s", "__segs")
+    carried = [F.col(c).alias(name) for name, c in own.items() if name not in new]
+    out = out.withColumn("__rule", rule)
+    return out.select(*carried, "host", "path", F.col("__rule.rule").alias("rule"), "template", "purity", F.coalesce(F.col("__rule.verdict"), method).alias("verdict"))

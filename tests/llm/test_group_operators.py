@@ -510,6 +510,33 @@ def test_stages_take_edge_rows(spark, sf):
         stage(spark, odd, sf).collect()
 
 
+CLASHES = ["__id", "cuts", "r", "__row", "__gone", "doc_", "component_id", "kept", "lang_pred", "score", "rejected", "__size", "__source", "__source_size", "__target", "__copies", "__copy", "__of", "__rate", "__in0", "item_id", "a.b", "a`b", "live"]
+
+
+def test_stages_carry_columns_of_any_name(spark, sf):
+    """Columns named like those that a stage uses inside, or with dots and quotes, come out as they went in."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = docs.select("*", *[F.concat(F.lit(f"{i}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(c) for i, c in enumerate(CLASHES)])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, odd, sf)
+        assert got.columns == odd.columns, name
+        rows = got.collect()
+        assert rows, name
+        assert all(r[len(docs.columns) + i] == f"{i}-{r.doc_id}" for r in rows for i in range(len(CLASHES))), name
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in stage(spark, docs, sf).collect()), name
+
+
+def test_urls_carry_columns_of_any_name(spark):
+    rows = [(1, "http://a.b/x/1", "p", "q", "s", "t"), (2, None, "p", "q", "s", "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, __h string, __segs string, __rule string, host string")
+    labels = spark.createDataFrame([(1, 1)], "k long, good int")
+    got = url_filter.judge_urls(pages, labels)
+    assert got.columns == ["page_id", "url", "__h", "__segs", "__rule", "host", "path", "rule", "template", "purity", "verdict"]
+    assert {(r.page_id, r["__h"], r["__segs"], r["__rule"], r.host) for r in got.collect()} == {(1, "p", "q", "s", "a.b"), (2, "p", "q", "s", "")}
+
+
 def test_url_query_equals_brute_force(spark, sf):
     good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     pages = [(r.page_id, *plain_parts(r.url)) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]

@@ -45,6 +45,14 @@ def test_token_counts_equal_the_library(spark, sf):
         assert r.n_tokens == len(t.encode(whole[r.doc_id], add_special_tokens=False).ids)
 
 
+def test_token_counts_carry_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "some text", "x", 9, "y")], "doc_id long, text string, __text string, n_bytes long, `a.b` string")
+    got = token_counts.count_tokens(rows, queries.tokenizer_path())
+    assert got.columns == ["doc_id", "__text", "a.b", "n_bytes", "n_tokens", "over_limit"]
+    r = got.first()
+    assert (r.doc_id, r["__text"], r["a.b"], r.n_bytes) == (1, "x", "y", 9)
+
+
 def test_token_counts_of_an_empty_table(spark):
     assert token_counts.count_tokens(docs(spark), queries.tokenizer_path()).collect() == []
 
