@@ -10,22 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, langid, mixing, near_dedup, secret_scan
-from ledgerloom.llm.common import materialize
+from ledgerloom.llm.common import materialize, numbered
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go: those with a null text or one without a letter, and those far from all
     languages. Learns from the labelled rows of its own input; with none of them, or an empty table, nothing is kept. Very
     long texts are judged whole, equal ones alike, rows that repeat others each by itself; null keys, labels and sources
-    don't matter. Columns named lang_pred, score or rejected would be replaced inside, so docs must not have them."""
-    model = langid.fit(docs)
-    return langid.identify(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    don't matter. Other columns are carried, whatever they are called."""
+    rows, own = numbered(docs)
+    judged = langid.identify(rows, langid.fit(docs), text=own["text"])
+    return judged.where(~F.col("rejected")).select(*own.values()).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 of word 5-grams) stays, that with the smallest key. Null and empty
     texts are nobody's copies and stay, as do rows with a null key; rows that repeat a key stay or go together. Very long
-    texts are compared whole. An empty table stays empty; other columns are carried, but none may be named __gone."""
+    texts are compared whole. An empty table stays empty; other columns are carried, whatever they are called."""
     return near_dedup.deduplicate(docs, percent=80)
 
 
@@ -39,15 +40,15 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are replaced and n_chars follows. Null texts and their n_chars stay as
     they are, empty ones too; very long texts are cleaned whole, in time that goes with their length. A null key or source
-    counts as one of its own; repeated rows are cleaned alike. An empty table stays empty; no column may be named __id."""
+    counts as one of its own; repeated rows are cleaned alike. An empty table stays empty; other columns are carried, whatever they are called."""
     return secret_scan.redact_secrets(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for; reruns agree. Null and empty texts have no words and are
     repeated like their source's others; a null source is a source of its own, the last; rows that repeat a key and text
-    are drawn alike. Very long texts count whole. An empty table stays empty; columns that begin with two underscores are
-    the operator's own."""
+    are drawn alike. Very long texts count whole. An empty table stays empty; other columns are carried, whatever they are
+    called."""
     return mixing.mix(docs)
 
 
