@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, embed_dedup, langid, mixing, near_dedup, secret_scan, substring_dedup, token_counts, url_filter, warc
+from ledgerloom.llm import alignment, collocations, decontaminate, embed_dedup, langid, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, token_counts, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +76,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path())
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_tokens(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc, op2_decontaminate, op3_substring_dedup, op4_url_filter, op5_language_id, op6_embedding_dedup, op7_mixing, op8_secret_scan, op9_near_dedup, op10_token_counts)
+    for f in (op1_warc, op2_decontaminate, op3_substring_dedup, op4_url_filter, op5_language_id, op6_embedding_dedup, op7_mixing, op8_secret_scan, op9_near_dedup, op10_token_counts, op11_token_alignment, op12_quality_rules, op13_collocations)
 }
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -110,6 +124,39 @@ def _secrets_sql() -> str:
         FROM d LEFT JOIN a ON d.doc_id = a.doc_id"""
 
 
+def _quality_sql() -> str:
+    """The counts from lists of words and windows; cutoffs in order, as far as the binomial tail stays within its share."""
+    score = {
+        "symbols": "CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END", "repeats": "CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END",
+        "lines": "CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END", "long_words": "CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END",
+        "short_words": "CASE WHEN n_words > 0 THEN -(word_chars * 100 // n_words) ELSE -1000000 END",
+    }
+    grid = ", ".join(f"('{rule}', {i + 1}, {c})" for rule, cs in quality_rules.CUTOFFS.items() for i, c in enumerate(cs))
+    p = quality_rules.ALPHA / len(score)
+    scored = " UNION ALL ".join(f"SELECT doc_id, stratum, '{rule}' AS rule, {s} AS score FROM m WHERE NOT base_failed" for rule, s in score.items())
+    return rf"""
+        WITH w AS (SELECT doc_id, coalesce(lang, 'und') AS stratum, coalesce(text, '') AS t, {WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+             g AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+             h AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+             r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM h) GROUP BY doc_id),
+             l AS (SELECT w.*, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM w),
+             c AS (SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: len(x))), 0) AS BIGINT) AS word_chars,
+                          CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+                          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines FROM l LEFT JOIN r USING (doc_id)),
+             m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+             s AS ({scored}),
+             good AS (SELECT s.* FROM s WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+             grid AS (SELECT * FROM (VALUES {grid}) AS v(rule, step, cutoff)),
+             strata AS (SELECT count(DISTINCT stratum) AS strata FROM good),
+             k AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (WHERE score > cutoff) AS k FROM good JOIN grid USING (rule) GROUP BY ALL),
+             q AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) <= {quality_rules.DELTA!r} / ({len(score)} * strata) AS ok FROM k, strata),
+             o AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY step) AS all_ok FROM q),
+             limits AS (SELECT stratum, rule, arg_max(cutoff, step) AS cutoff FROM o WHERE all_ok GROUP BY ALL),
+             bad AS (SELECT DISTINCT doc_id FROM s JOIN limits USING (stratum, rule) WHERE score > cutoff)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -166,4 +213,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
         FROM documents d JOIN k ON d.doc_id = k.a LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op8_secret_scan": _secrets_sql(),
+    "op12_quality_rules": _quality_sql(),
+    "op13_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+             g AS (SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+                   UNION ALL SELECT lang, 2, ws[i] || ' ' || ws[i + 1] FROM (SELECT lang, ws, unnest(range(1, len(ws))) AS i FROM w)
+                   UNION ALL SELECT lang, 3, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FROM (SELECT lang, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+             f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+             n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+             c AS MATERIALIZED (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+             x AS (SELECT *, 1 AS k, ws[1] AS head, array_to_string(ws[2:], ' ') AS rest FROM c UNION ALL SELECT *, 2, ws[1] || ' ' || ws[2], ws[3] FROM c WHERE size = 3),
+             o AS MATERIALIZED (SELECT lang, phrase, f FROM f WHERE f >= 10),
+             s AS (SELECT x.lang, x.phrase, size, a, x.k, l.f AS l, r.f AS r, 1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS score
+                   FROM x JOIN o l ON l.lang = x.lang AND l.phrase = x.head JOIN o r ON r.lang = x.lang AND r.phrase = x.rest),
+             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+             i AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE size = 3),
+             kept AS (SELECT b.* FROM b LEFT JOIN (SELECT lang, phrase, max(a) AS most FROM i GROUP BY ALL) i ON b.lang = i.lang AND b.phrase = i.phrase WHERE most IS NULL OR 100 * most < 50 * b.a),
+             ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT ranked.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000""",
 }
