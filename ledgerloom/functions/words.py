@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 LIMBS = 8
 _BASE = 1 << 32
-#: A group of eight digits: nine limbs times such a group stay below 2^63.
-_GROUP = 100_000_000
+#: A group of eight digits: nine limbs times such a group stay below 2^63. Three groups at a time make a decimal, and the
+#: widest number, a sum of 2^31 words, has four such.
+_GROUP, GROUPS = 100_000_000, 4
 SIGN = bytes([0x80]) + bytes(31)
 
 
@@ -39,11 +40,6 @@ def address_of_long(k: Column) -> Column:
     return F.unhex(F.lpad(F.hex(k), 40, "0"))
 
 
-def limbs(word: Column) -> Column:
-    """Eight longs, low limb first."""
-    return F.array(*[unsigned(F.substring(word, 4 * k + 1, 4)) for k in reversed(range(LIMBS))])
-
-
 def is_negative(word: Column) -> Column:
     return F.substring(word, 1, 1) >= F.lit(bytes([0x80]))
 
@@ -75,51 +71,94 @@ def _carry(low_first: Column) -> Column:
     return F.aggregate(low_first, start, step)
 
 
-def _decimal(low_first: list[Column]) -> Column:
-    """Decimal text of non-negative limbs below 2^32. Lambdas aren't nested, as the time to plan them doubles with each."""
-    groups = []
-    for j in range(-(-len(str(1 << 32 * len(low_first))) // 8)):
-        factors = [(1 << 32 * i) // _GROUP**j % _GROUP for i in range(len(low_first))]
-        groups.append(reduce(add, [limb * F.lit(f).cast("long") for limb, f in zip(low_first, factors, strict=True) if f], F.lit(0).cast("long")))
-    start = F.struct(F.lit(0).cast("long").alias("c"), F.lit("").alias("text"))
+def limbs(word: Column) -> Column:
+    """Eight longs, low limb first."""
+    return F.array(*[unsigned(F.substring(word, 4 * k + 1, 4)) for k in reversed(range(LIMBS))])
+
+
+def _listed(x: Column) -> list[Column]:
+    return [F.get(x, F.lit(k)) for k in range(LIMBS)]
 
-    def step(acc, x):
-        t = x + acc["c"]
-        digits = F.lpad((t % F.lit(_GROUP)).cast("string"), 8, "0")
-        return F.struct(F.call_function("div", t, F.lit(_GROUP)).alias("c"), F.concat(digits, acc["text"]).alias("text"))
 
-    text = F.aggregate(F.array(*groups), start, step, lambda acc: F.ltrim(acc["text"], F.lit("0")))
-    return F.coalesce(F.nullif(text, F.lit("")), F.lit("0"))
+def _decimal(low_first: Column, take) -> Column:
+    """Decimal text of the limbs, up to nine of at most 2^32, that `take` makes of a column: first the sums of limbs times
+    constants that stand for eight digits each, then three of these as a decimal of up to 38 digits, and between those a
+    carry. Each step is a flat expression over the last one's result, as lambdas in lambdas take long to plan."""
+    wide = lambda x: x.cast("decimal(38,0)")
+
+    def groups(x: Column) -> Column:
+        low = take(x)
+        factors = [[(1 << 32 * i) // _GROUP**j % _GROUP for i in range(len(low))] for j in range(3 * GROUPS)]
+        return F.array(*[reduce(add, [q * F.lit(f).cast("long") for q, f in zip(low, fs, strict=True) if f] or [F.lit(0).cast("long")]) for fs in factors])
+
+    def joined(x: Column) -> Column:
+        return F.array(*[wide(reduce(add, [wide(F.get(x, F.lit(3 * k + i)).cast("decimal(19,0)") * F.lit(_GROUP**i).cast("decimal(17,0)")) for i in range(3)])) for k in range(GROUPS)])
+
+    def text(x: Column) -> Column:
+        whole, shown, part = F.lit(str(_GROUP**3)).cast("decimal(38,0)"), [], F.get(x, F.lit(0))
+        for k in range(GROUPS):
+            shown.append(F.lpad((part % whole).cast("string"), 24, "0"))
+            part = F.get(x, F.lit(k + 1)) + F.call_function("div", part, whole).cast("decimal(20,0)")
+        return F.coalesce(F.nullif(F.ltrim(F.concat(*reversed(shown)), F.lit("0")), F.lit("")), F.lit("0"))
+
+    return let(let(let(low_first, groups), joined), text)
+
+
+def _turned(low_first: list[Column], negative: Column) -> list[Column]:
+    """Limbs of the magnitude of a two's complement number: those of a negative one are turned over, plus one."""
+    return [F.when(negative, F.lit(_BASE - (i > 0)) - x).otherwise(x) for i, x in enumerate(low_first)]
 
 
 def limbs_to_text(low_first: Column) -> Column:
     """Decimal text of summed limbs, which may be negative and unnormalised; null for null."""
 
-    def text(c: Column) -> Column:
-        return _decimal([*(F.get(c["out"], F.lit(k)) for k in range(LIMBS)), c["c"]])
+    def seen(c: Column) -> Column:
+        out = _listed(c["out"])
+        # a total that fits 63 bits, as most do, needs no groups of digits
+        small = (c["c"] == 0) & (reduce(add, out[2:]) == 0) & (out[1] < F.lit(1 << 31))
+        return F.struct(c["out"].alias("out"), c["c"].alias("c"), F.when(small, (out[1] * F.lit(_BASE) + out[0]).cast("string")).alias("short"))
 
-    def show(low: Column, c: Column) -> Column:
-        # a total that fits 63 bits, as most do, needs no long division
-        upper = F.filter(F.slice(c["out"], 3, LIMBS - 2), lambda x: x != 0)
-        small = (c["c"] == 0) & (F.size(upper) == 0) & (F.element_at(c["out"], 2) < F.lit(1 << 31))
-        short = (F.element_at(c["out"], 2) * F.lit(_BASE) + F.element_at(c["out"], 1)).cast("string")
-        turned = let(_carry(F.transform(low, lambda x: -x)), text)
-        return F.when(small, short).when(c["c"] < 0, F.concat(F.lit("-"), turned)).otherwise(text(c))
+    def magnitude(s: Column) -> list[Column]:
+        return [*_turned(_listed(s["out"]), s["c"] < 0), F.when(s["c"] < 0, -s["c"] - 1).otherwise(s["c"])]
 
-    return F.when(low_first.isNotNull(), let(low_first, lambda low: let(_carry(low), lambda c: show(low, c))))
+    def show(s: Column) -> Column:
+        return F.coalesce(s["short"], F.concat(F.when(s["c"] < 0, F.lit("-")).otherwise(F.lit("")), _decimal(s, magnitude)))
+
+    return F.when(low_first.isNotNull(), let(let(_carry(low_first), seen), show))
 
 
 def uint_to_text(word: Column) -> Column:
     """Decimal text of an unsigned word."""
-    return F.when(fits_long(word), F.conv(F.hex(F.substring(word, 25, 8)), 16, 10)).otherwise(F.when(word.isNotNull(), let(limbs(word), lambda x: _decimal([F.get(x, F.lit(k)) for k in range(LIMBS)]))))
+    short = F.conv(F.hex(F.substring(word, 25, 8)), 16, 10)
+    return F.when(fits_long(word), short).otherwise(F.when(word.isNotNull(), _decimal(limbs(word), _listed)))
+
+
+def fits_signed_long(word: Column) -> Column:
+    return fits_long(word) | ((F.substring(word, 1, 24) == F.lit(b"\xff" * 24)) & (F.substring(word, 25, 1) >= F.lit(bytes([0x80]))))
+
+
+def to_signed_long(word: Column) -> Column:
+    """The two's complement value, or null outside 64 bits."""
+    return F.when(fits_signed_long(word), F.conv(F.hex(F.substring(word, 25, 8)), 16, -10).cast("long"))
 
 
 def int_to_text(word: Column) -> Column:
     """Decimal text of a two's complement word."""
-    # the sign moves into the top limb: 2^256 is 2^32 there
-    below = F.when(is_negative(word), F.lit(_BASE)).otherwise(F.lit(0))
-    moved = let(limbs(word), lambda low: F.concat(F.slice(low, 1, LIMBS - 1), F.array(F.element_at(low, LIMBS) - below)))
-    return F.when(word.isNotNull(), F.when(fits_long(word), uint_to_text(word)).otherwise(limbs_to_text(moved)))
+    sign = F.when(is_negative(word), F.lit("-")).otherwise(F.lit(""))
+    long = _decimal(limbs(word), lambda x: _turned(_listed(x), F.get(x, F.lit(LIMBS - 1)) >= F.lit(1 << 31)))
+    return F.when(fits_signed_long(word), F.conv(F.hex(F.substring(word, 25, 8)), 16, -10)).otherwise(F.when(word.isNotNull(), F.concat(sign, long)))
+
+
+def within(word: Column, bits: int, signed: bool = False) -> Column:
+    """Whether a word holds no more than an integer of so many bits: the bytes above are zero, or, of a negative one, 0xFF."""
+    upper = 32 - bits // 8
+    if upper == 0:
+        return word.isNotNull()
+    above = F.substring(word, 1, upper)
+    if not signed:
+        return above == F.lit(bytes(upper))
+    high = F.substring(word, upper + 1, 1) >= F.lit(bytes([0x80]))
+    return F.when(high, above == F.lit(b"\xff" * upper)).otherwise(above == F.lit(bytes(upper)))
 
 
 def sum_limbs(word: Column, sign: Column | None = None) -> list[Column]:

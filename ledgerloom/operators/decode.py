@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,16 +26,20 @@ def word_at(data: Column, offset: Column | int) -> Column:
 
 
 def abi_uint(word: Column, bits: int = 256) -> Column:
-    """bigint up to 56 bits, decimal(38,0) up to 120, above that decimal text."""
+    """bigint up to 56 bits, decimal(38,0) up to 120, above that decimal text. Null where the word is wider than its type,
+    as whoever writes a log may write any bytes."""
     if bits <= 56:
-        return words.to_long(word)
-    text = words.uint_to_text(word)
-    return text.cast("decimal(38,0)") if bits <= 120 else text
+        return F.when(words.within(word, bits), words.to_long(word))
+    text = F.when(words.within(word, bits), words.uint_to_text(word))
+    return text.try_cast("decimal(38,0)") if bits <= 120 else text
 
 
 def abi_int(word: Column, bits: int = 256) -> Column:
-    text = words.int_to_text(word)
-    return text.cast("long") if bits <= 56 else text.cast("decimal(38,0)") if bits <= 120 else text
+    """As abi_uint, in two's complement."""
+    if bits <= 56:
+        return F.when(words.within(word, bits, signed=True), words.to_signed_long(word))
+    text = F.when(words.within(word, bits, signed=True), words.int_to_text(word))
+    return text.try_cast("decimal(38,0)") if bits <= 120 else text
 
 
 def abi_address(word: Column) -> Column:
@@ -48,12 +54,19 @@ def abi_fixed(word: Column, n: int) -> Column:
     return F.substring(word, 1, n)
 
 
+def pointed(data: Column, head: Column | int, base: Column | int) -> Column:
+    """The place, as an int, that the word at `head` points to, from `base`, if a word can stand there; else null. The
+    pointer is bounded before anything is added to it, so none is too large."""
+    base = F.lit(base) if isinstance(base, int) else base
+    pointer = words.to_long(word_at(data, head))
+    return (F.when(pointer <= F.octet_length(data) - 32 - base, pointer) + base).cast("int")
+
+
 def abi_bytes(data: Column, head: Column | int, base: Column | int = 0) -> Column:
     """The payload that the word at `head` points to, from `base`; null where it would end outside the data."""
-    pos = words.to_long(word_at(data, head)) + F.lit(base)
-    safe = F.when(pos + 32 <= F.octet_length(data), pos)
-    size = words.to_long(word_at(data, safe))
-    return F.when(size <= F.octet_length(data) - safe - 32, F.substring(data, (safe + 33).cast("int"), size.cast("int")))
+    at = pointed(data, head, base)
+    size = words.to_long(word_at(data, at))
+    return F.substring(data, at + 33, F.when(size <= F.octet_length(data) - at - 32, size).cast("int"))
 
 
 def abi_string(data: Column, head: Column | int, base: Column | int = 0) -> Column:
@@ -62,15 +75,13 @@ def abi_string(data: Column, head: Column | int, base: Column | int = 0) -> Colu
 
 
 def decode_word(kind: Abi, word: Column) -> Column:
+    if kind.kind in ("uint", "int"):  # the word, a cut at a computed place, is used several times
+        return words.let(word, lambda w: (abi_uint if kind.kind == "uint" else abi_int)(w, kind.size))
     match kind.kind:
         case "address":
             return abi_address(word)
         case "bool":
             return abi_bool(word)
-        case "uint":
-            return abi_uint(word, kind.size)
-        case "int":
-            return abi_int(word, kind.size)
         case "fixed":
             return abi_fixed(word, kind.size)
     raise ValueError(f"{kind.name} doesn't fit a word")
@@ -84,20 +95,23 @@ def decode_at(kind: Abi, data: Column, head: Column | int, base: Column | int =
         return abi_string(data, head, base)
     if kind.kind != "array":
         return decode_word(kind, word_at(data, head))
-    start: Column | int = head
-    if kind.dynamic:
-        pos = words.to_long(word_at(data, head)) + F.lit(base)
-        start = F.when(pos <= F.octet_length(data), pos)
-    if kind.size is None:
-        n = words.to_long(word_at(data, start))
-        start = start + 32
-    else:
-        n = F.lit(kind.size).cast("long")
-    start = F.lit(start) if isinstance(start, int) else start
+    if kind.dynamic:  # the place and the number of items are worked out once for each row
+        found = pointed(data, head, base)
+        if kind.size is None:
+            found = words.let(found, lambda at: F.struct((at + 32).alias("start"), words.to_long(word_at(data, at)).alias("n")))
+        else:
+            found = F.struct(found.alias("start"), F.lit(kind.size).cast("long").alias("n"))
+        return words.let(found, lambda x: _items(kind, data, x["start"], x["n"]))
+    return _items(kind, data, F.lit(head) if isinstance(head, int) else head, F.lit(kind.size).cast("long"))
+
+
+def _items(kind: Abi, data: Column, start: Column, n: Column) -> Column:
+    """The items of an array whose heads begin at `start`; null where the data can't hold n of them."""
     step = 32 if kind.item.dynamic else kind.item.head_bytes
-    fits = n <= F.floor((F.octet_length(data) - start) / F.lit(step))
-    items = F.transform(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>")), lambda i: decode_at(kind.item, data, start + i * step, start))
-    return F.when(fits, items)
+    # items without a width, like those of uint8[0][], count as a word each, or a short log could ask for any number
+    n = F.when(n <= F.floor((F.octet_length(data) - start) / F.lit(step or 32)), n)
+    numbers = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).when(n == 0, F.array().cast("array<bigint>"))
+    return F.transform(numbers, lambda i: decode_at(kind.item, data, start + i * step, start))
 
 
 def parameter_columns(signature: Signature, data: Column | None = None, first: int = 0) -> dict[str, Column]:
@@ -143,22 +157,35 @@ def where_parameter(logs: DataFrame, signature: str | Signature, values: dict[st
 
 
 def decode_many(logs: DataFrame, signatures: list[str | Signature]) -> dict[str, DataFrame]:
-    """One relation per signature over the same logs, by event name."""
-    return {as_signature(s).name: decode_events(logs, s) for s in signatures}
+    """One relation per signature over the same logs, by event name; events that share a name go by name and types, like
+    `E(uint256)`. Signatures that differ in names or `indexed` only are one event, of which the last is taken."""
+    by_topic = {s.canonical: s for s in map(as_signature, signatures)}
+    names = Counter(s.name for s in by_topic.values())
+    return {s.name if names[s.name] == 1 else text: decode_events(logs, s) for text, s in by_topic.items()}
 
 
 def register_events(logs: DataFrame, signatures: list[str | Signature]) -> list[str]:
-    """Makes each event a temporary view under its name, so that SQL can select from and join events like tables; the
-    logs themselves are the view `logs`. Returns the names."""
+    """Makes each event a temporary view under its name in `decode_many`, so that SQL can select from and join events like
+    tables (overloaded ones as `E(uint256)`, in backticks); the logs themselves are the view `logs`. Returns the names."""
     found = {"logs": logs, **decode_many(logs, signatures)}
     for name, df in found.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(f"`{name}`")
     return list(found)
 
 
 def decode_union(logs: DataFrame, signatures: list[str | Signature]) -> DataFrame:
-    """All events of the signatures with an `event` column; parameters that an event lacks are null."""
-    parts = [df.withColumn("event", F.lit(name)) for name, df in decode_many(logs, signatures).items()]
+    """All events of the signatures with an `event` column (the name in `decode_many`); parameters that an event lacks are
+    null. A parameter whose type isn't the same in all events is one column a type, like `b_string` and `b_binary`."""
+    found = decode_many(logs, signatures)
+    types: dict[str, set[str]] = {}
+    for df in found.values():
+        for c, kind in df.dtypes:
+            types.setdefault(c, set()).add(kind)
+
+    def apart(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{c}`").alias(c if len(types[c]) == 1 else f"{c}_{re.sub('[^a-z0-9]+', '_', kind).strip('_')}") for c, kind in df.dtypes])
+
+    parts = [apart(df).withColumn("event", F.lit(name)) for name, df in found.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -402,6 +402,32 @@ def _dynamic(text):
     return F.concat(words.word_of_long(F.lit(32)), words.word_of_long(F.octet_length(body).cast("long")), body, F.substring(F.lit(bytes(32)), F.lit(1), pad))
 
 
+@query(f"""SELECT event_id, CASE WHEN event_id % 3 <> 1 THEN user_id END AS narrow, CASE WHEN event_id % 3 = 0 THEN user_id WHEN event_id % 3 = 2 THEN -1 - user_id END AS signed, CASE WHEN event_id % 3 = 0 THEN CAST({VALUE} AS VARCHAR) END AS wide,
+        CASE WHEN event_id % 3 = 0 THEN '0x' || lower(hex(event_type)) END AS payload FROM events""")
+def hostile_words(spark, sf):
+    """Every third word is wider than its type, or a pointer near 2^63, or a negative number: null, and no error."""
+    e, third = _events(spark, sf), F.col("event_id") % 3
+    word = lambda k, high: F.unhex(F.concat(F.lit(high), F.lpad(F.hex(k), 64 - len(high), high[-1])))
+    user, cents = F.col("user_id"), F.col("cents")
+    unsigned = F.when(third == 1, word(user, "8")).otherwise(word(user, "0"))
+    signed = F.when(third == 1, word(user, "7")).when(third == 2, word(-1 - user, "F")).otherwise(word(user, "0"))
+    wide = F.when(third == 0, word(cents, "0")).otherwise(word(cents, "01"))
+    body = _dynamic(F.col("event_type"))
+    data = F.when(third == 0, body).otherwise(F.concat(words.word_of_long(F.lit((1 << 63) - 1) - third), F.substring(body, F.lit(33), F.octet_length(body))))
+    return tables.hex_view(e.select("event_id", decode.abi_uint(unsigned, 40).alias("narrow"), decode.abi_int(signed, 40).alias("signed"), decode.abi_uint(wide, 128).alias("wide"), decode.abi_bytes(data, 0).alias("payload")))
+
+
+@query(f"""SELECT 'Moved(uint256)' AS event, event_id AS block_num, CAST({VALUE} AS VARCHAR) AS amount, NULL AS who FROM events WHERE event_id % 2 = 0
+        UNION ALL SELECT 'Moved(address)', event_id, NULL, {a('user_id')} FROM events WHERE event_id % 2 = 1""")
+def decode_overloads(spark, sf):
+    """Two events of one name over the same logs."""
+    one, two = parse_signature("Moved(uint256 x)"), parse_signature("Moved(address x)")
+    even = F.col("event_id") % 2 == 0
+    logs = _events(spark, sf).select(F.col("event_id").alias("block_num"), F.when(even, F.lit(one.topic)).otherwise(F.lit(two.topic)).alias("selector"), words.word_of_long(F.when(even, F.col("cents")).otherwise(F.col("user_id"))).alias("data"))
+    found = decode.decode_union(logs, [one, two])
+    return tables.hex_view(found.select("event", "block_num", F.col("x_string").alias("amount"), F.col("x_binary").alias("who")))
+
+
 @query("SELECT event_id, '0x' || lower(hex(event_type)) AS payload, CASE WHEN event_id % 4 <> 0 THEN '0x' || lower(hex(props)) END AS cut FROM events")
 def abi_bytes(spark, sf):
     """Every fourth row of `cut` has lost its last word."""

@@ -22,9 +22,16 @@ def read_table(spark: SparkSession, path: str, name: str, chain_id: int | None =
     return df if chain_id is None else df.where(F.col("chain_id") == chain_id).select(*TABLES[name].names)
 
 
-def quantity(q: Column) -> Column:
-    """A `0x` quantity below 2^63 as a long."""
-    return F.conv(F.substring(q, 3, 16), 16, 10).cast("long")
+def digits(q: Column) -> Column:
+    """The hex digits of a `0x` quantity without zeros before them; '' for zero."""
+    return F.ltrim(F.substring(q, 3, 1 << 30), F.lit("0"))
+
+
+def quantity(q: Column, kind: str = "long") -> Column:
+    """A `0x` quantity as an integer; null from 2^63 on, or where it doesn't fit the kind, as nothing bounds what a
+    payload says."""
+    hex_digits = digits(q)
+    return F.when(F.octet_length(hex_digits) <= 16, F.conv(F.concat(F.lit("0"), hex_digits), 16, 10).try_cast("long").try_cast(kind))
 
 
 def raw(h: Column) -> Column:
@@ -33,10 +40,11 @@ def raw(h: Column) -> Column:
 
 
 def decimal_text(q: Column) -> Column:
-    """A `0x` quantity of up to 256 bits as decimal text."""
+    """A `0x` quantity of up to 256 bits as decimal text; null above."""
     from ledgerloom.functions.words import uint_to_text
 
-    return uint_to_text(F.unhex(F.lpad(F.substring(q, 3, 64), 64, "0")))
+    hex_digits = digits(q)
+    return uint_to_text(F.when(F.octet_length(hex_digits) <= 64, F.unhex(F.lpad(hex_digits, 64, "0"))))
 
 
 def parse_blocks(payloads: DataFrame) -> DataFrame:
@@ -44,14 +52,16 @@ def parse_blocks(payloads: DataFrame) -> DataFrame:
 
 
 def _time(q: Column) -> Column:
-    return F.timestamp_seconds(quantity(q))
+    """Seconds as a timestamp; null after the year 9999."""
+    seconds = quantity(q)
+    return F.timestamp_seconds(F.when(seconds < 253_402_300_800, seconds))
 
 
 def normalize_blocks(payloads: DataFrame) -> DataFrame:
     """JSON blocks -> blocks."""
     b = parse_blocks(payloads).select("b.*")
     c = F.col
-    return b.select(quantity(c("number")).alias("num"), raw(c("hash")).alias("hash"), raw(c("parentHash")).alias("parent_hash"), _time(c("timestamp")).alias("timestamp"), (quantity(c("timestamp")) * 1000).alias("timestamp_ms"), quantity(c("gasLimit")).alias("gas_limit"), quantity(c("gasUsed")).alias("gas_used"), raw(c("miner")).alias("miner"), raw(c("extraData")).alias("extra_data"), raw(c("consensusProposer")).alias("consensus_proposer"))
+    return b.select(quantity(c("number")).alias("num"), raw(c("hash")).alias("hash"), raw(c("parentHash")).alias("parent_hash"), _time(c("timestamp")).alias("timestamp"), F.unix_millis(_time(c("timestamp"))).alias("timestamp_ms"), quantity(c("gasLimit")).alias("gas_limit"), quantity(c("gasUsed")).alias("gas_used"), raw(c("miner")).alias("miner"), raw(c("extraData")).alias("extra_data"), raw(c("consensusProposer")).alias("consensus_proposer"))
 
 
 def normalize_txs(payloads: DataFrame) -> DataFrame:
@@ -59,10 +69,10 @@ def normalize_txs(payloads: DataFrame) -> DataFrame:
     b = parse_blocks(payloads).select(quantity(F.col("b.number")).alias("block_num"), _time(F.col("b.timestamp")).alias("block_timestamp"), F.posexplode("b.transactions").alias("idx", "t"))
     t = lambda name: F.col(f"t.`{name}`")
     return b.select(
-        "block_num", "block_timestamp", "idx", raw(t("hash")).alias("hash"), quantity(t("type")).cast("short").alias("type"), raw(t("from")).alias("from"), raw(t("to")).alias("to"), decimal_text(t("value")).alias("value"), raw(t("input")).alias("input"),
+        "block_num", "block_timestamp", "idx", raw(t("hash")).alias("hash"), quantity(t("type"), "short").alias("type"), raw(t("from")).alias("from"), raw(t("to")).alias("to"), decimal_text(t("value")).alias("value"), raw(t("input")).alias("input"),
         quantity(t("gas")).alias("gas_limit"), decimal_text(t("maxFeePerGas")).alias("max_fee_per_gas"), F.coalesce(decimal_text(t("maxPriorityFeePerGas")), F.lit("0")).alias("max_priority_fee_per_gas"), F.lit(None).cast("long").alias("gas_used"),
         F.coalesce(F.unhex(F.lpad(F.substring(t("nonceKey"), 3, 64), 64, "0")), F.lit(bytes(32))).alias("nonce_key"), quantity(t("nonce")).alias("nonce"), raw(t("feeToken")).alias("fee_token"), F.lit(None).cast("binary").alias("fee_payer"), t("calls").alias("calls"),
-        F.coalesce(F.when(t("calls").isNotNull(), F.size(t("calls"))), F.lit(1)).cast("short").alias("call_count"), quantity(t("validBefore")).alias("valid_before"), quantity(t("validAfter")).alias("valid_after"), F.coalesce(quantity(t("signatureType")), F.lit(0)).cast("short").alias("signature_type"),
+        F.coalesce(F.when(t("calls").isNotNull(), F.size(t("calls"))), F.lit(1)).cast("short").alias("call_count"), quantity(t("validBefore")).alias("valid_before"), quantity(t("validAfter")).alias("valid_after"), F.coalesce(quantity(t("signatureType"), "short"), F.lit(0).cast("short")).alias("signature_type"),
     )
 
 
@@ -75,16 +85,16 @@ def _receipts(payloads: DataFrame, blocks: DataFrame) -> DataFrame:
 def normalize_receipts(payloads: DataFrame, blocks: DataFrame) -> DataFrame:
     r = lambda name: F.col(f"r.`{name}`")
     return _receipts(payloads, blocks).select(
-        "block_num", "block_timestamp", quantity(r("transactionIndex")).cast("int").alias("tx_idx"), raw(r("transactionHash")).alias("tx_hash"), raw(r("from")).alias("from"), raw(r("to")).alias("to"), raw(r("contractAddress")).alias("contract_address"),
-        quantity(r("gasUsed")).alias("gas_used"), quantity(r("cumulativeGasUsed")).alias("cumulative_gas_used"), decimal_text(r("effectiveGasPrice")).alias("effective_gas_price"), quantity(r("status")).cast("short").alias("status"), raw(r("feePayer")).alias("fee_payer"),
+        "block_num", "block_timestamp", quantity(r("transactionIndex"), "int").alias("tx_idx"), raw(r("transactionHash")).alias("tx_hash"), raw(r("from")).alias("from"), raw(r("to")).alias("to"), raw(r("contractAddress")).alias("contract_address"),
+        quantity(r("gasUsed")).alias("gas_used"), quantity(r("cumulativeGasUsed")).alias("cumulative_gas_used"), decimal_text(r("effectiveGasPrice")).alias("effective_gas_price"), quantity(r("status"), "short").alias("status"), raw(r("feePayer")).alias("fee_payer"),
     )
 
 
 def normalize_logs(payloads: DataFrame, blocks: DataFrame) -> DataFrame:
     """The logs of JSON receipts; selector is topic0, missing topics are null."""
-    e = _receipts(payloads, blocks).select("block_num", "block_timestamp", quantity(F.col("r.transactionIndex")).cast("int").alias("tx_idx"), raw(F.col("r.transactionHash")).alias("tx_hash"), F.explode("r.logs").alias("l"))
+    e = _receipts(payloads, blocks).select("block_num", "block_timestamp", quantity(F.col("r.transactionIndex"), "int").alias("tx_idx"), raw(F.col("r.transactionHash")).alias("tx_hash"), F.explode("r.logs").alias("l"))
     topic = [raw(F.get("l.topics", F.lit(i))) for i in range(4)]
-    return e.select("block_num", "block_timestamp", quantity(F.col("l.logIndex")).cast("int").alias("log_idx"), "tx_idx", "tx_hash", raw(F.col("l.address")).alias("address"), topic[0].alias("selector"), *[t.alias(f"topic{i}") for i, t in enumerate(topic)], raw(F.col("l.data")).alias("data"), F.lit(False).alias("is_virtual_forward"))
+    return e.select("block_num", "block_timestamp", quantity(F.col("l.logIndex"), "int").alias("log_idx"), "tx_idx", "tx_hash", raw(F.col("l.address")).alias("address"), topic[0].alias("selector"), *[t.alias(f"topic{i}") for i, t in enumerate(topic)], raw(F.col("l.data")).alias("data"), F.lit(False).alias("is_virtual_forward"))
 
 
 def enrich_txs(txs: DataFrame, receipts: DataFrame) -> DataFrame:
