@@ -28,7 +28,8 @@ def mark_forward_hops(logs: DataFrame) -> DataFrame:
     log order each forward then takes one earlier attribution that none has taken, and is marked; one that finds none
     is not. With +1 for an attribution, -1 for a forward and the running sum S, one is waiting iff S, before the row,
     is above the running minimum of S (0 at most). A log from a virtual address to another is in both buckets but acts
-    as an attribution only. Only candidates are shuffled; logs must be unique by (block_num, log_idx).
+    as an attribution only. Only candidates are shuffled: marks are joined to the logs that could bear one, transfers from
+    a virtual address to another kind, and all other logs pass by the join. Logs must be unique by (block_num, log_idx).
     """
     word = lambda c: (F.octet_length(c) == 32) & (F.substring(c, 1, 12) == F.lit(bytes(12)))
     candidate = (F.col("topic0") == F.lit(TRANSFER.topic)) & word("topic1") & word("topic2") & (F.octet_length("data") == 32) & (F.octet_length("tx_hash") == 32) & (F.octet_length("address") == 20)
@@ -48,4 +49,7 @@ def mark_forward_hops(logs: DataFrame) -> DataFrame:
     t = t.withColumn("s", F.sum(step).over(bucket.orderBy("block_num", "log_idx", "role").rowsBetween(Window.unboundedPreceding, 0)))
     t = t.withColumns({"was": F.coalesce(F.lag("s").over(bucket.orderBy("block_num", "log_idx", "role")), F.lit(0)), "low": F.least(F.lit(0), F.coalesce(F.min("s").over(before), F.lit(0)))})
     marks = t.where(forward & F.col("acts") & (F.col("was") > F.col("low"))).select("block_num", "log_idx", F.lit(True).alias("__mark"))
-    return logs.drop("is_virtual_forward").join(marks, ["block_num", "log_idx"], "left").withColumn("is_virtual_forward", F.coalesce("__mark", F.lit(False))).drop("__mark")
+    could = F.coalesce(candidate & is_virtual(F.substring("topic1", 13, 20)) & ~is_virtual(F.substring("topic2", 13, 20)), F.lit(False))
+    plain = logs.drop("is_virtual_forward")
+    marked = plain.where(could).join(marks, ["block_num", "log_idx"], "left").select(*plain.columns, F.coalesce("__mark", F.lit(False)).alias("is_virtual_forward"))
+    return marked.unionByName(plain.where(~could).withColumn("is_virtual_forward", F.lit(False)))

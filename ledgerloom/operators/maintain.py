@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,9 +99,10 @@ def store_replace(spark: SparkSession, path: str, batch: DataFrame, block: str,
 def store_rollback(spark: SparkSession, path: str, schema: StructType, block: str, n: int, work: str, size: int | None = None) -> int:
     """Takes back all blocks from n on: the bucket that holds n is written again, later ones go. Returns how many block
     numbers were removed."""
-    above = stored(spark, path, schema).where(F.col("bucket") >= n // (size or BUCKET))
+    low = n // (size or BUCKET)
+    above = stored(spark, path, schema).where(F.col("bucket") >= low)
     removed = above.where(F.col(block) >= n).agg(F.count_distinct(block)).first()[0]
-    rewrite(above, above.where(F.col(block) < n).drop("bucket"), path, block, size, work)
+    rewrite(above, above.where((F.col("bucket") == low) & (F.col(block) < n)).drop("bucket"), path, block, size, work)
     return removed
 
 
@@ -117,57 +119,48 @@ def rollback_from(tables: Mapping[str, DataFrame], n: int) -> tuple[dict[str, Da
     return kept, removed
 
 
-def write_batch(root: str, batch_id: str, tables: Mapping[str, DataFrame]) -> None:
-    """All tables or none: each is written under the batch's own id (and attempt); the commit row, written last, makes
-    them visible. A batch that is written again under its id replaces nothing: the last commit of an id counts."""
-    attempt = uuid.uuid4().hex
-    spark = next(iter(tables.values())).sparkSession
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{name}/batch={batch_id}/attempt={attempt}")
-    row = spark.createDataFrame([(batch_id, attempt)], "batch string, attempt string").withColumn("at", F.current_timestamp())
-    row.coalesce(1).write.mode("append").parquet(f"{root}/_commits")
+def write_batch(root: str, batch: str | Column, tables: Mapping[str, DataFrame]) -> None:
+    """All tables or none: one job writes them as one dataset with the partitions (table, batch), so a task that fails
+    anywhere ends it before its commit, and nothing of it is to be seen. A batch written again replaces its own; with a
+    column as the batch (like the stretch of blocks), each of its values is one."""
+    batch = F.lit(batch) if isinstance(batch, str) else batch
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumns({"table": F.lit(name), "batch": batch}) for name, df in tables.items()])
+    every.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("table", "batch").parquet(root)
 
 
 def read_committed(spark: SparkSession, root: str, name: str, schema: StructType | None = None) -> DataFrame:
-    """The rows of a table in committed batches: the commit list joins the partitions, so others aren't read."""
-    schema = extended(schema or TABLES[name], "batch string, attempt string")
-    commits = spark.read.schema("batch string, attempt string, at timestamp").parquet(f"{root}/_commits")
-    last = commits.groupBy("batch").agg(F.max_by("attempt", "at").alias("attempt"))
-    rows = spark.read.schema(schema).option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-    return rows.join(last, ["batch", "attempt"], "left_semi").drop("batch", "attempt")
-
-
-def copy_cursor(spark: SparkSession, root: str):
-    """(first_num, copied_num) of a copy: the first block that it was asked for and the last one that is there; nulls
-    before the first step."""
+    """The rows of a table in all batches that are whole; a partition filter leaves the other tables unread."""
+    schema = schema or TABLES[name]
     try:
-        rows = spark.read.schema("first_num long, copied_num long").parquet(f"{root}/_cursor")
+        rows = spark.read.schema(extended(schema, "table string, batch string")).parquet(root)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        rows = spark.createDataFrame([], "first_num long, copied_num long")
-    return rows.agg(F.min("first_num").alias("first_num"), F.max("copied_num").alias("copied_num")).first()
-
-
-def copy_range(spark: SparkSession, source: Mapping[str, DataFrame], root: str, cursor: int | None = None, step: int = 5000) -> int | None:
-    """Copies all tables from cursor + 1 (from where the last run ended, if none is given) to the highest block.
-
-    Steps are whole multiples of `step` blocks, whatever cursor a run begins at, and are committed under their number,
-    so a step that is run again, then perhaps up to a higher block, takes the place of what it wrote before. The cursor
-    is kept with the data and moves on when all four tables of a step are committed. Returns it."""
-    had = copy_cursor(spark, root)
-    if cursor is None:
-        cursor = -1 if had.copied_num is None else had.copied_num
-    first = cursor + 1 if had.first_num is None else min(had.first_num, cursor + 1)
-    top = source["blocks"].agg(F.max("num")).first()[0]
-    while top is not None and cursor < top:
-        number = (cursor + 1) // step
-        end = min((number + 1) * step - 1, top)
-        part = {name: df.where(F.col(BLOCK_COLUMN[name]).between(max(first, number * step), end)) for name, df in source.items()}
-        write_batch(root, str(number), part)
-        spark.createDataFrame([(first, end)], "first_num long, copied_num long").coalesce(1).write.mode("append").parquet(f"{root}/_cursor")
-        cursor = end
-    return cursor
+        return spark.createDataFrame([], schema)
+    return rows.where(F.col("table") == name).select(*schema.names)
+
+
+def copied(spark: SparkSession, root: str) -> int | None:
+    """The highest block of a copy."""
+    return read_committed(spark, root, "blocks").agg(F.max("num")).first()[0]
+
+
+def copy_range(spark: SparkSession, source: str, root: str, checkpoint: str, after: int = -1, files: int = 100) -> int | None:
+    """Copies all tables stored under `source` (in buckets, see `save_buckets`), from block after + 1 on, as far as there is
+    something new, and returns the highest block of the copy.
+
+    The files of the blocks table are a stream, `files` of them a step, and Spark's checkpoint is the cursor. A step writes
+    the buckets that its blocks are in, whole and with all tables in one job, in place of what the copy had of them. So
+    steps that run again, or a new checkpoint that begins anew, end with the same copy, and a bucket that grew is whole."""
+    blocks = spark.readStream.schema(extended(TABLES["blocks"], "bucket long")).option("maxFilesPerTrigger", files).parquet(f"{source}/blocks")
+
+    def step(rows: DataFrame, _: int) -> None:
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]  # a number for each bucket of the step
+        part = {name: stored(spark, f"{source}/{name}", TABLES[name]).where(F.col("bucket").isin(touched) & (F.col(BLOCK_COLUMN[name]) > after)) for name in TABLES}
+        write_batch(root, F.concat(F.lit("bucket-"), F.col("bucket").cast("string")), {name: df for name, df in part.items()})
+
+    blocks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return copied(spark, root)
 
 
 def write_clustered(df: DataFrame, path: str, time: str, sort: list[str], bloom: list[str], files: int = 8) -> None:

@@ -1,14 +1,14 @@
-"""Typed JSON rows, CSV, and a row cap that raises."""
+"""Typed JSON rows, CSV, a default limit, and a row cap that raises."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DecimalType, StructField, TimestampType
 
 
-class RowCapExceeded(ValueError):
-    """A result has more rows than its cap."""
+#: Rows of a result where nothing else is asked for. Fixed value.
+DEFAULT_ROWS = 10_000
 
 
 def shown(f: StructField) -> Column:
@@ -33,8 +33,14 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.select(*[shown(f).alias(f.name) for f in df.schema.fields]).write.option("header", "true").option("nullValue", "NULL").option("escape", '"').csv(path)
 
 
-def row_cap(df: DataFrame, cap: int = 10_000) -> DataFrame:
-    """df, if it has at most `cap` rows; else RowCapExceeded. Reads cap + 1 rows at most for that."""
-    if df.limit(cap + 1).count() > cap:
-        raise RowCapExceeded(f"more than {cap} rows")
-    return df
+def limited(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The first rows of a result that asks for no number itself: DEFAULT_ROWS, or fewer if so asked for, never more."""
+    return df.limit(DEFAULT_ROWS if rows is None else min(rows, DEFAULT_ROWS))
+
+
+def row_cap(df: DataFrame, cap: int = DEFAULT_ROWS) -> DataFrame:
+    """df, as long as it has no more than `cap` rows; reading one with more is an error that says so. The test is part of
+    the plan, so the source is read once, and of no partition more than cap + 1 rows."""
+    numbered = df.limit(cap + 1).withColumn("__n", F.row_number().over(Window.orderBy(F.lit(1))))
+    refused = F.raise_error(F.lit(f"the result has more than {cap} rows")).cast("boolean")
+    return numbered.where(F.when(F.col("__n") > cap, refused).otherwise(F.lit(True))).drop("__n")

@@ -110,3 +110,20 @@ def test_virtual_parts(spark):
     df = spark.createDataFrame([(bytearray(a),), (bytearray(20),), (bytearray(a[:19]),), (None,)], "a binary")
     got = [r.p and (bytes(r.p.master_id), bytes(r.p.user_tag)) for r in df.select(forward.virtual_parts(F.col("a")).alias("p")).collect()]
     assert got == [(b"\1\2\3\4", b"abcdef"), None, None, None]
+
+
+def test_only_candidates_are_shuffled_for_marks(spark, sf):
+    """Logs that can't bear a mark go by every exchange."""
+    from ledgerloom.operators.forward import mark_forward_hops
+    from ledgerloom.sources import fixtures
+
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mark_forward_hops(fixtures.logs(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    rest = plan[plan.index("Union"):].split("\n")
+    level = lambda line: len(line) - len(line.lstrip(" :+-"))
+    last = [i for i, line in enumerate(rest) if level(line) == level(rest[1])][-1]
+    assert not any("Exchange" in line for line in rest[last:]) and "Exchange" in plan

@@ -57,26 +57,37 @@ def test_stored_rollback_and_reinsert(spark, tmp_path):
 
 
 def test_a_copy_converges_under_replays(spark, tmp_path):
-    blocks = lambda lo, hi: {"blocks": maintain.conform(spark.range(lo, hi + 1).withColumnRenamed("id", "num"), TABLES["blocks"])}
-    there = lambda: sorted(r.num for r in maintain.read_committed(spark, str(tmp_path), "blocks").collect())
-    assert maintain.copy_range(spark, blocks(1, 7), str(tmp_path), 0, 5) == 7
-    assert there() == list(range(1, 8))
-    assert maintain.copy_range(spark, blocks(1, 10), str(tmp_path), 5, 5) == 10
-    assert there() == list(range(1, 11))
-    assert maintain.copy_range(spark, blocks(1, 10), str(tmp_path), 0, 5) == 10
-    assert maintain.copy_range(spark, blocks(1, 13), str(tmp_path), step=5) == 13
-    assert there() == list(range(1, 14)) and tuple(maintain.copy_cursor(spark, str(tmp_path))) == (1, 13)
-
-
-def test_a_batch_without_commit_is_not_seen(spark, tmp_path):
-    root, schema = str(tmp_path), TABLES["receipts"]
-    df = spark.createDataFrame([(1,)], "block_num long")
-    batch = {"receipts": maintain.conform(df, schema)}
+    source, root = str(tmp_path / "chain"), str(tmp_path / "copy")
+    there = lambda: sorted(r.num for r in maintain.read_committed(spark, root, "blocks").collect())
+
+    def grow(lo, hi):
+        for name in TABLES:
+            df = maintain.conform(spark.range(lo, hi + 1).withColumnRenamed("id", maintain.BLOCK_COLUMN[name]), TABLES[name])
+            maintain.save_buckets(df, f"{source}/{name}", maintain.BLOCK_COLUMN[name], 5)
+
+    copy = lambda checkpoint, **k: maintain.copy_range(spark, source, root, str(tmp_path / checkpoint), **k)
+    grow(1, 7)
+    assert copy("a", after=0) == 7 and there() == list(range(1, 8))
+    grow(5, 10)  # the bucket of 5 to 9 has grown
+    assert copy("a", after=0, files=1) == 10 and there() == list(range(1, 11))
+    assert copy("a", after=0) == 10 and copy("b", after=0) == 10  # nothing new, and all of it anew
+    grow(10, 13)
+    assert copy("b", after=0) == 13 and there() == list(range(1, 14))
+    assert maintain.read_committed(spark, root, "logs").count() == 13
+
+
+def test_a_batch_is_seen_in_all_tables_or_none(spark, tmp_path):
+    root = str(tmp_path / "r")
+    assert maintain.read_committed(spark, root, "receipts").count() == 0
+    rows = spark.createDataFrame([(1,)], "block_num long")
+    batch = {name: maintain.conform(rows, TABLES[name]) for name in ("receipts", "txs")}
     maintain.write_batch(root, "one", batch)
-    batch["receipts"].write.parquet(f"{root}/receipts/batch=two/attempt=x")
+    broken = dict(batch, txs=batch["txs"].withColumn("value", F.raise_error(F.lit("no")).cast("string")))
+    with pytest.raises(Exception, match="no"):
+        maintain.write_batch(root, "two", broken)
     assert maintain.read_committed(spark, root, "receipts").count() == 1
     maintain.write_batch(root, "one", batch)  # again: no second copy
-    assert maintain.read_committed(spark, root, "receipts").count() == 1
+    assert maintain.read_committed(spark, root, "receipts").count() == maintain.read_committed(spark, root, "txs").count() == 1
 
 
 def test_clustered_files_prune_by_month(spark, sf, tmp_path):
@@ -129,7 +140,7 @@ def test_views_are_idempotent_and_keep_negative_deltas(spark, tmp_path):
     assert rows(store.read(view)) == [("a", 5)]
     assert store.update(view, batch(("b", 7), ("a", -5)), "1") and not store.update(view, batch(("b", 7)), "1")
     assert rows(store.read(view)) == [("b", 4)]
-    assert store.describe("net").first().rows == 4
+    assert store.describe("net").first().rows == 2
     store.drop(view)
     assert store.list_views().isEmpty()
     with pytest.raises(KeyError):
@@ -150,14 +161,42 @@ def test_a_view_follows_two_streams(spark, tmp_path):
     assert rows(store.read(view)) == [("a", 31)]
 
 
-def test_parts_are_merged_for_good(spark, tmp_path):
-    store = views.ViewStore(spark, str(tmp_path), most_parts=2)
+def test_partials_are_folded_and_batches_in_them_stay_known(spark, tmp_path):
+    store = views.ViewStore(spark, str(tmp_path))
+    view = views.View("net", lambda df: df.groupBy("k").agg(F.sum("v").alias("v")), ["k"], definition="it's \\ quoted")
+    one = lambda v: spark.createDataFrame([("a", v)], "k string, v long")
+    store.create(view, one(1))
+    for i in range(3):
+        store.update(view, one(10 ** (i + 1)), "stream", i)
+    store.fold(view)
+    assert rows(store.read(view)) == [("a", 1111)]
+    assert spark.table(f"{store.db}.net").count() == 1
+    assert not store.update(view, one(1000), "stream", 2) and store.update(view, one(10000), "stream", 3)
+    store.fold(view)
+    assert rows(store.read(view)) == [("a", 11111)]
+    assert store.describe("net").first().definition == "it's \\ quoted"
+    store.refresh(view, one(5), "nightly")
+    assert rows(store.read(view)) == [("a", 5)] and len(list(tmp_path.glob("net-*"))) == 1
+
+
+def test_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = views.ViewStore(spark, str(tmp_path / "v"))
     view = views.View("net", lambda df: df.groupBy("k").agg(F.sum("v").alias("v")), ["k"])
-    store.create(view, spark.createDataFrame([("a", 1)], "k string, v long"))
-    for i in range(4):
-        store.update(view, spark.createDataFrame([("a", 10**i), ("b", 1)], "k string, v long"), str(i))
-    assert rows(store.read(view)) == [("a", 1112), ("b", 4)]
-    assert [len(r.parts) for r in store.commits().orderBy("seq").collect()] == [1, 2, 1, 2, 1]
+    store.create(view, spark.createDataFrame([("a", 0)], "k string, v long"))
+    frames = [spark.createDataFrame([("a", 10**i)], "k string, v long") for i in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        assert all(pool.map(lambda x: store.update(view, x[1], f"writer{x[0]}"), enumerate(frames)))
+    assert rows(store.read(view)) == [("a", 111)]
+
+
+def test_the_later_row_replaces_in_a_view(spark, tmp_path):
+    store = views.ViewStore(spark, str(tmp_path))
+    view = views.View("last", lambda df: df, ["k"], merge=views.merge_replacing)
+    store.create(view, spark.createDataFrame([("a", 9), ("b", 1)], "k string, v int"))
+    store.update(view, spark.createDataFrame([("a", 2)], "k string, v int"), "1")
+    assert rows(store.read(view)) == [("a", 2), ("b", 1)]
 
 
 def test_replacing_takes_the_new_row(spark):
@@ -197,16 +236,43 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
 
 
-def test_eta():
-    assert live.eta_seconds(10, 2.0) == 5 and live.eta_seconds(10, 0.0) is None
+def test_nothing_is_answered_yet(spark, tmp_path):
+    assert live.results(spark, str(tmp_path), "block_num long, n long").collect() == live.lagged(spark, str(tmp_path)).collect() == []
+
+
+def test_a_live_query_stays_open(spark, tmp_path):
+    import time
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    df = lambda b: spark.createDataFrame([(b, 0)], "block_num long, i int")
+    df(1).write.parquet(src)
+    running = live.live_query(spark.readStream.schema("block_num long, i int").parquet(src), lambda x: x.groupBy("block_num").count(), out, out + "-c", forever=True)
+    try:
+        running.processAllAvailable()
+        assert rows(live.results(spark, out)) == [(1, 1)]
+        df(2).write.mode("append").parquet(src)
+        for _ in range(60):
+            running.processAllAvailable()
+            if live.results(spark, out).count() == 2:
+                break
+            time.sleep(0.5)
+        assert rows(live.results(spark, out)) == [(1, 1), (2, 1)] and running.isActive
+    finally:
+        running.stop()
 
 
 def test_export_and_cap(spark):
     df = spark.createDataFrame([(bytearray(b"\1"), None)], "b binary, n long")
     assert export.export_json(df).first()[0] == '{"b":"0x01","n":null}'
-    with pytest.raises(export.RowCapExceeded):
-        export.row_cap(spark.range(11), 10)
-    assert export.row_cap(spark.range(10), 10).count() == 10
+    with pytest.raises(Exception, match="more than 10 rows"):
+        export.row_cap(spark.range(11), 10).collect()
+    assert export.row_cap(spark.range(10), 10).count() == 10 and export.row_cap(spark.range(3), 10).columns == ["id"]
+    assert export.limited(spark.range(20_000)).count() == 10_000 and export.limited(spark.range(20), 7).count() == 7 and export.limited(spark.range(20_000), 20_000).count() == 10_000
+
+
+def test_the_cap_reads_its_source_once(spark, sf):
+    plan = export.row_cap(fixtures.read(spark, sf, "orders"), 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
 
 
 def test_hex_literal():
