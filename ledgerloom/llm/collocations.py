@@ -26,7 +26,7 @@ from ledgerloom.llm.common import RollingHash, WordIds, arrow_map, materialize,
 #: ASCII characters that end a piece, all turned into one that is set apart as a word of its own, number 0 of each block.
 ENDS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 #: Bytes of text in a block, words whose n-grams fall in a range of fingerprints, entries in a packed frame.
-BLOCK_BYTES, RANGE_WORDS, FRAME = 16 << 20, 4_000_000, 1 << 18
+BLOCK_BYTES, RANGE_WORDS, FRAME = 8 << 20, 4_000_000, 1 << 18
 #: Parts that a language's candidates are ranked in before its best ones meet.
 PARTS = 64
 
@@ -66,15 +66,15 @@ class Grams:
         self.words = zstandard.decompress(words).split(b"\n")
         own, roll = WordIds(b"phrases"), RollingHash()
         self.hashes, self.roll = own.of(self.words)[self.ids], roll
-        salts = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8, key=b"language").digest(), "little") for x in langs], np.uint64)
-        self.lang = np.repeat(np.arange(len(langs)), np.diff(ends, prepend=0))
-        self.salt, self.stops = salts[self.lang], np.concatenate([[0], np.cumsum(self.ids == 0)])
+        self.salts = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8, key=b"language").digest(), "little") for x in langs], np.uint64)
+        self.lang = np.repeat(np.arange(len(langs), dtype=np.int32), np.diff(ends, prepend=0))
+        self.stops = np.concatenate([np.zeros(1, np.int32), np.cumsum(self.ids == 0, dtype=np.int32)])
 
     def prints(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.ids) < k:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
         at = np.flatnonzero(self.stops[k:] == self.stops[:-k])
-        return mix64(self.roll.windows(self.hashes, k)[at] ^ self.salt[at] ^ np.uint64(k)), at
+        return mix64(self.roll.windows(self.hashes, k)[at] ^ self.salts[self.lang[at]] ^ np.uint64(k)), at
 
     def spelled(self, at: np.ndarray, prints: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First occurrence of each distinct phrase of k words among those that start at `at`, and how often it is there.
@@ -207,11 +207,14 @@ def phrase_counts(docs: DataFrame, least: int = 10, lang: str = "lang", text: st
         mine = {k: answers.filter(pc.equal(answers.column("k"), k)) for k in (2, 3)}
         shorter = Sent(grams, (1, 2), ranges)
         frequent = shorter.frequent(told(mine[2]))
-        longer = Sent(grams, (3,), ranges, shorter.where(2, frequent)[0])
-        out = []
-        for k, sent, often in ((1, shorter, frequent), (2, shorter, frequent), (3, longer, longer.frequent(told(mine[3])))):
-            at, n = grams.spelled(*sent.where(k, often), k)
-            langs = np.array(own.column("langs")[0].as_py() or [""], object)
+        found = [(k, *shorter.where(k, frequent)) for k in (1, 2)]
+        del shorter
+        longer = Sent(grams, (3,), ranges, found[1][1])
+        found.append((3, *longer.where(3, longer.frequent(told(mine[3])))))
+        del longer
+        out, langs = [], np.array(own.column("langs")[0].as_py() or [""], object)
+        for k, at, prints in found:
+            at, n = grams.spelled(at, prints, k)
             out.append(pa.table({"lang": pa.array(langs[grams.lang[at]].tolist(), pa.string()), "k": pa.array([k] * len(at), pa.int32()), "phrase": pa.array(grams.phrases(at, k), pa.string()), "n": pa.array(n, pa.int64())}))
         return pa.concat_tables(out)
 
@@ -265,6 +268,12 @@ def collocations(docs: DataFrame, least: int = 10, covered: int = 50, top: int =
     gone = (F.col("lang") == F.col("il")) & (F.col("phrase") == F.col("ip")) & (100 * F.col("longer") >= covered * F.col("a"))
     kept = best.join(inner, gone, "left_anti").select("lang", "phrase", "a", "m.l", "m.r", "m.score")
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    # scores are counted by thousands first, so that only those that can be among the best are ranked
+    kept = materialize(kept.withColumn("step", F.expr("score div 1000")), "scored")
+    better = F.coalesce(F.sum("m").over(Window.partitionBy("lang").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least_step = kept.groupBy("lang", "step").agg(F.count("*").alias("m")).withColumn("better", better).where(F.col("better") < top)
+    least_step = least_step.groupBy(F.col("lang").alias("sl")).agg(F.min("step").alias("least"))
+    kept = kept.join(least_step, (F.col("lang") == F.col("sl")) & (F.col("step") >= F.col("least"))).drop("sl", "least", "step")
     some = kept.withColumn("__part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
     some = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "__part").orderBy(*order))).where(F.col("rank") <= top)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
