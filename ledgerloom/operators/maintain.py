@@ -172,6 +172,38 @@ def write_clustered(df: DataFrame, path: str, time: str, sort: list[str], bloom:
     w.parquet(path)
 
 
+def cut_points(df: DataFrame, columns: list[str], bits: int, sample: int = 10_000) -> dict[str, list]:
+    """Up to 2^bits - 1 values of each column that cut it into parts of about equal size, from a sample of `sample` rows."""
+    rows = df.select(*columns).orderBy(F.rand(7)).limit(sample).collect()
+    found = {}
+    for c in columns:
+        values = sorted(bytes(r[c]) if isinstance(r[c], bytearray) else r[c] for r in rows if r[c] is not None)
+        found[c] = sorted({values[i * len(values) >> bits] for i in range(1, 1 << bits)}) if values else []
+    return found
+
+
+def interleaved(points: dict[str, list], bits: int) -> Column:
+    """A number that orders rows along several columns at once: the part of each column that a row is in, as bits, the
+    first bits of all columns first (Z-order). Nulls are in a column's first part. Plain comparisons and shifts."""
+    place, out = len(points) * bits, F.lit(0).cast("long")
+    parts = {c: sum([F.coalesce((F.col(c) >= F.lit(v)).cast("long"), F.lit(0)) for v in values], F.lit(0).cast("long")) for c, values in points.items()}
+    for b in reversed(range(bits)):
+        for part in parts.values():
+            place -= 1
+            out = out + F.shiftleft(F.shiftright(part, b).bitwiseAND(F.lit(1).cast("long")), place)
+    return out
+
+
+def write_interleaved(df: DataFrame, path: str, columns: list[str], files: int = 64, bits: int = 4) -> None:
+    """Files of rows that are near one another in each of the columns, so that a filter on any of them skips files and row
+    groups by their least and greatest values, and by bloom filters what these don't tell."""
+    z = df.withColumn("__z", interleaved(cut_points(df, columns, bits), bits))
+    w = z.repartitionByRange(files, "__z").sortWithinPartitions("__z").drop("__z").write.mode("overwrite")
+    for c in columns:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    w.parquet(path)
+
+
 def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
     """Sync state per chain: the greatest head, synced, tip and copy cursor; the newest backfill and rate that aren't
     null; the oldest start; the newest update."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -230,6 +231,19 @@ def write_clustered(spark, sf):
     return tables.hex_view(spark.read.schema(extended(TABLES["logs"], "month string")).parquet(path).groupBy("month").agg(F.count("*").alias("n"), F.min("address").alias("least")))
 
 
+@query(f"""SELECT 'address' AS filtered, count(*) AS n, CAST(sum(event_id % 100) AS BIGINT) AS total FROM events WHERE {TYPE} = 1 UNION ALL SELECT 'topic1', count(*), CAST(sum(event_id % 100) AS BIGINT) FROM events WHERE user_id = 8
+        UNION ALL SELECT 'topic2', count(*), CAST(sum(event_id % 100) AS BIGINT) FROM events WHERE {RECEIVER} = 8 UNION ALL SELECT 'selector', count(*), CAST(sum(event_id % 100) AS BIGINT) FROM events""")
+def write_interleaved(spark, sf):
+    """Logs of two events, stored in Z-order of four columns and read with a filter on each of them."""
+    path, transfer = scratch_path(spark, "interleaved"), F.col("selector") == F.lit(TRANSFER.topic)
+    logs = fixtures.logs(spark, sf).unionByName(fixtures.approvals(spark, sf))
+    maintain.write_interleaved(logs, path, ["selector", "address", "topic1", "topic2"])
+    stored, eight = tables.read_table(spark, path, "logs"), F.lit((8).to_bytes(32, "big"))
+    hits = {"address": transfer & (F.col("address") == F.lit((2).to_bytes(20, "big"))), "topic1": transfer & (F.col("topic1") == eight), "topic2": transfer & (F.col("topic2") == eight), "selector": transfer}
+    one = lambda name, hit: stored.where(hit).agg(F.count("*").alias("n"), F.sum("log_idx").alias("total")).select(F.lit(name).alias("filtered"), "n", "total")
+    return reduce(DataFrame.unionByName, [one(*x) for x in hits.items()])
+
+
 _STATE = [(1, 100, 90, 95, None, 1.5, "2024-01-01 00:00:00", "2024-01-02 00:00:00", 10, 1), (1, 98, 92, 96, 7, None, "2024-01-01 06:00:00", "2024-01-03 00:00:00", 40, 2), (1, 120, 91, 94, None, None, "2024-01-01 07:00:00", "2024-01-04 00:00:00", 30, 3)]
 
 
