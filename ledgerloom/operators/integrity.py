@@ -3,9 +3,10 @@ only one row per bucket meets in one task."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.schema import BLOCK_COLUMN
@@ -105,6 +106,37 @@ def watermarks(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def from_footers(df: DataFrame, aggregates: list[Column]) -> Row:
+    """Aggregates (counts, least and greatest values) over all rows of stored Parquet, which Spark takes from the files'
+    footers: no row is read. df must come from `footer_reader`."""
+    return df.agg(*aggregates).first()
+
+
+@contextmanager
+def footer_reader(spark: SparkSession) -> Iterator[DataFrameReader]:
+    """A reader whose Parquet aggregates are pushed into the footers, as long as the block lasts: that is a setting of
+    Spark's newer Parquet source, which is turned on here and set back."""
+    settings = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield spark.read
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def stored_watermarks(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """`watermarks` of tables stored as Parquet, at the cost of opening their files."""
+    rows = []
+    with footer_reader(spark) as reader:
+        for name, path in paths.items():
+            r = from_footers(reader.parquet(path), [F.max(BLOCK_COLUMN[name]).alias("m"), F.count("*").alias("n")])
+            rows.append((name, r.m, r.n))
+    return spark.createDataFrame(rows, "table_name string, max_block long, n_rows long")
+
+
 def _up_to_tip(state: DataFrame, blocks: DataFrame) -> DataFrame:
     """(chain_id, num) of the blocks of each chain of the state, up to that chain's tip."""
     tips = state.select(F.col("chain_id").alias("__c"), F.col("tip_num").alias("__tip"))

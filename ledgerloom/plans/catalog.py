@@ -341,6 +341,16 @@ def watermarks(spark, sf):
     return integrity.watermarks(_four(spark, sf))
 
 
+@query(_marks_sql())
+def stored_watermarks(spark, sf):
+    """The same from the footers of stored tables."""
+    root, paths = scratch_path(spark, "chain"), {}
+    for name, df in _four(spark, sf).items():
+        paths[name] = f"{root}/{name}"
+        df.write.parquet(paths[name])
+    return integrity.stored_watermarks(spark, paths)
+
+
 _CHAINS = "SELECT 1 AS c, l_orderkey AS num FROM lineitem UNION SELECT 2, l_orderkey FROM lineitem WHERE l_orderkey % 10 <> 0 UNION SELECT 3, l_orderkey FROM lineitem WHERE l_orderkey % 2 = 1"
 
 

@@ -127,3 +127,16 @@ def test_only_candidates_are_shuffled_for_marks(spark, sf):
     level = lambda line: len(line) - len(line.lstrip(" :+-"))
     last = [i for i, line in enumerate(rest) if level(line) == level(rest[1])][-1]
     assert not any("Exchange" in line for line in rest[last:]) and "Exchange" in plan
+
+
+def test_watermarks_come_from_footers(spark, tmp_path):
+    from ledgerloom.operators import integrity
+
+    path = str(tmp_path / "b")
+    spark.range(100).withColumnRenamed("id", "num").repartition(3).write.parquet(path)
+    had = spark.conf.get("spark.sql.sources.useV1SourceList")
+    with integrity.footer_reader(spark) as reader:
+        plan = reader.parquet(path).agg(F.max("num"), F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MAX(num), COUNT(*)]" in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == had
+    assert [tuple(r) for r in integrity.stored_watermarks(spark, {"blocks": path}).collect()] == [("blocks", 99, 100)]
