@@ -547,7 +547,7 @@ def mark_forward_hops(spark, sf):
 @query("SELECT event_id // 100 AS block_num, count(*) AS virtual, '0x00000001' AS master, '0x' || lpad(lower(to_hex(max(event_id))), 12, '0') AS last_tag FROM events WHERE event_id % 5 = 0 GROUP BY 1")
 def virtual_parts(spark, sf):
     to = F.substring("topic2", 13, 20)
-    v = fixtures.forwarding_logs(spark, sf).where("log_idx % 4 = 0").select("block_num", forward.virtual_parts(to).alias("p")).where("p is not null")
+    v = fixtures.forwarding_logs(spark, sf).select("block_num", forward.virtual_parts(to).alias("p")).where("p is not null")
     first = v.groupBy("block_num").agg(F.count_if((F.conv(F.hex("p.user_tag"), 16, 10).cast("long") % 5) == 0).alias("virtual"), F.max("p.master_id").alias("master"), F.max(F.when(F.conv(F.hex("p.user_tag"), 16, 10).cast("long") % 5 == 0, F.col("p.user_tag"))).alias("last_tag"))
     return tables.hex_view(first)
 
