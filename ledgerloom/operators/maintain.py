@@ -204,6 +204,19 @@ def write_interleaved(df: DataFrame, path: str, columns: list[str], files: int =
     w.parquet(path)
 
 
+#: The columns that transactions, logs and receipts are joined by.
+JOIN_KEYS = {"txs": ["block_num", "idx"], "logs": ["block_num", "tx_idx"], "receipts": ["block_num", "tx_idx"]}
+
+
+def save_colocated(df: DataFrame, table: str, name: str, path: str, buckets: int) -> None:
+    """Stores transactions, logs or receipts as a table of Spark's catalog, bucketed and sorted by block and place in the
+    block, so that joins of such tables with equally many buckets need no shuffle. Rows are dealt before they are written,
+    so there is one file a bucket."""
+    keys = JOIN_KEYS[name]
+    dealt = df.repartition(buckets, *keys).write.mode("overwrite").option("path", path)
+    dealt.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+
+
 def merge_state(old: DataFrame, new: DataFrame) -> DataFrame:
     """Sync state per chain: the greatest head, synced, tip and copy cursor; the newest backfill and rate that aren't
     null; the oldest start; the newest update."""

@@ -113,6 +113,24 @@ def enrich_txs(spark, sf):
     return tables.hex_view(tables.enrich_txs(fixtures.txs(spark, sf), fixtures.receipts(spark, sf)).select("block_num", "idx", "gas_used", "fee_payer"))
 
 
+def _colocated(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Transactions and receipts as tables bucketed alike"""
+    found = []
+    for name, df in (("txs", fixtures.txs(spark, sf)), ("receipts", fixtures.receipts(spark, sf))):
+        path = scratch_path(spark, name)
+        table = "t" + path.rsplit("-", 1)[1]
+        maintain.save_colocated(df, table, name, path, 8)
+        found.append(spark.table(table))
+    return tuple(found)
+
+
+@query(f"SELECT {BLOCK} AS block_num, {IDX} AS idx, {ENRICHED} FROM events")
+def enrich_colocated(spark, sf):
+    """The same rows from bucketed tables, joined without a shuffle."""
+    txs, receipts = _colocated(spark, sf)
+    return tables.hex_view(tables.enrich_txs(txs, receipts).select("block_num", "idx", "gas_used", "fee_payer"))
+
+
 @query(f"""SELECT {BLOCK} AS block_num, {IDX} AS idx, CASE WHEN event_id % 3 <> 0 THEN 20000 + user_id WHEN event_id % 7 <> 0 AND {BLOCK} BETWEEN 2 AND 50 THEN 21000 + user_id END AS gas_used,
         CASE WHEN event_id % 3 = 0 AND event_id % 7 <> 0 AND {BLOCK} BETWEEN 2 AND 50 THEN {a('user_id')} END AS fee_payer FROM events""")
 def repair_txs(spark, sf):

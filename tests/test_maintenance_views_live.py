@@ -116,6 +116,21 @@ def test_interleaved_files_are_skipped_on_every_column(spark, tmp_path):
         assert read <= n / (2 if c != "topic2" else 10), (c, read)
 
 
+def test_colocated_tables_join_without_exchange(spark, sf):
+    from ledgerloom.plans import catalog
+
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        txs, receipts = catalog._colocated(spark, sf)
+        for both in (tables.enrich_txs(txs, receipts), analytics.receipt_mismatch(txs, receipts)):
+            plan = both._jdf.queryExecution().executedPlan().toString()
+            below = plan[plan.index("SortMergeJoin"):]
+            assert "Exchange" not in below and below.count("Bucketed: true") == 2, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
 def test_interleaving_takes_nulls_and_ties(spark):
     df = spark.createDataFrame([(None, 1), (bytearray(b"a"), None), (bytearray(b"a"), 2), (bytearray(b"b"), 3)], "x binary, y int")
     points = maintain.cut_points(df, ["x", "y"], 2)
