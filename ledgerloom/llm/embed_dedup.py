@@ -4,6 +4,8 @@ A code turns a vector by a random rotation and cuts it in parts, each with its o
 filter is one direction of each part. The score of a filter is the sum of its parts' scores, so all filters whose
 direction exceeds a threshold are decoded part by part, without walking the product. Vectors that share a filter are
 compared in full. Before that the mean of all vectors is taken away, as it would send all of them to the same filters.
+What is left of a vector near the mean is short, and its partners may lie in any direction from there, where no cap
+tells them from others: such vectors are compared with all of their label, in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -30,6 +32,12 @@ LOAD, SHARED = 0.25, 10.0
 MOST_DIRECTIONS, MOST_FILTERS = 1024, 2048
 #: Vectors of a filter that one task compares with one another; more are cut into block pairs.
 BLOCK = 1024
+#: Least cosine, of what the mean leaves of a pair, that a code is planned for.
+LEAST_COSINE = 0.5
+#: Numbers that a block of vectors compared with all holds at most, and vectors of it.
+BLOCK_NUMBERS, BLOCK_VECTORS = 1 << 20, 4096
+#: Vectors of such a block whose links are held at a time; parts that the rows of a label are dealt in for a join.
+STRIP, SALTS = 256, 32
 
 
 class Code(NamedTuple):
@@ -192,29 +200,109 @@ def means_of(classes: DataFrame) -> dict[int, np.ndarray]:
     return {dim: v[:-1] / v[-1] for dim, v in found.items()}
 
 
-def plan(classes: DataFrame, threshold: float) -> tuple[dict[int, np.ndarray], dict[int, Code]]:
-    """Mean and code for each dimension. The code is for as many vectors as the largest label has, and for the cosine,
-    after the mean is taken away, of a pair at the threshold: the shorter a vector is then, the lower that cosine. The
-    length taken is one that 99 in 100 vectors exceed; a cosine below 0.5 isn't planned for."""
-    means = means_of(classes)
+def sized(classes: DataFrame, means: dict[int, np.ndarray]) -> DataFrame:
+    """classes with size, the length of what the mean leaves of the vector."""
 
-    def lengths(batches):
+    def run(batches):
         for b in batches:
             out = np.zeros(b.num_rows)
-            for dim, at, x in by_dim(b.column(0).to_pylist()):
+            for dim, at, x in by_dim(b.column("unit").to_pylist()):
                 out[at] = residual(x, means[dim])[1]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out)], names=["lab", "dim", "size"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "size"])
+
+    return arrow_map(classes, run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in classes.schema.fields)}, size double")
+
+
+def plan(classes: DataFrame, threshold: float) -> tuple[dict[int, Code], dict[int, float]]:
+    """For each dimension a code, and the length below which vectors are short and compared with all of their label.
+
+    With g the squared distance of a pair at the threshold, what the mean leaves of two linked vectors, the shorter one of
+    length a, has a cosine of at least 1 - g / (2 a^2). The code is planned for that cosine at the least length that isn't
+    short, so no pair of long vectors lies below it, and for as many vectors as the largest label has. As few are short as
+    keeps that cosine at LEAST_COSINE or more; where it is higher anyway, the shortest hundredth, and at most MOST_FILTERS
+    vectors, so that each vector meets no more short ones than it could have filters. Lengths are counted in thousandths."""
+    gap, floor = 2 * (1 - threshold), max(0.0, min(LEAST_COSINE, 0.8 * threshold))
+    least = np.sqrt(gap / 2 / (1 - floor))
+    most = {r.dim: r.n for r in classes.groupBy("dim", "lab").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()}
+    steps: dict[int, list[tuple[int, int]]] = {}
+    for r in classes.groupBy("dim", F.floor(F.col("size") * 1000).cast("int").alias("step")).agg(F.count("*").alias("n")).collect():
+        steps.setdefault(r.dim, []).append((r.step, r.n))
+    codes, short = {}, {}
+    for dim, counts in steps.items():
+        step, n = np.array(sorted(counts)).T
+        below = np.cumsum(n) - n
+        tail = step[np.flatnonzero(below <= min(n.sum() // 100, MOST_FILTERS))[-1]] / 1000
+        short[dim] = float(max(tail, least))
+        if step[-1] / 1000 + 0.001 < short[dim]:  # no vector is long
+            continue
+        cosine = min(1 - gap / 2 / short[dim] ** 2, threshold, 0.9999)
+        codes[dim] = plan_code(1 << max(6, int(most[dim] - 1).bit_length()), dim, float(np.floor(cosine * 1000) / 1000))
+    return codes, short
+
+
+def at_least(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosine of each row of x with each of y is the threshold or more. Products that are too near to it are
+    summed again as those of single pairs are, so that a pair is judged alike wherever it meets."""
+    cosine = x @ y.T
+    linked = cosine >= threshold
+    i, j = np.nonzero(np.abs(cosine - threshold) < 1e-9)
+    linked[i, j] = judged(x, y, i, j, threshold)
+    return linked
+
+
+def judged(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """The same for pairs of a row of x and one of y."""
+    step = max(1, (4 << 20) // x.shape[1])
+    return np.concatenate([np.einsum("ij,ij->i", x[i[k : k + step]], y[j[k : k + step]]) >= threshold for k in range(0, len(i), step)] or [np.empty(0, bool)])
+
+
+def short_links(classes: DataFrame, short: dict[int, float], label: list[str], threshold: float) -> DataFrame:
+    """(a, links, b) of every pair with a short end: each short vector meets all of its label and dimension, in pairs of a
+    block of short ones and a block of all. Rows sent: a vector once per block of the other side. A pair of two short ones
+    meets twice and counts for either end once; one row per vector and block pair says what it is linked to there."""
+
+    def flag(batches):
+        for b in batches:
+            is_short = [size < short[dim] for dim, size in zip(b.column("dim").to_pylist(), b.column("size").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(is_short, pa.bool_())], names=[*b.schema.names, "short"])
+
+    rows = arrow_map(classes.select(*label, "dim", "node", "c", "unit", "size"), flag, f"{', '.join(f'{c} long' for c in label)}, dim int, node long, c long, unit binary, size double, short boolean")
+    rows = materialize(rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), "flagged")
+    keys = [*label, "dim"]
+    per = rows.groupBy(*keys).agg(F.count_if("short").alias("s"), F.count("*").alias("m")).where("s > 0 and m > 1")
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_VECTORS), F.floor(F.lit(BLOCK_NUMBERS) / F.col("dim"))))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    per = per.select(*keys, blocks("s").alias("sb"), blocks("m").alias("mb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = rows.join(per, [*keys, "salt"])
+    own = lambda n: F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    queries = met.where("short").select(*keys, own("sb").alias("__i"), every("mb").alias("__j"), F.lit(True).alias("query"), "node", "c", "unit", "short")
+    others = met.select(*keys, every("sb").alias("__i"), own("mb").alias("__j"), F.lit(False).alias("query"), "node", "c", "unit", "short")
+    keys = [*keys, "__i", "__j"]
 
-    sized = arrow_map(classes.select("unit", "lab", "dim"), lengths, "lab binary, dim int, size double")
-    per = sized.groupBy("dim", "lab").agg(F.count("*").alias("n"), F.min("size").alias("least")).groupBy("dim").agg(F.max("n").alias("n"))
-    typical = sized.groupBy("dim").agg(F.percentile_approx("size", 0.01, 1000).alias("size")).withColumnRenamed("dim", "d")
-    codes = {}
-    for r in per.join(typical, F.col("dim") == F.col("d")).collect():
-        # a partner of a vector of length a has a cosine of at least sqrt(1 - g / a^2), where g is the squared distance
-        gap = 2 * (1 - threshold)
-        cosine = float(np.sqrt(max(0.25, 1 - gap / max(r.size, 1e-9) ** 2)))
-        codes[r.dim] = plan_code(1 << max(6, int(r.n - 1).bit_length()), r.dim, round(min(cosine, threshold), 3))
-    return means, codes
+    def compare(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        node, weight, query, is_short = (t.column(c).to_numpy() for c in ("node", "c", "query", "short"))
+        units, root, links = t.column("unit"), np.arange(len(node)), np.zeros(len(node), np.int64)
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(node)], strict=True):
+            q, o = s + np.flatnonzero(query[s:e]), s + np.flatnonzero(~query[s:e])
+            if not len(q) or not len(o):
+                continue
+            x, y = matrix(units.take(pa.array(q)).to_pylist()), matrix(units.take(pa.array(o)).to_pylist())
+            ties: list[tuple[np.ndarray, np.ndarray]] = []
+            for k in range(0, len(q), STRIP):
+                rows_of = q[k : k + STRIP]
+                linked = at_least(x[k : k + STRIP], y, threshold) & (node[rows_of, None] != node[None, o])
+                links[rows_of] += linked @ weight[o]
+                links[o] += np.where(is_short[o], 0, weight[rows_of] @ linked)
+                i, j = np.nonzero(linked)
+                part = least_of_part(e - s, rows_of[i] - s, o[j] - s)
+                tied = np.flatnonzero(part != np.arange(e - s))
+                ties.append((tied, part[tied]))
+            root[s:e] = s + least_of_part(e - s, *(np.concatenate([t[i] for t in ties]) for i in range(2)))
+        some = np.flatnonzero((links > 0) | (node[root] != node))
+        return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[root[some]])], names=["a", "links", "b"])
+
+    return per_stretch(queries.unionByName(others).select(*keys, "query", "node", "c", "unit", "short"), keys, compare, "a long, links long, b long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -226,9 +314,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id
     label link with nothing; without a key, component_id is null and the row is kept. Equal vectors are one class with
     a weight, so copies are never paired. Rows that repeat a key count as vectors of their own. Empty table: empty
     result. Other columns aren't returned. Codes are planned from the size of the table (see plan_code), so about as many
-    vectors meet in a filter at every size; a pair at the threshold shares some filter in all but one case in a
-    thousand, if the vectors have no strong common direction; where they are concentrated (a common cosine of 0.9 and more),
-    far more pairs share none and their links are missed.
+    vectors meet in a filter at every size; a pair at the threshold of which neither end is short (see plan) shares some
+    filter in all but one case in a thousand. Pairs with a short end are all found, by comparison with the whole label:
+    few where vectors have no strong common direction, all where they are concentrated (common cosines above 0.86 at a
+    threshold of 0.93), and the work is then the square of the label's size, in bounded blocks.
     """
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("vec_id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
 
@@ -243,25 +332,31 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id
     every = materialize(every, "units")
     classes = every.where("class is not null").groupBy("class").agg(F.first("lab").alias("lab"), F.first("unit").alias("unit"), F.min("vec_id").alias("first"), F.count("*").alias("c"))
     classes = materialize(classes.withColumns({"node": F.monotonically_increasing_id(), "dim": (F.octet_length("unit") / 8).cast("int")}), "classes")
-    means, codes = plan(classes, threshold)
+    means = means_of(classes)
+    classes = materialize(sized(classes, means), "sized")
+    codes, short = plan(classes, threshold)
 
     def filters(batches):
         for b in batches:
             found: list = [None] * b.num_rows
-            for dim, at, x in by_dim(b.column("unit").to_pylist()):
+            data, size = b.column("unit").to_pylist(), b.column("size").to_numpy()
+            long = [i for i, x in enumerate(data) if size[i] >= short[len(x) // 8]]
+            for dim, at, x in by_dim([data[i] for i in long]):
                 row, f = decode(residual(x, means[dim])[0], codes[dim])
                 for i, own in zip(at.tolist(), np.split(f, np.searchsorted(row, np.arange(1, len(at)))), strict=True):
-                    found[i] = own
+                    found[long[i]] = own
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "filters"])
 
-    capped = materialize(arrow_map(classes.select("node", "unit"), filters, "node long, filters array<long>"), "caps")
+    capped = materialize(arrow_map(classes.select("node", "unit", "size"), filters, "node long, filters array<long>"), "caps")
     part = lambda i: F.conv(F.hex(F.substring("lab", 1 + 4 * i, 4)), 16, 10).cast("long")
     of = classes.select(F.col("node").alias("n"), "dim", *[part(i).alias(f"lab{i}") for i in range(4)])
     cap = ["lab0", "lab1", "lab2", "lab3", "dim", "f"]
     caps = materialize(capped.join(of, F.col("node") == F.col("n")).select("node", "lab0", "lab1", "lab2", "lab3", "dim", F.explode("filters").alias("f")), "members")
     shared = materialize(caps.groupBy(*cap).agg(F.count("*").alias("m")).where("m > 1"), "shared")
     met = materialize(caps.join(shared, cap), "met")
-    full = met.join(classes.select("node", "c", "unit").join(capped, "node"), "node")
+    # a vector's filters that others are in too; those of one label that two vectors share are all among them
+    lists = met.groupBy("node").agg(F.array_sort(F.collect_list("f")).alias("filters"))
+    full = met.join(classes.select("node", "c", "unit").join(lists, "node"), "node")
     dealt = block_pairs(full, F.ceil(F.col("m") / F.lit(BLOCK)), F.col("node"), inner=True)
 
     def compare(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
@@ -287,14 +382,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id
             i, j = i[ok], j[ok]
             at = np.flatnonzero(dims == dim)
             x, place = matrix([data[k] for k in at]), np.cumsum(dims == dim) - 1
-            step = max(1, (4 << 20) // dim)
-            near = np.concatenate([np.einsum("ij,ij->i", x[place[i[k : k + step]]], x[place[j[k : k + step]]]) >= threshold for k in range(0, len(i), step)] or [np.empty(0, bool)])
+            near = judged(x, x, place[i], place[j], threshold)
             i, j = i[near], j[near]
             count(i, j)
             root = np.minimum(root, least_of_part(len(node), i, j))
         for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             x, rows_of = matrix(data[s : s + m]), slice(s, s + m)
-            linked = x @ x.T >= threshold
+            linked = at_least(x, x, threshold)
             np.fill_diagonal(linked, False)
             if across[s]:
                 linked &= own[rows_of, None] != own[None, rows_of]
@@ -314,6 +408,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, key: str = "vec_id
 
     keys = [*cap, "__i", "__j"]
     found = materialize(per_stretch(dealt.select(*keys, "__own", "node", "c", "unit", "filters"), keys, compare, "a long, links long, b long", ["node"]), "found")
+    labelled = classes.withColumns({f"lab{i}": part(i) for i in range(4)})
+    found = found.unionByName(materialize(short_links(labelled, short, cap[:4], threshold), "short"))
     n_links = found.groupBy("a").agg(F.sum("links").alias("links"))
     named = components(found.select("a", "b")).withColumnRenamed("node", "k")
     known = classes.select("node", "class", "first", "c").join(n_links, F.col("node") == F.col("a"), "left").join(named, F.col("node") == F.col("k"), "left")

@@ -463,7 +463,7 @@ def test_few_meet_by_chance_with_or_without_a_common_mean(spark, shift):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(axis=0)
     r, size = embed_dedup.residual(x, mean)
-    code = embed_dedup.plan_code(2048, 64, round(min(0.93, float(np.sqrt(max(0.25, 1 - 0.14 / np.quantile(size, 0.01) ** 2)))), 3))
+    code = embed_dedup.plan_code(2048, 64, round(min(0.93, float(max(0.5, 1 - 0.07 / np.quantile(size, 0.01) ** 2))), 3))
     _, f = embed_dedup.decode(r, code)
     times = np.unique(f, return_counts=True)[1]
     assert (times * (times - 1) / 2).sum() < 0.1 * 2000 * 1999 / 2
@@ -472,6 +472,54 @@ def test_few_meet_by_chance_with_or_without_a_common_mean(spark, shift):
     assert {r.vec_id: r.n_links for r in embed_dedup.near_vectors(df).collect()} == dict(enumerate(want.tolist()))
 
 
+@pytest.mark.parametrize("common", [0.8, 0.9, 0.95])
+def test_concentrated_vectors_lose_no_link(spark, common):
+    """Three dimensions, vectors of a common cosine, a tenth of them with a planted partner at 0.935. One label holds most
+    rows; copies count. Links and components equal brute force."""
+    rows, want = [], {}
+    for d, dim in enumerate((64, 256, 768)):
+        rng = np.random.default_rng([d, int(common * 100)])
+        free = rng.standard_normal((500, dim))
+        free[:, 0] = 0
+        x = np.sqrt(1 - common) * free / np.linalg.norm(free, axis=1, keepdims=True)
+        x[:, 0] = np.sqrt(common)
+        turn = rng.standard_normal((50, dim))
+        turn -= (turn * x[:50]).sum(axis=1, keepdims=True) * x[:50]
+        y = 0.935 * x[:50] + np.sqrt(1 - 0.935**2) * turn / np.linalg.norm(turn, axis=1, keepdims=True)
+        x = np.concatenate([x, y, x[:3]])
+        label = np.where(np.arange(len(x)) % 7 == 6, 1, 0)
+        x[-3:], label[-3:] = x[:3], label[:3]
+        x = np.array([embed_dedup.usable(v.tolist()) for v in x])
+        linked = (x @ x.T >= 0.93) & (label[:, None] == label)
+        np.fill_diagonal(linked, False)
+        part = embed_dedup.least_of_part(len(x), *np.nonzero(linked))
+        base = d * 10_000
+        rows += [(base + i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))]
+        want |= {base + i: (int(n), base + int(p)) for i, (n, p) in enumerate(zip(linked.sum(axis=1), part))}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(df).collect()}
+    ends = sum(n for n, _ in want.values())
+    assert sum(got[i][0] for i in got) >= 0.99 * ends and all(got[i][0] <= want[i][0] for i in want)
+    if common > 0.86:  # all are short: nothing is left to chance
+        assert got == want
+
+
+def test_short_vectors_in_several_blocks(spark, monkeypatch):
+    """Concentrated vectors and some scattered ones in one label, cut into blocks of 32: no link is lost or counted twice."""
+    monkeypatch.setattr(embed_dedup, "BLOCK_VECTORS", 32)
+    monkeypatch.setattr(embed_dedup, "STRIP", 8)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 16))
+    x[:280] = 0.2 * x[:280] + 4 * np.eye(16)[0]
+    x = np.array([embed_dedup.usable(v.tolist()) for v in x])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    part = embed_dedup.least_of_part(len(x), *np.nonzero(linked))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(df).collect()}
+    assert got == {i: (int(n), int(p)) for i, (n, p) in enumerate(zip(linked.sum(axis=1), part))}
+
+
 # ---- pipeline and SQL
 
 
