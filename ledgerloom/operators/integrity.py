@@ -1,5 +1,6 @@
-"""What is missing or inconsistent. No window runs over all blocks: windows stay inside buckets of block numbers, and
-only one row per bucket meets in one task."""
+"""What is missing or inconsistent. Block numbers are held as bitmaps, one row for each bucket of numbers: a task sends one
+row per bucket and not one per number, bitmaps of several tables or batches merge by OR, and only one row per bucket meets
+in one task."""
 
 from __future__ import annotations
 
@@ -11,32 +12,71 @@ from pyspark.sql import functions as F
 
 from ledgerloom.schema import BLOCK_COLUMN
 
-#: Block numbers in a bucket.
-BUCKET = 1_000_000
+#: Block numbers in a bucket, a power of two; a bitmap holds 32,768 bits.
+BUCKET = 32_768
+#: The bits of each hexadecimal digit.
+NIBBLES = {f"{i:X}": f"{i:04b}" for i in range(16)}
+
+
+def block_bitmaps(nums: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, bucket, bits): which numbers of the bucket are there, the lowest in the highest bit of the first byte. Numbers
+    are those of the column outside `by`, integers of any sign; nulls are left out, repeated ones count once. Block numbers
+    are dense: scattered ones cost a bitmap of 4 kB for each bucket that they touch."""
+    num = F.col(next(c for c in nums.columns if c not in by)).cast("long")
+    place = F.pmod(num, F.lit(BUCKET))
+    bit = place - place % 8 + 7 - place % 8
+    n = nums.where(num.isNotNull()).select(*by, F.shiftright(num, BUCKET.bit_length() - 1).alias("bucket"), bit.alias("bit"))
+    return n.groupBy(*by, "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def merge_bitmaps(parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Bitmaps of several tables, partitions or batches as one: (*by, bucket, bits)."""
+    return parts.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def bit_text(bits: Column) -> Column:
+    """The bitmap as 0s and 1s, lowest number first. Digits become letters first, so that no 0 or 1 is replaced twice."""
+    letters = "abcdefghijklmnop"
+    text = F.translate(F.hex(bits), "".join(NIBBLES), letters)
+    for letter, four in zip(letters, NIBBLES.values(), strict=True):
+        text = F.replace(text, F.lit(letter), F.lit(four))
+    return F.substring(text, 1, BUCKET)
+
+
+def bucket_ends(maps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, bucket, text, lo, hi, before): least and greatest number of each bucket, the text of the bits between them,
+    and the greatest number of the bucket before (null for the first)."""
+    t = maps.withColumn("text", bit_text(F.col("bits"))).select(*by, "bucket", "text", (F.col("bucket") * BUCKET).alias("base"))
+    lo = F.col("base") + F.instr("text", "1") - 1
+    hi = F.col("base") + F.length("text") - F.instr(F.reverse("text"), "1")
+    ends = t.select(*by, "bucket", F.btrim("text", F.lit("0")).alias("text"), lo.alias("lo"), hi.alias("hi"))
+    before = ends.select(*by, "bucket", "lo", "hi").withColumn("before", F.lag("hi").over((Window.partitionBy(*by) if by else Window).orderBy("bucket")))
+    before = before.select(*[F.col(c).alias(f"e_{c}") for c in by], F.col("bucket").alias("e_bucket"), "before")
+    same = F.col("bucket") == F.col("e_bucket")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"e_{c}"))
+    return ends.join(before, same).select(*by, "bucket", "text", "lo", "hi", "before")
 
 
-def _bucket(num: Column) -> Column:
-    return F.floor(num / F.lit(BUCKET))
+def runs_within(ends: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, bucket, before, there, first, last): runs of numbers that are there or aren't, between the ends of a bucket."""
+    each = ends.select(*by, "bucket", "lo", "before", F.posexplode(F.split("text", "(?<=1)(?=0)|(?<=0)(?=1)")).alias("i", "run"))
+    end = F.col("lo") + F.sum(F.length("run")).over(Window.partitionBy(*by, "bucket").orderBy("i")) - 1
+    return each.withColumn("last", end).select(*by, "bucket", "before", F.col("run").startswith("1").alias("there"), (F.col("last") - F.length("run") + 1).alias("first"), "last")
 
 
-def with_previous(nums: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct num (for each value of the columns `by`) with prev, the next smaller one (null for the first)."""
-    num = next(c for c in nums.columns if c not in by)
-    n = nums.select(*by, F.col(num).alias("num")).where("num is not null").distinct().withColumn("b", _bucket(F.col("num")))
-    inside = n.withColumn("prev", F.lag("num").over(Window.partitionBy(*by, "b").orderBy("num")))
-    ends = n.groupBy(*by, "b").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))
-    ends = ends.withColumn("before", F.lag("hi").over((Window.partitionBy(*by) if by else Window).orderBy("b")))
-    ends = ends.select(*[F.col(c).alias(f"e_{c}") for c in by], F.col("b").alias("eb"), "lo", "before")
-    same = (F.col("b") == F.col("eb")) & (F.col("num") == F.col("lo"))
-    for c in by:
-        same &= F.col(c) == F.col(f"e_{c}")
-    return inside.join(ends, same, "left").select(*by, "num", F.coalesce("prev", "before").alias("prev"))
+def gaps_of(maps: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, gap_start, gap_end) between existing numbers, from bitmaps."""
+    ends = bucket_ends(maps, by)
+    across = ends.where("lo > before + 1").select(*by, (F.col("before") + 1).alias("gap_start"), (F.col("lo") - 1).alias("gap_end"))
+    inside = runs_within(ends.where(F.col("text").contains("0")), by).where("not there").select(*by, F.col("first").alias("gap_start"), F.col("last").alias("gap_end"))
+    return inside.unionByName(across)
 
 
 def detect_gaps(blocks: DataFrame, below: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(gap_start, gap_end) between existing blocks up to `below`, for each value of the columns `by`."""
     b = blocks.select(*by, "num") if below is None else blocks.select(*by, "num").where(F.col("num") <= below)
-    return with_previous(b, by).where("num > prev + 1").select(*by, (F.col("prev") + 1).alias("gap_start"), (F.col("num") - 1).alias("gap_end"))
+    return gaps_of(block_bitmaps(b, by), by)
 
 
 def detect_all_gaps(blocks: DataFrame, tip: int) -> DataFrame:
@@ -48,7 +88,7 @@ def detect_all_gaps(blocks: DataFrame, tip: int) -> DataFrame:
 
 def has_gaps(blocks: DataFrame, lo: int, hi: int) -> DataFrame:
     """One row: whether some number from lo to hi has no block; false if hi < lo."""
-    n = blocks.where(F.col("num").between(lo, hi)).agg(F.count_distinct("num").alias("n"))
+    n = block_bitmaps(blocks.select("num").where(F.col("num").between(lo, hi))).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
     return n.select((F.lit(hi >= lo) & (F.col("n") != hi - lo + 1)).alias("has_gaps"))
 
 
@@ -63,13 +103,17 @@ def group_ranges(nums: DataFrame, max_size: int = 10) -> DataFrame:
     A run's start carries over from bucket to bucket by one running maximum over the bucket rows: the latest start in
     a bucket, or, if a bucket goes on from the one before without a break, that one's.
     """
-    p = with_previous(nums).withColumns({"b": _bucket(F.col("num")), "new": F.col("prev").isNull() | (F.col("num") != F.col("prev") + 1)})
-    p = p.withColumn("own", F.max(F.when(F.col("new"), F.col("num"))).over(Window.partitionBy("b").orderBy("num")))
-    last = p.groupBy("b").agg(F.max("own").alias("last"))
-    carried = last.withColumn("carry", F.max("last").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("b").alias("cb"), "carry")
-    runs = p.join(carried, F.col("b") == F.col("cb"), "left").withColumn("start", F.coalesce("own", "carry"))
-    chunk = F.floor((F.col("num") - F.col("start")) / F.lit(max_size))
-    return runs.groupBy("start", chunk.alias("chunk")).agg(F.min("num").alias("range_start"), F.max("num").alias("range_end")).select("range_start", "range_end")
+    runs = runs_within(bucket_ends(block_bitmaps(nums))).where("there")
+    goes_on = F.col("before").isNotNull() & (F.col("first") == F.col("before") + 1)
+    runs = runs.withColumn("own", F.when(~goes_on, F.col("first")))
+    last = runs.groupBy("bucket").agg(F.max("own").alias("last_own"))
+    carried = last.select(F.col("bucket").alias("cb"), F.max("last_own").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    runs = runs.join(carried, F.col("bucket") == F.col("cb")).withColumn("start", F.coalesce("own", "carry"))
+    chunk = lambda c: F.floor((F.col(c) - F.col("start")) / F.lit(max_size)).cast("long")
+    cut = runs.withColumn("chunk", F.explode(F.sequence(chunk("first"), chunk("last"))))
+    low = F.col("start") + F.col("chunk") * max_size
+    ends = cut.groupBy("start", "chunk").agg(F.min(F.greatest("first", low)).alias("range_start"), F.max(F.least(F.col("last"), low + max_size - 1)).alias("range_end"))
+    return ends.select("range_start", "range_end")
 
 
 def plan_batches(gaps: DataFrame, size: int) -> DataFrame:

@@ -33,6 +33,31 @@ def test_gaps_and_ranges_across_buckets(spark, monkeypatch):
     assert {tuple(r) for r in integrity.group_ranges(nums(spark, have)).collect()} == want
 
 
+def test_bitmaps_of_parts_merge_and_shuffle_a_row_per_bucket(spark):
+    rng = random.Random(7)
+    have = sorted({*rng.sample(range(-70_000, 140_000), 50_000), *range(150_000, 300_000), 32_767, 32_768, 10**12})
+    df = nums(spark, [*have, *have[:100], None]).repartition(3)
+    odd = F.col("num") % 2 != 0
+    parts = integrity.block_bitmaps(df.where(odd)).unionByName(integrity.block_bitmaps(df.where(~odd)))
+    whole = integrity.merge_bitmaps(parts)
+    want = {(a + 1, b - 1) for a, b in zip(have, have[1:]) if b > a + 1}
+    assert {tuple(r) for r in integrity.gaps_of(whole).collect()} == want
+    assert {tuple(r) for r in integrity.detect_gaps(df).collect()} == want
+    ranges = {tuple(r) for r in integrity.group_ranges(df, 1000).collect()}
+    assert sum(b - a + 1 for a, b in ranges) == len(have) and max(b - a for a, b in ranges) == 999
+    assert {a for a, _ in ranges} >= {b + 1 for _, b in want} and {b for _, b in ranges} >= {a - 1 for a, _ in want}
+    assert whole.agg(F.sum(F.bitmap_count("bits"))).first()[0] == len(have)
+    # the only exchange below the first aggregate is of its partials
+    plan = integrity.block_bitmaps(df.select("num"))._jdf.queryExecution().sparkPlan().toString()
+    assert "partial_bitmap_construct_agg" in plan and "distinct" not in plan
+
+
+def test_bitmaps_by_a_column_with_nulls(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 4), (None, 2), (None, 4), (None, 70_000), ("b", None)], "c string, num long")
+    got = {tuple(r) for r in integrity.detect_gaps(df, by=("c",)).collect()}
+    assert got == {("a", 2, 3), (None, 3, 3), (None, 5, 69_999)}
+
+
 @pytest.mark.parametrize(("lo", "hi", "want"), [(1, 3, False), (1, 4, True), (5, 4, False), (3, 9, True)])
 def test_has_gaps(spark, lo, hi, want):
     assert integrity.has_gaps(nums(spark, [1, 2, 3]), lo, hi).first()[0] is want
