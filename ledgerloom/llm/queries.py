@@ -101,6 +101,8 @@ WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 def _secrets_sql() -> str:
     """Positions from the lengths of matches and of the pieces between them, as in the operator."""
+    kinds = "regexp_replace(regexp_replace(regexp_replace(y, '[a-z]+', 'a', 'g'), '[A-Z]+', 'A', 'g'), '[0-9]+', '0', 'g')"
+    like = f"len(y) >= {secret_scan.PIECE} AND len(regexp_replace({kinds}, '[Aa]+', 'a', 'g')) - 1 >= {secret_scan.CHANGES} AND (len(replace({kinds}, 'Aa', 'a')) - 1) * {secret_scan.EVERY} >= len(y)"
 
     def found(pattern: str, group: int, kind: int) -> str:
         quoted = pattern.replace("'", "''")
@@ -113,7 +115,7 @@ def _secrets_sql() -> str:
     return f"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
              base AS (SELECT * FROM ({found(secret_scan.ASSIGN, 2, 0)}) WHERE len(v) >= 6 UNION ALL {found(secret_scan.ACCESS, 0, 1)} UNION ALL {found(secret_scan.HEX, 0, 2)}),
-             cand AS (SELECT * FROM ({found(secret_scan.TOKEN, 0, 3)}) WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')),
+             cand AS (SELECT * FROM ({found(secret_scan.TOKEN, 0, 3)}) WHERE len(list_filter(string_split_regex(v, '[/_+-]'), lambda y: {like})) > 0),
              every AS (SELECT * FROM base UNION ALL SELECT * FROM cand),
              live AS (SELECT v FROM every GROUP BY v HAVING count(DISTINCT owner) <= 1 AND count(DISTINCT doc_id) <= 20),
              own AS (SELECT c.* FROM cand c JOIN live USING (v) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),

@@ -16,8 +16,11 @@ from ledgerloom.llm.common import materialize, numbered
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Candidates of the method beyond these: long runs of key material that hold letters and digits.
+#: Candidates of the method beyond these: long runs of key material of which some piece looks drawn at random.
 TOKEN = r"[A-Za-z0-9+/_-]{16,}"
+#: A piece, what stands between separators, must have so many characters and changes between letters and digits, and a
+#: break of kind once in so many characters.
+PIECE, CHANGES, EVERY = 16, 3, 4
 #: The same runs, but none is tried from inside a run, which would take the square of a word's length.
 HEX_RUN, TOKEN_RUN = r"(?<![0-9a-f])[0-9a-f]{24,}+", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
 KINDS = ("assign", "access", "hex", "owned")
@@ -54,14 +57,29 @@ def find_matches(docs: DataFrame, key: str, owner: str, text: str, carry: list[s
     )
 
 
+def key_like(value: Column) -> Column:
+    """Whether some piece of a token between `/`, `_`, `+` and `-` looks drawn at random: long, with several changes between
+    letters and digits, and breaks of kind that are close together: between letters and digits, and from small letters to
+    capitals. Words, slugs, dated paths, file names, UUIDs and names in camel case have fewer. Expressions squeeze runs of
+    one kind into one character, so that kinds are counted as lengths."""
+
+    def like(p: Column) -> Column:
+        kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
+        changes = F.length(F.regexp_replace(kinds, "[Aa]+", "a")) - 1
+        breaks = F.length(F.replace(kinds, F.lit("Aa"), F.lit("a"))) - 1
+        return (F.length(p) >= PIECE) & (changes >= CHANGES) & (breaks * EVERY >= F.length(p))
+
+    return F.exists(F.split(value, "[/_+-]"), like)
+
+
 def place(scanned: DataFrame) -> DataFrame:
     """One row per span: __row, __repo, __owner, h (hash of the value), x (struct<s, k, e, v>). A span's place is the
-    running sum of the lengths before it; too short assignments and tokens without a letter or digit go after that."""
+    running sum of the lengths before it; too short assignments and tokens that don't look like keys go after that."""
     each = scanned.where(F.size("__found") > 0).select("__row", "__repo", "__owner", F.posexplode("__found").alias("i", "m")).select("__row", "__repo", "__owner", "i", "m.*")
     end = F.sum(F.col("g") + F.col("n")).over(Window.partitionBy("__row", "k").orderBy("i")).cast("int")
     each = each.withColumn("e", end)
     short = (F.col("k") == 0) & (F.length("v") < 6)
-    plain = (F.col("k") == 3) & ~(F.col("v").rlike("[0-9]") & F.col("v").rlike("[A-Za-z]"))
+    plain = (F.col("k") == 3) & ~key_like(F.col("v"))
     x = F.struct((F.col("e") - F.col("n")).alias("s"), "k", "e", "v")
     return each.where(~short & ~plain).select("__row", "__repo", "__owner", F.xxhash64("v").alias("h"), x.alias("x"))
 

@@ -71,6 +71,13 @@ def with_record_types(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     return typed.select("page_id", "url", "html", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
 
 
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and folder of a path as Spark takes it: `s3a` and `s3n` are names of Hadoop's for `s3`, and a local path
+    may stand without a scheme."""
+    scheme, mark, rest = path.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else path)
+
+
 def write_archive(pages: DataFrame, path: str, **columns) -> DataFrame:
     """Writes a record per row of pages under `path` (a folder that all executors reach) and returns the index, which
     is stored there as well, under `index`.
@@ -89,7 +96,7 @@ def write_archive(pages: DataFrame, path: str, **columns) -> DataFrame:
             rows = []
             for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
-                    store, folder = fs.FileSystem.from_uri(path)
+                    store, folder = store_of(path)
                     store.create_dir(folder, recursive=True)
                     name = f"part-{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(f"{folder}/{name}", compression=None)
@@ -130,7 +137,7 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
     dealt = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN).alias("stretch")).repartition(partitions(index.sparkSession), "file", "stretch").sortWithinPartitions("file", "offset").select("file", "offset", "length")
 
     def run(batches):
-        store, folder = fs.FileSystem.from_uri(path)
+        store, folder = store_of(path)
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
         def number(text: str | None) -> int | None:

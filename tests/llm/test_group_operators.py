@@ -422,6 +422,18 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert embed_dedup.near_vectors(df.limit(0)).collect() == []
 
 
+def test_archive_folders_by_the_schemes_that_spark_takes(tmp_path):
+    from ledgerloom.llm import warc
+
+    for uri in ("s3a://bucket/a/b", "s3n://bucket/a/b", "s3://bucket/a/b"):
+        try:
+            store, folder = warc.store_of(uri + "?region=us-east-1")
+        except (NotImplementedError, ImportError):
+            pytest.skip("this pyarrow has no S3")
+        assert (store.type_name, folder) == ("s3", "bucket/a/b")
+    assert warc.store_of(f"file://{tmp_path}")[1] == warc.store_of(str(tmp_path))[1] == str(tmp_path)
+
+
 def shared_filters(x, y, code):
     found = []
     for v in (x, y):
