@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import RollingHash, WordIds, arrow_map, materialize, mix64, numbered, texts_of
 from ledgerloom.llm.components import components
-from ledgerloom.llm.grouping import SMALL, block_pairs, least_of_part, link_batch, pairs_within, per_stretch, starts_of
+from ledgerloom.llm.grouping import SMALL, least_of_part, link_batch, pairs_within, per_stretch, starts_of
 
 KEY = b"near"
 WIDTH = 5
@@ -147,30 +147,111 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
     return arrow_map(narrow, run, "doc_id long, n long, digest binary, regs binary")
 
 
+def compare_all(t: pa.Table, starts: np.ndarray, least: float) -> pa.RecordBatch:
+    """Links that connect, within each group of (.., node, n, regs), all rows whose sketches allow a link."""
+    node, n, regs = registers_of(t)
+    sizes = np.diff(starts, append=len(node))
+    small = sizes <= SMALL
+    x, y = pairs_within(starts[small], sizes[small])
+    ok = may_link(n[x], regs[x], n[y], regs[y], least)
+    root = least_of_part(len(node), x[ok], y[ok])
+    for s, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+        for member, first in stars(np.arange(s, s + m), lambda k, others: may_link(np.full(len(others), n[k]), regs[k], n[others], regs[others], least)):
+            root[member] = first
+    at = np.flatnonzero(root != np.arange(len(node)))
+    return link_batch(node[at], node[root[at]])
+
+
+def compare_apart(t: pa.Table, starts: np.ndarray, least: float) -> pa.RecordBatch:
+    """Links between different clusters of each group of (.., node, cluster, n, regs)."""
+    (node, n, regs), cluster = registers_of(t), t.column("cluster").to_numpy()
+    found = [(node[s + x], node[s + y]) for s, e in zip(starts.tolist(), np.append(starts[1:], len(node)).tolist(), strict=True)
+             for x, y in between_clusters(cluster[s:e], lambda k, s=s, e=e: may_link(np.full(e - s, n[s + k]), regs[s + k], n[s:e], regs[s:e], least))]
+    return link_batch(*np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def registers_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return t.column("node").to_numpy(), t.column("n").to_numpy(), np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+
+
+def between_clusters(cluster: np.ndarray, test) -> Iterator[tuple[int, int]]:
+    """Pairs of rows that connect the clusters as test(row), a mask of all rows, does; one for each cluster that a row meets.
+    Rows of the cluster with most rows are met by others, but not tested."""
+    part = cluster.copy()
+    names, counts = np.unique(part, return_counts=True)
+    for x in np.flatnonzero(part != names[counts.argmax()]).tolist():
+        hit = np.flatnonzero(test(x) & (part != part[x]))
+        for y in hit[np.unique(part[hit], return_index=True)[1]].tolist():
+            yield x, y
+            part[part == part[y]] = part[x]
+
+
+def cells_of_rest(named: DataFrame, block: int) -> DataFrame:
+    """named (group, node, cluster) as (group, __i, __j, of, cluster), the pairs of blocks in which a row meets others, such
+    that every two rows of one group and different clusters meet. The rows outside a group's largest cluster meet one
+    another and those of the largest; the largest isn't compared with itself, and a group that is one cluster is left out."""
+    sizes = named.groupBy("group", "cluster").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("group").agg(F.max_by("cluster", F.struct("m", "cluster")).alias("top"), F.max("m").alias("inside"), F.sum("m").alias("every")).where("every > inside")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    open_groups = materialize(largest.withColumn("outside", F.col("every") - F.col("inside")).select(F.col("group").alias("g"), "top", blocks("inside").alias("ins"), blocks("outside").alias("outs")), "open")
+    rows = named.join(open_groups, F.col("group") == F.col("g"))
+    # blocks of the largest cluster are numbered from 0, the others after them
+    inside, ident = F.col("cluster") == F.col("top"), F.xxhash64("node")
+    own = F.when(inside, F.pmod(ident, "ins")).otherwise(F.col("ins") + F.pmod(ident, "outs")).cast("int")
+    others = F.sequence(F.col("ins"), F.col("ins") + F.col("outs") - 1)
+    rows = rows.withColumns({"__own": own, "__other": F.explode(F.when(inside, others).otherwise(F.sequence(F.lit(0), F.col("ins") + F.col("outs") - 1)))})
+    return materialize(rows.select("group", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), F.col("node").alias("of"), "cluster"), "cells")
+
+
+def blocks_of_band(met: DataFrame, sketches: DataFrame, least: float, salt: int = 0) -> DataFrame:
+    """Links (a, b) that connect what may link among the rows of met (band, node, c of its value) that share a value, for
+    values of up to BAND_BLOCK rows; those of others are dealt into blocks by the hash of value, row and `salt`, and rows of
+    different blocks don't meet."""
+    block = F.pmod(F.xxhash64("band", "node", F.lit(salt)), F.ceil(F.col("c") / F.lit(BAND_BLOCK))).cast("int")
+    dealt = met.withColumn("block", block).join(sketches, "node").select("band", "block", "node", "n", "regs")
+    return per_stretch(dealt, ["band", "block"], functools.partial(compare_all, least=least), "a long, b long", ["node"])
+
+
+def across_blocks(large: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that connect what may link among the rows of large (band, node, c) that share a value, where values have
+    more than BAND_BLOCK rows.
+
+    Each block is connected within itself first. Then one row of each component that has come about stands for it; these
+    are dealt into blocks anew, as long as a round leaves at most half of them. At last the rows outside a value's largest
+    component meet all of other components. So a value that m near copies share costs some m rows, and not m for each of its
+    blocks; only rows that stay apart are sent to all blocks."""
+    links, before, met, salt = None, None, large, 0
+    while True:
+        found = materialize(blocks_of_band(met, sketches, least, salt), "links")
+        links = found if links is None else links.unionByName(found)
+        known = components(links).withColumnsRenamed({"node": "__n", "component": "__c"})
+        named = large.join(known, F.col("node") == F.col("__n"), "left").select(F.col("band").alias("group"), "node", F.coalesce("__c", "node").alias("cluster"))
+        named = materialize(named, "named")
+        heads = named.groupBy("group", "cluster").agg(F.min("node").alias("node")).select(F.col("group").alias("band"), "node")
+        several = heads.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+        met = materialize(heads.join(several, "band").select("band", "node", "c"), "heads")
+        left, salt = met.count(), salt + 1
+        if left == 0:
+            return links
+        if before is not None and 2 * left > before:
+            break
+        before = left
+    cells = cells_of_rest(named, BAND_BLOCK)
+    full = cells.join(sketches, F.col("of") == F.col("node")).select("group", "__i", "__j", "node", "cluster", "n", "regs")
+    return links.unionByName(per_stretch(full, ["group", "__i", "__j"], functools.partial(compare_apart, least=least), "a long, b long", ["node"]))
+
+
 def propose(classes: DataFrame, least: float) -> DataFrame:
-    """Links (a, b), a > b, that connect all classes whose sketches allow a link and which share a band value."""
+    """Links (a, b) that connect all classes whose sketches allow a link and which share a band value."""
     i = F.sequence(F.lit(0), F.lit(BANDS - 1))
     bands = classes.select("node", F.explode(F.transform(i, lambda k: F.xxhash64(k, F.substring("regs", k * ROWS + 1, ROWS)))).alias("band"))
     shared = materialize(bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "bands")
-    met = materialize(bands.join(shared, "band"), "met")
-    full = met.join(classes.select("node", "n", "regs"), "node")
-    dealt = block_pairs(full, F.ceil(F.col("c") / F.lit(BAND_BLOCK)), F.col("node"), inner=False)
-
-    def compare(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-        node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
-        regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint8).reshape(len(node), -1)
-        sizes = np.diff(starts, append=len(node))
-        small = sizes <= SMALL
-        x, y = pairs_within(starts[small], sizes[small])
-        ok = may_link(n[x], regs[x], n[y], regs[y], least)
-        root = least_of_part(len(node), x[ok], y[ok])
-        for s, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
-            for member, first in stars(np.arange(s, s + m), lambda k, others: may_link(np.full(len(others), n[k]), regs[k], n[others], regs[others], least)):
-                root[member] = first
-        at = np.flatnonzero(root != np.arange(len(node)))
-        return link_batch(node[at], node[root[at]])
-
-    return per_stretch(dealt.select("band", "__i", "__j", "node", "n", "regs"), ["band", "__i", "__j"], compare, "a long, b long", ["node"])
+    met = materialize(bands.join(shared, "band").select("band", "node", "c"), "met")
+    sketches, large = classes.select("node", "n", "regs"), F.col("c") > BAND_BLOCK
+    links = blocks_of_band(met.where(~large), sketches, least)
+    if shared.where(large).isEmpty():
+        return links
+    return links.unionByName(across_blocks(met.where(large), sketches, least))
 
 
 class Sets:
@@ -246,42 +327,22 @@ def confirm(sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
 
 
 def search_rest(sets: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between confirmed clusters of one candidate part.
-
-    kept: (node, cluster). A part that is one cluster is done. Of others, the sets outside the largest cluster meet one
-    another and those of the largest, in pairs of blocks; the largest isn't compared with itself, and nothing within a
-    cluster is."""
-    named = sets.select("node", "component").join(kept.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("node", "component", F.coalesce("cluster", "node").alias("cluster"))
-    named = materialize(named, "clusters")
-    sizes = named.groupBy("component", "cluster").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("component").agg(F.max_by("cluster", F.struct("m", "cluster")).alias("top"), F.max("m").alias("inside"), F.sum("m").alias("every")).where("every > inside")
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(SET_BLOCK)).cast("int")
-    open_parts = materialize(largest.withColumn("outside", F.col("every") - F.col("inside")).select(F.col("component").alias("c"), "top", blocks("inside").alias("ins"), blocks("outside").alias("outs")), "open")
-    rows = named.join(open_parts, F.col("component") == F.col("c"))
-    # blocks of the largest cluster are numbered from 0, the others after them
-    inside, ident = F.col("cluster") == F.col("top"), F.xxhash64("node")
-    own = F.when(inside, F.pmod(ident, "ins")).otherwise(F.col("ins") + F.pmod(ident, "outs")).cast("int")
-    others = F.sequence(F.col("ins"), F.col("ins") + F.col("outs") - 1)
-    rows = rows.withColumns({"__own": own, "__other": F.explode(F.when(inside, others).otherwise(F.sequence(F.lit(0), F.col("ins") + F.col("outs") - 1)))})
-    rows = rows.select("component", F.least("__own", "__other").alias("__i"), F.greatest("__own", "__other").alias("__j"), F.col("node").alias("of"), "cluster")
-    full = materialize(rows, "cells").join(sets.select("node", "shingles"), F.col("of") == F.col("node")).select("component", "__i", "__j", "node", "cluster", "shingles")
+    """Links (a, b) between confirmed clusters of one candidate part, by cells_of_rest: a part that is one cluster is done,
+    and nothing within a cluster is compared.
+
+    kept: (node, cluster)."""
+    named = sets.select("node", "component").join(kept.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(F.col("component").alias("group"), "node", F.coalesce("cluster", "node").alias("cluster"))
+    cells = cells_of_rest(materialize(named, "clusters"), SET_BLOCK)
+    full = cells.join(sets.select("node", "shingles"), F.col("of") == F.col("node")).select("group", "__i", "__j", "node", "cluster", "shingles")
 
     def compare(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         t, starts = distinct_nodes(t, 3)
-        node, cluster, a, b = t.column("node").to_numpy(), t.column("cluster").to_numpy(), [], []
+        node, cluster = t.column("node").to_numpy(), t.column("cluster").to_numpy()
         ends = dict(zip(starts.tolist(), np.append(starts[1:], len(node)).tolist(), strict=True))
-        for s, exact in groups_of_sets(t, starts, percent):
-            part = cluster[s : ends[s]].copy()
-            names, counts = np.unique(part, return_counts=True)
-            for x in np.flatnonzero(part != names[counts.argmax()]).tolist():
-                hit = np.flatnonzero(exact.test(x) & (part != part[x]))
-                for y in hit[np.unique(part[hit], return_index=True)[1]].tolist():  # one link to each cluster that it meets
-                    a.append(node[s + x])
-                    b.append(node[s + y])
-                    part[part == part[y]] = part[x]
-        return link_batch(np.array(a, np.int64), np.array(b, np.int64))
+        found = [(node[s + x], node[s + y]) for s, exact in groups_of_sets(t, starts, percent) for x, y in between_clusters(cluster[s : ends[s]], exact.test)]
+        return link_batch(*np.array(found, np.int64).reshape(-1, 2).T)
 
-    return per_stretch(full, ["component", "__i", "__j"], compare, "a long, b long", ["node"])
+    return per_stretch(full, ["group", "__i", "__j"], compare, "a long, b long", ["node"])
 
 
 def verify(docs: DataFrame, classes: DataFrame, proposed: DataFrame, percent: int, key: str, text: str) -> DataFrame:

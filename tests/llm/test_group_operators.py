@@ -348,6 +348,40 @@ def test_a_large_loose_group_equals_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == {i: root.get(i, i) for i in range(150)}
 
 
+@pytest.mark.parametrize("apart", [0, 40])
+def test_a_band_value_of_many_rows(spark, apart, monkeypatch):
+    """A page with a counter, 1,500 times: each row of a band value is sent about once, and what shares a value is connected
+    as by brute force, with `apart` rows that share it but link with few."""
+    monkeypatch.setattr(near_dedup, "BAND_BLOCK", 64)
+    rng, sent = np.random.default_rng(apart), []
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    sketches = [near_dedup.sketch(np.append(base, rng.integers(0, 1 << 63, 1, np.uint64))) for _ in range(1500)]
+    sizes = [401] * 1500
+    for i in range(apart):  # two bands of the page's, the other registers their own
+        own = near_dedup.sketch(rng.integers(0, 1 << 63, 401, np.uint64))
+        own[: 2 * near_dedup.ROWS] = sketches[0][: 2 * near_dedup.ROWS]
+        sketches.append(own)
+        sizes.append(401 if i % 2 else 600)
+    n, regs = np.array(sizes), np.array(sketches)
+    links, rows = [], 0
+    for band in range(near_dedup.BANDS):
+        groups = {}
+        for i, r in enumerate(regs):
+            groups.setdefault(r[band * near_dedup.ROWS : (band + 1) * near_dedup.ROWS].tobytes(), []).append(i)
+        for g in map(np.array, groups.values()):
+            rows += len(g) if len(g) > 1 else 0
+            for k in range(len(g) - 1):
+                ok = near_dedup.may_link(np.full(len(g) - k - 1, n[g[k]]), regs[g[k]], n[g[k + 1 :]], regs[g[k + 1 :]], 0.8)
+                links += [(int(j), int(g[k])) for j in g[k + 1 :][ok]]
+    dealt = near_dedup.per_stretch
+    monkeypatch.setattr(near_dedup, "per_stretch", lambda df, *a: sent.append(df.count()) or dealt(df, *a))
+    classes = spark.createDataFrame([(i, int(k), r.tobytes()) for i, (k, r) in enumerate(zip(n, regs))], "node long, n long, regs binary")
+    got = {r.node: r.component for r in components(near_dedup.propose(classes, 0.8)).collect()}
+    assert got == union_find(links)
+    assert len(set(got.values())) + len(n) - len(got) >= apart / 2
+    assert sum(sent) < (1.2 if apart == 0 else 3.5) * rows
+
+
 def test_the_table_agrees_with_the_likelihood():
     rng = np.random.default_rng(3)
     for _ in range(200):
