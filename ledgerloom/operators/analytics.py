@@ -85,6 +85,24 @@ def daily_stats(logs: DataFrame) -> DataFrame:
     return d.join(v, F.col("day") == F.col("__day")).drop("__day")
 
 
+def daily_partials(logs: DataFrame) -> DataFrame:
+    """The state of daily_totals, which adds up: per (day, sent, who) the transfers that an address sent or received, and the
+    limb sums of what it sent. Each address is one row of a day and side however many batches and writers meet it, so distinct
+    counts stay exact without a dictionary of addresses, which only one writer at a time could extend."""
+    sides = F.array(F.struct(F.lit(True).alias("sent"), F.col("topic1").alias("who")), F.struct(F.lit(False).alias("sent"), F.col("topic2").alias("who")))
+    t = of_event(logs, TRANSFER).select(F.to_date("block_timestamp").alias("day"), "data", F.explode(sides).alias("m")).select("day", "data", "m.*")
+    value = words.sum_limbs(F.substring("data", 1, 32), F.when(F.col("sent"), 1).otherwise(0))
+    return t.groupBy("day", "sent", "who").agg(F.count("*").alias("transfers"), *value)
+
+
+def daily_totals(state: DataFrame) -> DataFrame:
+    """daily_stats from merged daily_partials. A missing topic is no sender or receiver, as in daily_stats."""
+    sent = F.col("sent")
+    counts = F.sum(F.when(sent, F.col("transfers")).otherwise(0)).alias("transfers"), F.count(F.when(sent, F.col("who"))).alias("senders"), F.count(F.when(~sent, F.col("who"))).alias("receivers")
+    days = state.groupBy("day").agg(*counts, *[F.sum(c).alias(c) for c in words.limb_columns()])
+    return days.select("day", "transfers", "senders", "receivers", words.limbs_to_text(words.summed()).alias("volume"))
+
+
 def whale_transfers(logs: DataFrame, threshold: int) -> DataFrame:
     """Transfers of at least the threshold, largest first: words compare as they are."""
     t = of_event(logs, TRANSFER).where(F.substring("data", 1, 32) >= F.lit(threshold.to_bytes(32, "big")))
