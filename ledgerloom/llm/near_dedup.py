@@ -148,7 +148,8 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def compare_all(t: pa.Table, starts: np.ndarray, least: float) -> pa.RecordBatch:
-    """Links that connect, within each group of (.., node, n, regs), all rows whose sketches allow a link."""
+    """(band, a, b): links that connect, within each group of (band, .., node, n, regs), all rows whose sketches allow a link. b
+    is the smallest row of its part, and no part has another such."""
     node, n, regs = registers_of(t)
     sizes = np.diff(starts, append=len(node))
     small = sizes <= SMALL
@@ -159,7 +160,7 @@ def compare_all(t: pa.Table, starts: np.ndarray, least: float) -> pa.RecordBatch
         for member, first in stars(np.arange(s, s + m), lambda k, others: may_link(np.full(len(others), n[k]), regs[k], n[others], regs[others], least)):
             root[member] = first
     at = np.flatnonzero(root != np.arange(len(node)))
-    return link_batch(node[at], node[root[at]])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (t.column("band").to_numpy()[at], node[at], node[root[at]])], names=["band", "a", "b"])
 
 
 def compare_apart(t: pa.Table, starts: np.ndarray, least: float) -> pa.RecordBatch:
@@ -204,41 +205,42 @@ def cells_of_rest(named: DataFrame, block: int) -> DataFrame:
 
 
 def blocks_of_band(met: DataFrame, sketches: DataFrame, least: float, salt: int = 0) -> DataFrame:
-    """Links (a, b) that connect what may link among the rows of met (band, node, c of its value) that share a value, for
-    values of up to BAND_BLOCK rows; those of others are dealt into blocks by the hash of value, row and `salt`, and rows of
+    """(band, a, b): links that connect what may link among the rows of met (band, node, c of its value) that share a value,
+    for values of up to BAND_BLOCK rows; those of others are dealt into blocks by the hash of row and `salt`, and rows of
     different blocks don't meet."""
-    block = F.pmod(F.xxhash64("band", "node", F.lit(salt)), F.ceil(F.col("c") / F.lit(BAND_BLOCK))).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("c") / F.lit(BAND_BLOCK))).cast("int")
     dealt = met.withColumn("block", block).join(sketches, "node").select("band", "block", "node", "n", "regs")
-    return per_stretch(dealt, ["band", "block"], functools.partial(compare_all, least=least), "a long, b long", ["node"])
+    return per_stretch(dealt, ["band", "block"], functools.partial(compare_all, least=least), "band long, a long, b long", ["node"])
 
 
 def across_blocks(large: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """Links (a, b) that connect what may link among the rows of large (band, node, c) that share a value, where values have
     more than BAND_BLOCK rows.
 
-    Each block is connected within itself first. Then one row of each component that has come about stands for it; these
-    are dealt into blocks anew, as long as a round leaves at most half of them. At last the rows outside a value's largest
-    component meet all of other components. So a value that m near copies share costs some m rows, and not m for each of its
-    blocks; only rows that stay apart are sent to all blocks."""
-    links, before, met, salt = None, None, large, 0
+    Each block is connected within itself first. Then the smallest row of each part of a value stands for it; these are dealt
+    into blocks anew until they have all met in one, or a round leaves more than half of them. At last the rows outside a
+    value's largest part meet all of other parts. So a value that m near copies share costs some m rows, and not m for each
+    of its blocks; only rows that stay apart are sent to all blocks."""
+    links, named, met, salt, before = None, large.select(F.col("band").alias("group"), "node", F.col("node").alias("cluster")), large, 0, None
     while True:
         found = materialize(blocks_of_band(met, sketches, least, salt), "links")
         links = found if links is None else links.unionByName(found)
-        known = components(links).withColumnsRenamed({"node": "__n", "component": "__c"})
-        named = large.join(known, F.col("node") == F.col("__n"), "left").select(F.col("band").alias("group"), "node", F.coalesce("__c", "node").alias("cluster"))
-        named = materialize(named, "named")
-        heads = named.groupBy("group", "cluster").agg(F.min("node").alias("node")).select(F.col("group").alias("band"), "node")
+        up = named.join(found, (F.col("group") == F.col("band")) & (F.col("cluster") == F.col("a")), "left")
+        named = materialize(up.select("group", "node", F.coalesce("b", "cluster").alias("cluster")), "named")
+        heads = named.where("node = cluster").select(F.col("group").alias("band"), "node")
         several = heads.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+        all_met = salt > 0 and met.where(F.col("c") > BAND_BLOCK).isEmpty()
         met = materialize(heads.join(several, "band").select("band", "node", "c"), "heads")
         left, salt = met.count(), salt + 1
         if left == 0:
-            return links
-        if before is not None and 2 * left > before:
+            return links.select("a", "b")
+        if all_met or (before is not None and 2 * left > before):
             break
         before = left
     cells = cells_of_rest(named, BAND_BLOCK)
     full = cells.join(sketches, F.col("of") == F.col("node")).select("group", "__i", "__j", "node", "cluster", "n", "regs")
-    return links.unionByName(per_stretch(full, ["group", "__i", "__j"], functools.partial(compare_apart, least=least), "a long, b long", ["node"]))
+    apart = per_stretch(full, ["group", "__i", "__j"], functools.partial(compare_apart, least=least), "a long, b long", ["node"])
+    return links.select("a", "b").unionByName(apart)
 
 
 def propose(classes: DataFrame, least: float) -> DataFrame:
@@ -248,7 +250,7 @@ def propose(classes: DataFrame, least: float) -> DataFrame:
     shared = materialize(bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "bands")
     met = materialize(bands.join(shared, "band").select("band", "node", "c"), "met")
     sketches, large = classes.select("node", "n", "regs"), F.col("c") > BAND_BLOCK
-    links = blocks_of_band(met.where(~large), sketches, least)
+    links = blocks_of_band(met.where(~large), sketches, least).select("a", "b")
     if shared.where(large).isEmpty():
         return links
     return links.unionByName(across_blocks(met.where(large), sketches, least))
