@@ -339,5 +339,17 @@ def test_the_cap_reads_its_source_once(spark, sf):
     assert plan.count("FileScan") == 1
 
 
+def test_a_large_cap_leaves_rows_dealt(spark, monkeypatch):
+    monkeypatch.setattr(export, "STRETCH", 64)
+    df = spark.range(0, 1000, 1, 3).select(F.col("id"), F.lit("x").alias("a.b"))
+    capped = export.row_cap(df, 1000)
+    assert "SinglePartition" not in capped._jdf.queryExecution().executedPlan().toString() and capped.columns == df.columns
+    assert sorted(r.id for r in capped.collect()) == list(range(1000)) and export.row_cap(spark.range(65), 65).count() == 65
+    for cap in (100, 334, 999):  # a task alone has more, or all of them together
+        with pytest.raises(Exception, match=f"more than {cap} rows"):
+            export.row_cap(df, cap).collect()
+    assert [r.id for r in export.row_cap(spark.range(60).orderBy(F.desc("id")), 64).collect()] == list(range(59, -1, -1))
+
+
 def test_hex_literal():
     assert tables.hex_lit("0x" + "ab" * 20)._jc.toString() != tables.hex_lit("0xab")._jc.toString()
