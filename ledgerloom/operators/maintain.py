@@ -6,8 +6,10 @@ the buckets it touches, computed from a copy, and leaves the others alone.
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -60,24 +62,50 @@ def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
         return spark.createDataFrame([], extended(schema, "bucket long"))
 
 
-def save_buckets(df: DataFrame, path: str, block: str, size: int | None = None) -> None:
-    """Overwrites the buckets that df has rows in, and no others."""
-    dealt = df.withColumn("bucket", bucket(block, size)).repartition("bucket", F.pmod(F.xxhash64(block), F.lit(8)))
+def by_files(df: DataFrame, files: int, column: str) -> DataFrame:
+    """Small rows that become a file for each value of the column, dealt so that no task is left to write all files."""
+    return df.repartition(max(1, min(files, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))), column)
+
+
+def save_buckets(df: DataFrame, path: str, block: str, size: int | None = None, small: int | None = None) -> None:
+    """Overwrites the buckets that df has rows in, and no others. Rows are dealt by bucket, so a small bucket is a file;
+    adaptive execution splits large ones, and where a session has none, a bucket is dealt to eight tasks. With `small`, the number of buckets,
+    rows are few, like aggregates, and tasks share the files evenly and not the bytes."""
+    placed = df.withColumn("bucket", bucket(block, size))
+    adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    if small is not None:
+        dealt = by_files(placed, small, "bucket")
+    else:
+        dealt = placed.hint("rebalance", F.col("bucket")) if adaptive else placed.repartition("bucket", F.pmod(F.xxhash64(block), F.lit(8)))
     dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def stored_buckets(spark: SparkSession, path: str) -> set[int]:
+    """The buckets of a stored table, by the names of its folders: no file is opened."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+    return {int(n.removeprefix("bucket=")) for n in names if re.fullmatch(r"bucket=-?\d+", n)}
+
+
 def drop_buckets(spark: SparkSession, path: str, buckets: list[int]) -> None:
     """Deletes the files of whole buckets, which an overwrite without rows would leave as they are."""
-    for b in buckets:
+
+    def drop(b: int) -> None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(drop, buckets))
+
 
-def rewrite(old: DataFrame, new: DataFrame, path: str, block: str, size: int | None, work: str) -> None:
-    """Puts `new` in place of `old`, the rows of some whole buckets of a stored table: first to a copy under `work`, from
-    there over the buckets; buckets that have no row any more go. Whoever runs it again gets the same table."""
+def rewrite(old: DataFrame, new: DataFrame, path: str, block: str, size: int | None, work: str, had: Iterable[int] | None = None) -> None:
+    """Puts `new` in place of `old`, the rows of some whole buckets of a stored table (`had`, if the caller knows them): first
+    to a copy under `work`, from there over the buckets; buckets that have no row any more go. Whoever runs it again gets the
+    same table."""
     spark, copy = old.sparkSession, f"{work}/{uuid.uuid4().hex}"
-    had = [r.bucket for r in old.select("bucket").distinct().collect()]  # one number for each bucket touched
+    if had is None:
+        had = [r.bucket for r in old.select("bucket").distinct().collect()]  # one number for each bucket touched
     new.write.parquet(copy)
     kept = spark.read.schema(new.schema).parquet(copy)
     left = {r.bucket for r in kept.select(bucket(block, size).alias("bucket")).distinct().collect()}
@@ -101,9 +129,10 @@ def store_rollback(spark: SparkSession, path: str, schema: StructType, block: st
     numbers were removed."""
     low = n // (size or BUCKET)
     above = stored(spark, path, schema).where(F.col("bucket") >= low)
-    removed = above.where(F.col(block) >= n).agg(F.count_distinct(block)).first()[0]
-    rewrite(above, above.where((F.col("bucket") == low) & (F.col(block) < n)).drop("bucket"), path, block, size, work)
-    return removed
+    taken = F.count_distinct(F.when(F.col(block) >= n, F.col(block)))
+    found = above.groupBy("bucket").agg(taken.alias("n")).collect()  # a row for each bucket touched
+    rewrite(above, above.where((F.col("bucket") == low) & (F.col(block) < n)).drop("bucket"), path, block, size, work, [r.bucket for r in found])
+    return sum(r.n for r in found)
 
 
 def store_repair(spark: SparkSession, path: str, receipts: DataFrame, lo: int, hi: int, work: str, size: int | None = None) -> None:

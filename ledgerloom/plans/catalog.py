@@ -214,14 +214,18 @@ def write_batch(spark, sf):
 
 @query(_marks_sql(f"{BLOCK} < 6") + f" UNION ALL SELECT 'removed', CAST(NULL AS BIGINT), count(DISTINCT {BLOCK}) FROM events WHERE {BLOCK} >= 6")
 def rollback_from(spark, sf):
-    """On disk: the bucket of block 6 is written again, later ones go."""
-    root, work, kept, removed = scratch_path(spark, "chain"), scratch_path(spark, "work"), {}, 0
-    for name, df in _four(spark, sf).items():
+    """On disk: the bucket of block 6 is written again, later ones go; all four tables at once."""
+    root, work = scratch_path(spark, "chain"), scratch_path(spark, "work")
+
+    def take_back(name: str, df: DataFrame) -> int:
         path, block = f"{root}/{name}", maintain.BLOCK_COLUMN[name]
         maintain.save_buckets(df, path, block, 100)
-        gone = maintain.store_rollback(spark, path, TABLES[name], block, 6, work, 100)
-        removed = gone if name == "blocks" else removed
-        kept[name] = maintain.stored(spark, path, TABLES[name]).drop("bucket")
+        return maintain.store_rollback(spark, path, TABLES[name], block, 6, work, 100)
+
+    found = _four(spark, sf)
+    with ThreadPoolExecutor(4) as pool:
+        removed = dict(zip(found, pool.map(take_back, found, found.values()), strict=True))["blocks"]
+    kept = {name: maintain.stored(spark, f"{root}/{name}", TABLES[name]).drop("bucket") for name in found}
     return _marks(kept).unionByName(spark.createDataFrame([("removed", None, removed)], "table_name string, max_block long, n_rows long"))
 
 

@@ -351,5 +351,23 @@ def test_a_large_cap_leaves_rows_dealt(spark, monkeypatch):
     assert [r.id for r in export.row_cap(spark.range(60).orderBy(F.desc("id")), 64).collect()] == list(range(59, -1, -1))
 
 
+def test_a_small_bucket_is_one_file(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 4).select(F.col("id").alias("n"))
+    for name, small in (("t", None), ("s", 40)):
+        path = str(tmp_path / name)
+        maintain.save_buckets(rows, path, "n", 100, small)
+        assert sorted(len(list(b.glob("*.parquet"))) for b in (tmp_path / name).glob("bucket=*")) == [1] * 40
+        assert maintain.stored_buckets(spark, path) == set(range(40)) and spark.read.parquet(path).count() == 4000
+    assert len({f.name for f in (tmp_path / "s").glob("*/*.parquet")}) > 1  # tasks share the files
+    maintain.drop_buckets(spark, path, list(range(39)))
+    assert maintain.stored_buckets(spark, path) == {39} and maintain.stored_buckets(spark, str(tmp_path / "none")) == set()
+
+
+def test_limbs_are_made_once_a_transfer(spark, sf):
+    for partials in (analytics.balances, analytics.daily_partials):
+        plan = partials(fixtures.transfers(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+        assert "conv(" not in plan[: plan.index("Generate")] and plan.count("conv(") > 0
+
+
 def test_hex_literal():
     assert tables.hex_lit("0x" + "ab" * 20)._jc.toString() != tables.hex_lit("0xab")._jc.toString()
