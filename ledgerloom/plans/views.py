@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ledgerloom.operators.maintain import by_files
+
 Parts = list[DataFrame]
 
 
@@ -159,12 +161,12 @@ class ViewStore:
         view.query(rows).write.mode("overwrite").parquet(partition)
         return True
 
-    def replace(self, view: View, rows: DataFrame, source: str, by: Column, gone: list[str]) -> None:
+    def replace(self, view: View, rows: DataFrame, source: str, by: Column, gone: list[str], files: int = 1) -> None:
         """Puts the aggregates of rows in place of the partials that `by` names (like stretches of blocks), a column of the
-        query's result; those in `gone` lose theirs. Running it again changes nothing."""
+        query's result, about `files` of them; those in `gone` lose theirs. Running it again changes nothing."""
         location = self._properties(view.name)["location"]
         named = view.query(rows).withColumns({"source": F.lit(f"s{source}"), "batch": F.concat(F.lit("b"), by.cast("string"))})
-        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "batch").parquet(location)
+        by_files(named, files, "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "batch").parquet(location)
         for batch in gone:
             self._delete(self._partition(location, source, batch))
 

@@ -3,6 +3,7 @@ stored tables, live results and views in the batch that notices it."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -115,35 +116,40 @@ class Followed:
         low = None if fork is None else (fork + 1) // self.size
         for name, (delivered, block, schema) in self.tables.items():
             if low is not None:
-                touched |= {r.bucket for r in self.table(spark, name).where(F.col("bucket") >= low).select("bucket").distinct().collect()}
+                touched |= {b for b in maintain.stored_buckets(spark, self.path(name)) if b >= low}
         for name, (delivered, block, schema) in self.tables.items():
             old = self.table(spark, name).where(F.col("bucket").isin(touched))
             kept = old.drop("bucket").join(mine, F.col(block) == F.col("__n"), "left_anti")
             kept = kept if fork is None else kept.where(F.col(block) <= fork)
             fresh = delivered.join(mine, (F.col(block) == F.col("__n")) & (F.col("block_hash") == F.col("__h")), "left_semi").select(*schema.names)
-            maintain.rewrite(old, kept.select(*schema.names).unionByName(fresh), self.path(name), block, self.size, work)
+            maintain.rewrite(old, kept.select(*schema.names).unionByName(fresh), self.path(name), block, self.size, work, maintain.stored_buckets(spark, self.path(name)) & touched)
         left = {name: self.table(spark, name).where(F.col("bucket").isin(touched)) for name in self.tables}
         for name, (query, table) in self.live.items():
             block = self.tables[table][1]
-            old = {r.bucket for r in left[table].select("bucket").distinct().collect()}
-            maintain.save_buckets(query(left[table].drop("bucket")), self.path(name), block, self.size)
+            old = maintain.stored_buckets(spark, self.path(table))
+            maintain.save_buckets(query(left[table].drop("bucket")), self.path(name), block, self.size, len(touched))
             maintain.drop_buckets(spark, self.path(name), [b for b in touched if b not in old])
         for view, table in self.views:
-            old = {r.bucket for r in left[table].select("bucket").distinct().collect()}
-            self.store.replace(view, left[table], "chain", F.col("bucket"), [str(b) for b in touched if b not in old])
+            old = maintain.stored_buckets(spark, self.path(table))
+            self.store.replace(view, left[table], "chain", F.col("bucket"), [str(b) for b in touched if b not in old], len(touched))
 
 
 def follow_chain(headers: DataFrame, followed: Followed, checkpoint: str, depth: int = 128, forever: bool = False):
     """Follows a stream of headers of one chain and keeps tables, live results and views those of the canonical chain alone.
-    Ends when there is nothing new; with `forever` it stays open and the running query is returned."""
+    Ends when there is nothing new; with `forever` it stays open and the running query is returned.
+
+    What a batch changes is written down and read by the session that the stream was made in, as the one of a stateful stream
+    has no adaptive execution: its tables would be many small files."""
+    spark = headers.sparkSession
 
     def step(changes: DataFrame, _: int) -> None:
-        spark, found = changes.sparkSession, changes.persist()
+        noted = f"{followed.path('_work')}/changes-{uuid.uuid4().hex}"
+        changes.write.parquet(noted)
+        found = spark.read.schema(changes.schema).parquet(noted)
         fork = found.where("kind = 'fork'").agg(F.min("num")).first()[0]
         heads = found.where("kind = 'head'")
         if fork is not None or not heads.isEmpty():
             followed.apply(spark, fork, heads)
-        found.unpersist()
 
     writer = follow_headers(headers, depth).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     if forever:

@@ -1,11 +1,12 @@
 """Headers of forking chains: the state against a plain model, and the stream against the canonical chain alone."""
 
+import glob
 import random
 
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import maintain
-from ledgerloom.plans import views
+from ledgerloom.plans import catalog, views
 from ledgerloom.schema import columns
 from ledgerloom.streaming import reorg
 
@@ -78,3 +79,10 @@ def test_a_fork_is_taken_back_everywhere(spark, tmp_path):
         f.apply(spark, min(n for n, _, _ in part) - 1, heads)  # the batch breaks off and comes again
         assert store.read(view).agg(F.sum("v")).first()[0] == 2 * sum(want.values())
         assert f.table(spark, "rows").count() == 2 * len(want)
+
+
+def test_stored_results_of_a_followed_chain_are_few_files(spark, sf):
+    followed = catalog._reorganised(spark, sf)
+    for name in ("txs", "counts"):
+        folder = followed.path(name).removeprefix("file://")
+        assert [len(glob.glob(f"{b}/*.parquet")) for b in glob.glob(f"{folder}/bucket=*")] == [1]
