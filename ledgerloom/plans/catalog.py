@@ -236,11 +236,15 @@ def copy_range(spark, sf):
     source, root, found = scratch_path(spark, "chain"), scratch_path(spark, "copy"), _four(spark, sf)
     top = found["blocks"].agg(F.max("num")).first()[0]
     low, size = 2 * top // 3, max(1, top // 8)
-    for name, df in found.items():
-        maintain.save_buckets(df.where(F.col(maintain.BLOCK_COLUMN[name]) <= low), f"{source}/{name}", maintain.BLOCK_COLUMN[name], size)
+
+    def save(which) -> None:
+        one = lambda name, block: maintain.save_buckets(found[name].where(which(F.col(block))), f"{source}/{name}", block, size)
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(one, found, [maintain.BLOCK_COLUMN[name] for name in found]))
+
+    save(lambda block: block <= low)
     maintain.copy_range(spark, source, root, f"{root}-offsets", 1)
-    for name, df in found.items():
-        maintain.save_buckets(df.where(F.col(maintain.BLOCK_COLUMN[name]) >= low // size * size), f"{source}/{name}", maintain.BLOCK_COLUMN[name], size)
+    save(lambda block: block >= low // size * size)
     for checkpoint in ("offsets", "again"):
         if maintain.copy_range(spark, source, root, f"{root}-{checkpoint}", 1) != top:
             raise RuntimeError("the copy doesn't reach the tip")
