@@ -86,20 +86,26 @@ def daily_stats(logs: DataFrame) -> DataFrame:
 
 
 def daily_partials(logs: DataFrame) -> DataFrame:
-    """The state of daily_totals, which adds up: per (day, sent, who) the transfers that an address sent or received, and the
-    limb sums of what it sent. Each address is one row of a day and side however many batches and writers meet it, so distinct
-    counts stay exact without a dictionary of addresses, which only one writer at a time could extend."""
+    """The state of daily_totals, which adds up: per (day, sent, who) the number n of transfers that an address sent or
+    received, and per day eight rows without a side, whose `who` is the number of a limb and n its sum. Each address is one row
+    of a day and side however many batches and writers meet it, so distinct counts stay exact without a dictionary of
+    addresses, which only one writer at a time could extend. There are nearly as many such rows as transfers, so sums are none
+    of their columns."""
+    t = of_event(logs, TRANSFER).select(F.to_date("block_timestamp").alias("day"), "topic1", "topic2", "data")
     sides = F.array(F.struct(F.lit(True).alias("sent"), F.col("topic1").alias("who")), F.struct(F.lit(False).alias("sent"), F.col("topic2").alias("who")))
-    t = of_event(logs, TRANSFER).select(F.to_date("block_timestamp").alias("day"), "data", F.explode(sides).alias("m")).select("day", "data", "m.*")
-    value = words.sum_limbs(F.substring("data", 1, 32), F.when(F.col("sent"), 1).otherwise(0))
-    return t.groupBy("day", "sent", "who").agg(F.count("*").alias("transfers"), *value)
+    ends = t.select("day", F.explode(sides).alias("m")).groupBy("day", "m.sent", "m.who").agg(F.count("*").alias("n"))
+    sums = F.array(*[F.struct(F.lit(None).cast("boolean").alias("sent"), F.lit(bytes([k])).alias("who"), F.col(c).alias("n")) for k, c in enumerate(words.limb_columns())])
+    return ends.unionByName(_total(t, ["day"]).select("day", F.explode(sums).alias("m")).select("day", "m.*"))
 
 
 def daily_totals(state: DataFrame) -> DataFrame:
-    """daily_stats from merged daily_partials. A missing topic is no sender or receiver, as in daily_stats."""
-    sent = F.col("sent")
-    counts = F.sum(F.when(sent, F.col("transfers")).otherwise(0)).alias("transfers"), F.count(F.when(sent, F.col("who"))).alias("senders"), F.count(F.when(~sent, F.col("who"))).alias("receivers")
-    days = state.groupBy("day").agg(*counts, *[F.sum(c).alias(c) for c in words.limb_columns()])
+    """daily_stats from merged daily_partials: first a row per day and side or limb, so that the many rows of addresses meet two
+    sums only. A missing topic is no sender or receiver, as in daily_stats."""
+    sent, limb = F.col("sent"), F.col("limb")
+    per = state.groupBy("day", "sent", F.when(sent.isNull(), F.col("who")).alias("limb")).agg(F.sum("n").alias("n"), F.count("who").alias("whos"))
+    of = lambda side, c: F.sum(F.when(side, F.col(c)).otherwise(0))
+    sums = [F.sum(F.when(limb == F.lit(bytes([k])), F.col("n"))).alias(c) for k, c in enumerate(words.limb_columns())]
+    days = per.groupBy("day").agg(of(sent, "n").alias("transfers"), of(sent, "whos").alias("senders"), of(~sent, "whos").alias("receivers"), *sums)
     return days.select("day", "transfers", "senders", "receivers", words.limbs_to_text(words.summed()).alias("volume"))
 
 

@@ -21,6 +21,9 @@ from ledgerloom.operators.maintain import by_files
 
 Parts = list[DataFrame]
 
+#: Stored rows that one task merges.
+MERGED = 1 << 20
+
 
 def _together(parts: Parts) -> DataFrame:
     """All rows of the parts, with the place of their part in the list as __part; a stored state has its own."""
@@ -138,10 +141,17 @@ class ViewStore:
         newest = lambda s: max(self._children(f"{location}/{s}"), key=lambda b: (len(b), b))
         return [f"{s}/{newest(s)}" for s in self._children(location) if s != "source=sfolded"]
 
-    def state(self, view: View) -> DataFrame:
-        """The partials of a view, merged."""
+    def _stored(self, view: View) -> DataFrame:
         self._properties(view.name)
-        return view.merge([self.spark.table(f"{self.db}.{view.name}").drop("source", "batch")], view.keys)
+        return self.spark.table(f"{self.db}.{view.name}").drop("source", "batch")
+
+    def state(self, view: View) -> DataFrame:
+        """The partials of a view, merged. Within a partial keys are unique as a rule, so nothing is won by adding up before the
+        shuffle, where tables of many keys would spill: many rows are dealt by their keys first, about `MERGED` a task (files
+        know their numbers of rows)."""
+        stored = self._stored(view)
+        tasks = -(-stored.count() // MERGED) if view.keys else 1
+        return view.merge([stored.repartition(tasks, *view.keys) if tasks > 1 else stored], view.keys)
 
     # ---- what users call
 
@@ -183,7 +193,8 @@ class ViewStore:
         blocks: later buckets go, that of n is computed again from the source, the others stay as they are."""
         low = n // size
         again = view.query(source.where((F.col(block) >= low * size) & (F.col(block) < n)))
-        self._new(view, self.state(view).where(F.col("bucket") < low).unionByName(again), "folded", "0", self._marks(view))
+        kept = view.merge([self._stored(view).where(F.col("bucket") < low)], view.keys)
+        self._new(view, kept.unionByName(again), "folded", "0", self._marks(view))
 
     def read(self, view: View) -> DataFrame:
         return view.finish(self.state(view))

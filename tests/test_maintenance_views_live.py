@@ -213,6 +213,29 @@ def test_distinct_counts_are_exact_as_state(spark, tmp_path):
     assert rows(analytics.daily_totals(analytics.daily_partials(first.limit(0)))) == []
 
 
+def test_daily_state_has_one_number_a_row(spark):
+    """Addresses are nearly as many as transfers, so they carry no sums; those of a day are eight rows of their own."""
+    w = lambda n: bytearray(n.to_bytes(32, "big"))
+    logs = spark.createDataFrame([(datetime.datetime(2024, 5, 1), bytearray(TRANSFER.topic), w(7), w(k % 5), w(2**224 + 2**32 * k)) for k in range(40)], "block_timestamp timestamp, selector binary, topic1 binary, topic2 binary, data binary")
+    state = analytics.daily_partials(logs)
+    assert state.columns == ["day", "sent", "who", "n"] and state.where("sent is null").count() == 8 and state.count() == 8 + 1 + 5
+    assert rows(analytics.daily_totals(state)) == rows(analytics.daily_stats(logs)) == [(datetime.date(2024, 5, 1), 40, 1, 5, str(40 * 2**224 + 2**32 * 780))]
+
+
+def test_many_stored_rows_are_dealt_before_they_are_merged(spark, tmp_path, monkeypatch):
+    store = views.ViewStore(spark, str(tmp_path))
+    view = views.View("net", lambda df: df.groupBy("k").agg(F.sum("v").alias("v")), ["k"])
+    batch = lambda lo, hi: spark.range(lo, hi).select(F.nullif("id", F.lit(7)).alias("k"), F.lit(1).cast("long").alias("v"))
+    store.create(view, batch(0, 60))
+    store.update(view, batch(0, 40), "1")
+    whole = rows(store.read(view).fillna(-1))
+    plan = lambda: store.state(view)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan()
+    monkeypatch.setattr(views, "MERGED", 30)
+    assert plan().count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan()
+    assert rows(store.read(view).fillna(-1)) == whole and len(whole) == 60 and sum(v for _, v in whole) == 100
+
+
 def test_a_view_follows_two_streams(spark, tmp_path):
     store = views.ViewStore(spark, str(tmp_path / "v"))
     view = views.View("net", lambda df: df.groupBy("k").agg(F.sum("v").alias("v")), ["k"])
