@@ -52,8 +52,12 @@ def bucket(block: str, size: int | None = None) -> Column:
     return F.floor(F.col(block) / F.lit(size or BUCKET)).cast("long")
 
 
-def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A stored table, empty before its first write."""
+def stored(spark: SparkSession, path: str, schema: StructType, buckets: set[int] | None = None) -> DataFrame:
+    """A stored table, empty before its first write; of `buckets`, which must be there, only these folders are listed."""
+    if buckets:
+        return spark.read.schema(extended(schema, "bucket long")).option("basePath", path).parquet(*[f"{path}/bucket={b}" for b in sorted(buckets)])
+    if buckets is not None:
+        return spark.createDataFrame([], extended(schema, "bucket long"))
     try:
         return spark.read.schema(extended(schema, "bucket long")).parquet(path)
     except AnalysisException as e:
@@ -102,10 +106,13 @@ def drop_buckets(spark: SparkSession, path: str, buckets: list[int]) -> None:
 def rewrite(old: DataFrame, new: DataFrame, path: str, block: str, size: int | None, work: str, had: Iterable[int] | None = None) -> None:
     """Puts `new` in place of `old`, the rows of some whole buckets of a stored table (`had`, if the caller knows them): first
     to a copy under `work`, from there over the buckets; buckets that have no row any more go. Whoever runs it again gets the
-    same table."""
+    same table. Where nothing was stored, nothing is read that is written over, so no copy is made."""
     spark, copy = old.sparkSession, f"{work}/{uuid.uuid4().hex}"
     if had is None:
         had = [r.bucket for r in old.select("bucket").distinct().collect()]  # one number for each bucket touched
+    if not had:
+        save_buckets(new, path, block, size)
+        return
     new.write.parquet(copy)
     kept = spark.read.schema(new.schema).parquet(copy)
     left = {r.bucket for r in kept.select(bucket(block, size).alias("bucket")).distinct().collect()}

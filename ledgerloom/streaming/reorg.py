@@ -103,8 +103,15 @@ class Followed:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return maintain.stored(spark, self.path(name), self.tables[name][2])
+    def table(self, spark: SparkSession, name: str, touched: set[int] | None = None) -> DataFrame:
+        """A stored table, or its rows in the buckets touched. Where these are most of it, one folder is listed and not each."""
+        path, schema = self.path(name), self.tables[name][2]
+        if touched is None:
+            return maintain.stored(spark, path, schema)
+        had = maintain.stored_buckets(spark, path)
+        if len(had & touched) > len(had) // 2:
+            return maintain.stored(spark, path, schema).where(F.col("bucket").isin(touched))
+        return maintain.stored(spark, path, schema, had & touched)
 
     def apply(self, spark: SparkSession, fork: int | None, heads: DataFrame) -> None:
         """Takes back all blocks above the fork and adds the new heads' rows, in the buckets that either touches. Everything
@@ -118,12 +125,12 @@ class Followed:
             if low is not None:
                 touched |= {b for b in maintain.stored_buckets(spark, self.path(name)) if b >= low}
         for name, (delivered, block, schema) in self.tables.items():
-            old = self.table(spark, name).where(F.col("bucket").isin(touched))
+            old = self.table(spark, name, touched)
             kept = old.drop("bucket").join(mine, F.col(block) == F.col("__n"), "left_anti")
             kept = kept if fork is None else kept.where(F.col(block) <= fork)
             fresh = delivered.join(mine, (F.col(block) == F.col("__n")) & (F.col("block_hash") == F.col("__h")), "left_semi").select(*schema.names)
             maintain.rewrite(old, kept.select(*schema.names).unionByName(fresh), self.path(name), block, self.size, work, maintain.stored_buckets(spark, self.path(name)) & touched)
-        left = {name: self.table(spark, name).where(F.col("bucket").isin(touched)) for name in self.tables}
+        left = {name: self.table(spark, name, touched) for name in self.tables}
         for name, (query, table) in self.live.items():
             block = self.tables[table][1]
             old = maintain.stored_buckets(spark, self.path(table))

@@ -86,3 +86,16 @@ def test_stored_results_of_a_followed_chain_are_few_files(spark, sf):
     for name in ("txs", "counts"):
         folder = followed.path(name).removeprefix("file://")
         assert [len(glob.glob(f"{b}/*.parquet")) for b in glob.glob(f"{folder}/bucket=*")] == [1]
+
+
+def test_a_first_write_makes_no_copy_and_few_buckets_are_listed(spark, tmp_path):
+    path, work, t = str(tmp_path / "t"), str(tmp_path / "w"), spark.range(400).select(F.col("id").alias("n"))
+    maintain.store_replace(spark, path, t, "n", work, size=10)
+    assert not (tmp_path / "w").exists() and maintain.stored_buckets(spark, path) == set(range(40))
+    f = reorg.Followed(str(tmp_path), tables={"t": (t, "n", t.schema)}, size=10)
+    few = f.table(spark, "t", {3, 5, 99})
+    assert sorted(p.split("/")[-2] for p in few.inputFiles()) == ["bucket=3", "bucket=5"]
+    assert sorted((r.n, r.bucket) for r in few.collect()) == [(n, n // 10) for n in [*range(30, 40), *range(50, 60)]]
+    assert f.table(spark, "t", set(range(30))).count() == 300 and f.table(spark, "t", {99}).count() == 0
+    maintain.store_replace(spark, path, spark.createDataFrame([(12,), (900,)], t.schema), "n", work, size=10)  # one bucket is there, one is new
+    assert sorted(r.n for r in maintain.stored(spark, path, t.schema).collect()) == [*range(400), 900]
