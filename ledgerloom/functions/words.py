@@ -31,13 +31,18 @@ def unsigned(b: Column) -> Column:
     return F.conv(F.hex(b), 16, 10).cast("long")
 
 
+def _padded(k: Column, size: int) -> Column:
+    """A long in so many big-endian bytes; only its own eight go by hex digits."""
+    return F.concat(F.lit(bytes(size - 8)), F.unhex(F.lpad(F.hex(k), 16, "0")))
+
+
 def word_of_long(k: Column) -> Column:
     """A non-negative long as a word."""
-    return F.unhex(F.lpad(F.hex(k), 64, "0"))
+    return _padded(k, 32)
 
 
 def address_of_long(k: Column) -> Column:
-    return F.unhex(F.lpad(F.hex(k), 40, "0"))
+    return _padded(k, 20)
 
 
 def is_negative(word: Column) -> Column:
@@ -71,9 +76,15 @@ def _carry(low_first: Column) -> Column:
     return F.aggregate(low_first, start, step)
 
 
+def limb(word: Column, k: int) -> Column:
+    """The limb k (0 is the low one) as a long. Most are zero, and those are told without digits."""
+    b = F.substring(word, 4 * (LIMBS - 1 - k) + 1, 4)
+    return F.when(b == F.lit(bytes(4)), F.lit(0).cast("long")).otherwise(unsigned(b))
+
+
 def limbs(word: Column) -> Column:
     """Eight longs, low limb first."""
-    return F.array(*[unsigned(F.substring(word, 4 * k + 1, 4)) for k in reversed(range(LIMBS))])
+    return F.array(*[limb(word, k) for k in range(LIMBS)])
 
 
 def _listed(x: Column) -> list[Column]:
@@ -163,11 +174,8 @@ def within(word: Column, bits: int, signed: bool = False) -> Column:
 
 def sum_limbs(word: Column, sign: Column | None = None) -> list[Column]:
     """The aggregate columns of a 256-bit sum, l0 (low) to l7; sign (1 or -1) multiplies each value."""
-    parts = []
-    for k in range(LIMBS):
-        limb = unsigned(F.substring(word, 4 * (LIMBS - 1 - k) + 1, 4))
-        parts.append(F.sum(limb if sign is None else limb * sign).alias(f"l{k}"))
-    return parts
+    each = [limb(word, k) for k in range(LIMBS)]
+    return [F.sum(x if sign is None else x * sign).alias(f"l{k}") for k, x in enumerate(each)]
 
 
 def limb_columns() -> list[str]:

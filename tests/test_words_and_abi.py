@@ -42,6 +42,18 @@ def test_sums_far_beyond_256_bits(spark):
         assert t.first().t == str(want)
 
 
+def test_limbs_of_zeros_need_no_digits(spark):
+    """Words with zero limbs anywhere, short ones and null give the limbs they gave; longs become the words they became."""
+    data = [bytes(32), b"\1" + bytes(31), bytes(27) + b"\1" + bytes(4), bytes(28) + b"\xff" * 4, b"\xff" * 32, None]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(data)], "i int, w binary")
+    got = [r.x for r in df.orderBy("i").select(words.limbs(F.col("w")).alias("x")).collect()]
+    assert got == [[None] * 8 if w is None else [int.from_bytes(w[28 - 4 * k : 32 - 4 * k], "big") for k in range(8)] for w in data]
+    longs = [0, 1, 255, 2**32, 2**63 - 1, None]
+    made = spark.createDataFrame([(k,) for k in longs], "k long").select("k", words.word_of_long(F.col("k")).alias("w"), words.address_of_long(F.col("k")).alias("a")).collect()
+    assert all((r.w, r.a) == ((None, None) if r.k is None else (r.k.to_bytes(32, "big"), r.k.to_bytes(20, "big"))) for r in made)
+    assert all("CASE WHEN" in c._jc.toString() for c in words.sum_limbs(F.col("w")))
+
+
 def test_null_words_stay_null(spark):
     df = spark.createDataFrame([(None,)], "w binary")
     assert df.select(words.uint_to_text(F.col("w")), words.int_to_text(F.col("w")), words.to_long(F.col("w"))).first() == (None, None, None)
