@@ -469,9 +469,9 @@ def candidates(classes: DataFrame, means: dict[int, np.ndarray], codes: dict[int
             every = sketched(np.frombuffer(b"".join([data[k] for k in rows_of.tolist()]), np.uint8).reshape(-1, w))
             group, first, m = np.unique(of[rows_of], return_index=True, return_counts=True)
             i, j = pairs_within(first[m <= SMALL], m[m <= SMALL])
-            near = [np.empty(0, bool)]
-            for k in range(0, len(i), 1 << 16):
-                one, other = every.of(i[k : k + (1 << 16)]), every.of(j[k : k + (1 << 16)])
+            near, step = [np.empty(0, bool)], max(1, (2 << 20) // w)
+            for k in range(0, len(i), step):
+                one, other = every.of(i[k : k + step]), every.of(j[k : k + step])
                 near.append(np.einsum("ij,ij->i", one.x, other.x) >= one.least(other, threshold, False))
             near = np.concatenate(near)
             i, j = i[near], j[near]
